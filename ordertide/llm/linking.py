@@ -3,8 +3,8 @@
 1. Hubs: each member of a bucket is compared with the bucket's least id alone, a row for each member.
 2. The links found are closed to components.
 3. In buckets whose members still lie in different components, members are compared with a few more hubs, drawn by hash.
-4. Buckets that are still mixed are compared in full, but only across components: members meet in salted blocks, sketches and
-   then contents are compared inside the join, and only links leave it. Buckets of copies of one thing, which are the large
+4. Buckets that are still mixed are compared in full, but only across components, and only members with a near sketch of
+   another component: they meet in salted blocks, contents are compared inside the join, and only links leave it. Buckets of copies of one thing, which are the large
    ones, are one component by then and cost nothing here.
 
 So every pair that shares a bucket and whose sketches are near is either compared in full, or already connected.
@@ -28,7 +28,7 @@ def _mixed(mine: DataFrame, groups: DataFrame, sketches: DataFrame) -> DataFrame
     """Members, with component and sketch, of the buckets that hold more than one component. Two members were compared at once."""
     lab = mine.where("n > 2").join(groups, "id", "left").select("bucket", "id", "hub", "n", F.coalesce("component", "id").alias("c"))
     mixed = lab.groupBy("bucket").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).where("_lo < _hi").select("bucket")
-    return written(lab.join(mixed, "bucket").join(sketches, "id"), "mixed")
+    return lab.join(mixed, "bucket").join(sketches, "id")
 
 
 def connect(
@@ -52,12 +52,27 @@ def connect(
         both = pairs.join(held.select(F.col("id").alias("a"), F.col("content").alias("_a")), "a").join(held.select(F.col("id").alias("b"), F.col("content").alias("_b")), "b")
         return written(both.where(linked(F.col("_a"), F.col("_b"))).select("a", "b"), "linked")
 
+    def sides(lab: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
+        """Members twice: each in one block of its bucket, and in all of them."""
+        lab = lab.withColumn("_blocks", F.ceil(F.col("n") / BLOCK).cast("bigint"))
+        cols = lambda x: ["bucket", F.col("id").alias(x), F.col("c").alias(f"_c{x}"), F.col("sketch").alias(f"_s{x}"), *[F.col(m).alias(f"_{m}_{x}") for m in more]]
+        return lab.select(*cols("a"), F.pmod(F.xxhash64("id"), F.col("_blocks")).alias("_block")), lab.select(*cols("b"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1)).alias("_block"))
+
+    def meet(left: DataFrame, right: DataFrame) -> Column:
+        return (left["bucket"] == right["bucket"]) & (left["_block"] == right["_block"]) & (F.col("_ca") != F.col("_cb"))
+
+    def promising(lab: DataFrame) -> DataFrame:
+        """Members that have a near one of another component in their bucket. Each asks for one; pairs aren't emitted."""
+        right, left = sides(lab, "hub", "n")
+        found = left.join(right, meet(right, left) & near(F.col("_sa"), F.col("_sb")), "left_semi")
+        return written(found.select("bucket", F.col("b").alias("id"), F.col("_hub_b").alias("hub"), F.col("_n_b").alias("n"), F.col("_cb").alias("c"), F.col("_sb").alias("sketch")).distinct(), "near")
+
     a, b = sketches.select(F.col("id").alias("a"), F.col("sketch").alias("_sa")), sketches.select(F.col("id").alias("b"), F.col("sketch").alias("_sb"))
     spokes = mine.where("id > hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
     links = verified(spokes.join(a, "a").join(b, "b").where(near(F.col("_sa"), F.col("_sb"))).select("a", "b"))
     groups = components(links)
 
-    lab = _mixed(mine, groups, sketches)
+    lab = promising(_mixed(mine, groups, sketches))
     if lab.isEmpty():
         return groups
     hubs = [F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), F.col("id").alias("b"), F.col("c").alias("cb"), F.col("sketch").alias("sb"))).alias(f"_{k}") for k in range(HUBS)]
@@ -67,13 +82,10 @@ def connect(
     links = links.unionByName(verified(spokes))
     groups = components(links)
 
-    lab = _mixed(mine, groups, sketches)
+    lab = promising(_mixed(lab.select("bucket", "id", "hub", "n"), groups, sketches))
     if lab.isEmpty():
         return groups
     held = written(contents(lab.select("id").distinct()), "contents")
-    lab = lab.join(held, "id").withColumn("_blocks", F.ceil(F.col("n") / BLOCK).cast("bigint"))
-    left = lab.select("bucket", F.col("id").alias("a"), F.col("c").alias("_ca"), F.col("sketch").alias("_sa"), F.col("content").alias("_a"), F.pmod(F.xxhash64("id"), F.col("_blocks")).alias("_block"))
-    right = lab.where("id != hub").select("bucket", F.col("id").alias("b"), F.col("c").alias("_cb"), F.col("sketch").alias("_sb"), F.col("content").alias("_b"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1)).alias("_block"))
-    # the conditions stand in the join, cheapest first
-    test = (left["bucket"] == right["bucket"]) & (left["_block"] == right["_block"]) & (F.col("a") > F.col("b")) & (F.col("_ca") != F.col("_cb")) & F.when(near(F.col("_sa"), F.col("_sb")), linked(F.col("_a"), F.col("_b"))).otherwise(F.lit(False))
+    left, right = sides(lab.join(held, "id"), "content")
+    test = meet(left, right) & (F.col("a") > F.col("b")) & F.when(near(F.col("_sa"), F.col("_sb")), linked(F.col("_content_a"), F.col("_content_b"))).otherwise(F.lit(False))
     return components(links.unionByName(left.join(right, test).select("a", "b").distinct()))

@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ordertide.llm import chat, decontam, html_text, lines, minhash, packing, quality, sharding, suffix
+from ordertide.llm import chat, decontam, html_text, lines, lm, minhash, packing, quality, sharding, suffix
 from ordertide.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_odd_sketch_dedup": lambda s, d: minhash.op1(read(s, d, "documents", "doc_id", "text")),
     "op2_chat_format": lambda s, d: chat.op2(read(s, d, "conversations")),
     "op3_pack_mixture": lambda s, d: packing.op3(read(s, d, "documents", "doc_id", "text", "source")),
+    "op4_lattice_lm": lambda s, d: lm.op4(read(s, d, "documents", "doc_id", "text")),
     "op5_suffix_dedup": lambda s, d: suffix.op5(read(s, d, "documents", "doc_id", "text")),
     "op6_quality_lines": lambda s, d: quality.op6(read(s, d, "documents", "doc_id", "text", "source")),
     "op7_decontaminate": lambda s, d: decontam.op7(read(s, d, "documents", "doc_id", "text"), read(s, d, "benchmark")),

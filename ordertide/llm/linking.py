@@ -21,7 +21,7 @@ from ordertide.llm.common import components
 from ordertide.session import written
 
 #: Members of a bucket that one block holds; further hubs that a mixed bucket draws.
-BLOCK, HUBS = 512, 4
+BLOCK, HUBS = 4096, 4
 
 
 def _mixed(mine: DataFrame, groups: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -62,10 +62,10 @@ def connect(
         return (left["bucket"] == right["bucket"]) & (left["_block"] == right["_block"]) & (F.col("_ca") != F.col("_cb"))
 
     def promising(lab: DataFrame) -> DataFrame:
-        """Members that have a near one of another component in their bucket. Each asks for one; pairs aren't emitted."""
-        right, left = sides(lab, "hub", "n")
-        found = left.join(right, meet(right, left) & near(F.col("_sa"), F.col("_sb")), "left_semi")
-        return written(found.select("bucket", F.col("b").alias("id"), F.col("_hub_b").alias("hub"), F.col("_n_b").alias("n"), F.col("_cb").alias("c"), F.col("_sb").alias("sketch")).distinct(), "near")
+        """Members that have a near one of another component in their bucket. Each asks for one, from the one block it lies in; pairs aren't emitted."""
+        left, right = sides(lab, "hub", "n")
+        found = left.join(right, meet(left, right) & near(F.col("_sa"), F.col("_sb")), "left_semi")
+        return written(found.select("bucket", F.col("a").alias("id"), F.col("_hub_a").alias("hub"), F.col("_n_a").alias("n"), F.col("_ca").alias("c"), F.col("_sa").alias("sketch")), "near")
 
     a, b = sketches.select(F.col("id").alias("a"), F.col("sketch").alias("_sa")), sketches.select(F.col("id").alias("b"), F.col("sketch").alias("_sb"))
     spokes = mine.where("id > hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()

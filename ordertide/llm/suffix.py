@@ -23,14 +23,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ordertide.llm.common import BROADCAST_ROWS, small, text_key
+from ordertide.llm.common import small, text_key
 from ordertide.session import written
 
 LENGTH, GRAM = 400, 64
 #: Surroundings in a group that one task sorts at once; parts that a larger group is split into.
 MOST, PARTS = 16_384, 8
-#: Numbers up to which lists of positions are broadcast.
-BROADCAST_NUMBERS = 2_000_000
 _CHUNK = 1 << 22
 _TABLE = np.random.default_rng(5).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _LOW = np.uint64((1 << 24) - 1)
@@ -237,12 +235,6 @@ def _union(x: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _few(lists: DataFrame, numbers: str) -> DataFrame:
-    """With a broadcast hint if neither its rows nor the numbers in its lists are too many."""
-    rows, total = lists.agg(F.count(F.lit(1)), F.sum(F.size(numbers))).first()
-    return F.broadcast(lists) if rows <= BROADCAST_ROWS and (total or 0) <= BROADCAST_NUMBERS else lists
-
-
 def _sort_groups(parts: DataFrame, length: int) -> DataFrame:
     """group, ctx, first, last for rows (group, ctx, lo, hi, left, right, many), a group in one task and after each other."""
 
@@ -315,7 +307,8 @@ def repeated_spans(docs: DataFrame, *, text: str = "text", length: int = LENGTH,
     place = F.xxhash64("text_key", "at")
     twice = each.select("anchor", place.alias("p")).groupBy("anchor").agg(F.min("p").alias("a"), F.max("p").alias("b")).where("a != b").select("anchor")
     wanted = each.join(small(written(twice, "twice"), 1_000_000), "anchor").groupBy("text_key").agg(F.collect_set(F.struct("at", "anchor")).alias("want"))
-    wanted = _few(written(wanted, "wanted"), "want")
+    # copies of a text are one before it is moved
+    once = rows.groupBy("text_key").agg(F.first("_t").alias("_t"))
 
     def surround(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -328,14 +321,16 @@ def repeated_spans(docs: DataFrame, *, text: str = "text", length: int = LENGTH,
                     out.append((key, p, w["anchor"], xxhash.xxh3_64_intdigest(left + b"|" + right, len(left)) - (1 << 63), left, right))
             yield pd.DataFrame(out, columns=["text_key", "at", "anchor", "ctx", "left", "right"])
 
-    texts = rows.join(wanted, "text_key").mapInPandas(surround, "text_key binary, at bigint, anchor bigint, ctx bigint, left binary, right binary")
+    texts = once.join(wanted, "text_key").mapInPandas(surround, "text_key binary, at bigint, anchor bigint, ctx bigint, left binary, right binary")
     around = written(texts, "around")
-    once = around.groupBy("anchor", "ctx").agg(F.first("left").alias("left"), F.first("right").alias("right"), (F.min(place) != F.max(place)).alias("many"))
-    ranges = written(_ranges(written(once, "contexts"), length, most), "ranges")
-    spans = around.select("text_key", "at", "anchor", "ctx").join(ranges, ["anchor", "ctx"]).select("text_key", F.struct((F.col("at") - F.col("last")).alias("start"), (F.col("at") - F.col("first") + length).alias("end")).alias("span"))
+    distinct = around.groupBy("anchor", "ctx").agg(F.first("left").alias("left"), F.first("right").alias("right"), (F.min(place) != F.max(place)).alias("many"))
+    ranges = written(_ranges(written(distinct, "contexts"), length, most), "ranges")
+    per = ranges.groupBy("anchor", "ctx").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
+    at = F.col("at")
+    spans = around.select("text_key", "at", "anchor", "ctx").join(per, ["anchor", "ctx"]).select("text_key", F.transform("ranges", lambda r: F.struct((at - r["last"]).alias("start"), (at - r["first"] + length).alias("end"))).alias("spans"))
     copies = rows.groupBy("text_key").agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("_t")).alias("size")).where("n > 1")
-    whole = copies.select("text_key", F.struct(F.lit(0).cast("bigint").alias("start"), F.col("size").cast("bigint").alias("end")).alias("span"))
-    return spans.unionByName(whole).groupBy("text_key").agg(F.array_sort(F.collect_set("span")).alias("spans"))
+    whole = copies.select("text_key", F.array(F.struct(F.lit(0).cast("bigint").alias("start"), F.col("size").cast("bigint").alias("end"))).alias("spans"))
+    return spans.unionByName(whole).groupBy("text_key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
 
 
 def merged(spans: list) -> list[tuple[int, int]]:
@@ -354,7 +349,7 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
 
     Null text is empty. Rows that repeat are copies: each repeats the other. A null doc_id is kept as it is; other columns don't matter.
     """
-    spans = _few(written(repeated_spans(docs, text=text, length=length, most=most), "spans"), "spans")
+    spans = written(repeated_spans(docs, text=text, length=length, most=most), "spans")
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_key(text).alias("text_key"), F.coalesce(text, F.lit("")).alias("_t")).join(spans, "text_key", "left").select("doc_id", "_t", "spans")
     kind = docs.schema[doc_id].dataType.simpleString()
 

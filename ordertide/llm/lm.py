@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import math
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from ordertide.session import written
 
 #: A block ends with the document after which it holds so many tokens or different words.
-BLOCK_TOKENS, BLOCK_WORDS = 2_000_000, 150_000
+BLOCK_TOKENS, BLOCK_WORDS = 8_000_000, 500_000
 #: Characters that no word holds, and capitals, which are lower-cased: pieces with them are never used.
 _NEVER = frozenset(b" \t\n\x0b\x0c\rABCDEFGHIJKLMNOPQRSTUVWXYZ")
 _B = np.uint64(0x9E3779B97F4A7C15)
@@ -119,6 +120,16 @@ def forward(w: np.ndarray, p: Pieces, logp: np.ndarray, stop: float, counts: np.
     return a[n] + stop
 
 
+def packed(ids: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted distinct numbers, as differences, and their counts."""
+    return zlib.compress(np.diff(ids, prepend=0).astype("<u4").tobytes() + counts.astype("<u4").tobytes(), 1)
+
+
+def unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    x = np.frombuffer(zlib.decompress(raw), "<u4").astype(np.int64)
+    return np.cumsum(x[: len(x) // 2]), x[len(x) // 2 :]
+
+
 def _by_length(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places and bytes of words of equal length, in blocks of bounded size."""
     size = np.fromiter(map(len, words), np.int64, len(words))
@@ -141,18 +152,18 @@ def _blocks(docs: DataFrame) -> DataFrame:
         train: list[int] = []
 
         def lists() -> pd.DataFrame:
-            return pd.DataFrame({"block": np.int64((part << 32) + k), "is_doc": False, "doc_id": None, "held_out": None, "ids": None, "word": list(seen), "id": np.arange(len(seen), dtype=np.int64), "train": train})
+            return pd.DataFrame({"block": np.int64((part << 32) + k), "is_doc": False, "doc_id": None, "held_out": None, "ids": None, "word": list(seen), "id": np.arange(len(seen), dtype=np.int32), "train": train})
 
         for b in batches:
             rows: list[tuple] = []
             for doc, text, held in zip(b["doc_id"], b["text"], b["held_out"], strict=True):
                 ids = np.array([seen.setdefault(w, len(seen)) for w in text.encode("utf-8", "surrogatepass").lower().split()], "<u4")
                 train.extend([0] * (len(seen) - len(train)))
+                u, c = np.unique(ids, return_counts=True)
                 if not held:
-                    u, c = np.unique(ids, return_counts=True)
                     for i, n in zip(u.tolist(), c.tolist(), strict=True):
                         train[i] += n
-                rows.append(((part << 32) + k, doc, held, ids.tobytes()))
+                rows.append(((part << 32) + k, doc, held, packed(u, c)))
                 tokens += len(ids)
                 if tokens > BLOCK_TOKENS or len(seen) > BLOCK_WORDS:
                     yield lists()
@@ -161,7 +172,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
         if seen:
             yield lists()
 
-    return written(docs.mapInPandas(run, f"block bigint, is_doc boolean, doc_id {kind}, held_out boolean, ids binary, word binary, id bigint, train bigint"), "blocks")
+    return written(docs.mapInPandas(run, f"block bigint, is_doc boolean, doc_id {kind}, held_out boolean, ids binary, word binary, id int, train bigint"), "blocks")
 
 
 def _fit(types: DataFrame, ranks: str, rounds: int) -> tuple[np.ndarray, float]:
@@ -236,8 +247,8 @@ def score(docs: DataFrame, *, ranks: str, doc_id: str = "doc_id", text: str = "t
         base, mine = tokens(c, lat + math.log1p(-1 / (v + 1)))
         out = []
         for doc, held, raw in zip(d["doc_id"], d["held_out"], d["ids"], strict=True):
-            i = np.frombuffer(raw, "<u4")
-            out.append((doc, held, len(i) + 1, int((c[i] > 0).sum()) + (ends > 0), total, float(base[i].sum()) + end[0], float(mine[i].sum()) + end[1]))
+            i, n = unpacked(raw)
+            out.append((doc, held, int(n.sum()) + 1, int(n[c[i] > 0].sum()) + (ends > 0), total, float(base[i] @ n) + end[0], float(mine[i] @ n) + end[1]))
         return pd.DataFrame(out, columns=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return (

@@ -11,6 +11,8 @@ from ordertide.llm.common import ascii_lower, small, text_key
 WINDOW = 10
 MOST_WINDOWS = 500_000
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same before lower-casing, and its complement.
+_BETWEEN_ANY, _WORD_ANY = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words_of(text: Column) -> Column:
@@ -72,8 +74,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
     if mode != "spans":
         raise ValueError(mode)
     # the text as (gap, word, gap, word, ..., gap): splitting at words gives the gaps, and both lists alternate
-    original = F.expr(f"filter(split({_q(text)}, '[\\\\x00-\\\\x2F\\\\x3A-\\\\x60\\\\x7B-\\\\x7F]+'), x -> x <> '')")
-    gaps = F.split(F.col(text), r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    original, gaps = F.array_remove(F.split(text, _BETWEEN_ANY), ""), F.split(text, _WORD_ANY)
     both = both.withColumn("_w", F.when(F.col("_hit").isNotNull(), original)).withColumn("_g", F.when(F.col("_hit").isNotNull(), gaps))
     both = both.withColumn("_h", F.map_from_arrays("_hit", F.transform("_hit", lambda x: F.lit(True))))
     inside = lambda i: F.coalesce(F.element_at("_h", i), F.lit(False))
@@ -84,10 +85,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
     return kept.withColumn(text, F.when(F.col("_hit").isNull(), F.col(text)).otherwise(cut)).drop("_hit", "_w", "_g", "_h").select(*docs.columns)
 
 
-def _q(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
 def op7(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     hits = find(docs, benchmark).select(
         "text_key", F.size(_covered(F.col("starts"))).cast("bigint").alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), F.array_join("items", ",").alias("items")

@@ -73,16 +73,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
         return both.where("_hit IS NULL").drop("_hit")
     if mode != "spans":
         raise ValueError(mode)
-    # the text as (gap, word, gap, word, ..., gap): splitting at words gives the gaps, and both lists alternate
-    original, gaps = F.array_remove(F.split(text, _BETWEEN_ANY), ""), F.split(text, _WORD_ANY)
-    both = both.withColumn("_w", F.when(F.col("_hit").isNotNull(), original)).withColumn("_g", F.when(F.col("_hit").isNotNull(), gaps))
-    both = both.withColumn("_h", F.map_from_arrays("_hit", F.transform("_hit", lambda x: F.lit(True))))
-    inside = lambda i: F.coalesce(F.element_at("_h", i), F.lit(False))
+    # the text as (gap, word, gap, word, ..., gap): splitting at words gives the gaps, and both lists alternate.
+    # What lambdas use are columns of the join or the zipped elements, as an expression inside a lambda runs for every element
+    words, gaps = F.array_remove(F.split(text, _BETWEEN_ANY), ""), F.split(text, _WORD_ANY)
+    inside = lambda shift: F.transform(words, lambda w, i: F.array_contains("_hit", i + shift))
+    parts = F.arrays_zip(words, F.slice(gaps, F.lit(1), F.size(words)), inside(0), inside(-1))
     # gap i stands before word i; it goes if the words on both its sides do
-    piece = F.transform("_w", lambda w, i: F.concat(F.when(inside(i) & inside(i - 1), F.lit("")).otherwise(F.element_at("_g", i + 1)), F.when(inside(i), F.lit("")).otherwise(w)))
-    cut = F.concat(F.array_join(piece, ""), F.element_at("_g", -1))
-    kept = both.where("_hit IS NULL OR size(_hit) <= size(_w) * " + repr(float(most_share)))
-    return kept.withColumn(text, F.when(F.col("_hit").isNull(), F.col(text)).otherwise(cut)).drop("_hit", "_w", "_g", "_h").select(*docs.columns)
+    piece = F.transform(parts, lambda x: F.concat(F.when(x["2"] & x["3"], F.lit("")).otherwise(x["1"]), F.when(x["2"], F.lit("")).otherwise(x["0"])))
+    cut = F.concat(F.array_join(piece, ""), F.element_at(gaps, -1))
+    kept = both.where(F.col("_hit").isNull() | (F.size("_hit") <= F.size(words) * float(most_share)))
+    return kept.withColumn(text, F.when(F.col("_hit").isNull(), F.col(text)).otherwise(cut)).select(*docs.columns)
 
 
 def op7(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

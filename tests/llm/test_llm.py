@@ -3,11 +3,15 @@
 import hashlib
 import math
 import os
+import random
 import zlib
 from collections import Counter, defaultdict
 
 import duckdb
 import pytest
+import regex
+import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from ordertide.llm import chat, decontam, html_text, lines, lm, minhash, packing, quality, queries, sharding, suffix
@@ -209,20 +213,42 @@ def test_fuzzy_lines(spark):
     got = sorted((r.doc_id, r.n_lines, tuple(r.removed)) for r in lines.op8(df).collect())
     assert got == [(1, 2, ()), (2, 1, (0,)), (3, 5, (0,)), (4, 0, ()), (5, 1, ()), (6, 1, (0,)), (6, 1, (0,))]
     assert {r.doc_id: r.text for r in lines.dedup_lines(df).collect()}[3] == "other words here\n\n\n---"
-    assert len(lines.FuzzyLines().masks()) == 10
+
+
+def test_planes_cover_three_bits():
+    """Whichever three bits differ, some mask has none of them."""
+    from itertools import combinations
+
+    masks = lines.FuzzyLines().masks()
+    assert {m.bit_count() for m in masks} == {32} and len(masks) == 14
+    assert all(any(not m & bits for m in masks) for c in combinations(range(64), 3) for bits in [sum(1 << b for b in c)])
+
+
+@pytest.mark.parametrize("n", [1, 2, 254, 255, 256, 257, 3000])
+def test_simhash_of_any_length(spark, n):
+    rng = random.Random(n)
+    h = [rng.getrandbits(64) - (1 << 63) for _ in range(n)]
+    df = spark.createDataFrame([(h,)], "h array<bigint>")
+    want = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > n)
+    got = [df.select(c.alias("x")).first().x & (1 << 64) - 1 for c in [lines.simhash(F.col("h")), *[lines._majority(F.col("h"), w) for w in lines.LANES if n < 1 << w - 1]]]
+    assert set(got) == {want}
 
 
 def test_fuzzy_lines_against_brute_force(spark, texts):
     """Groups by simhash distance and edit similarity of all pairs of lines."""
-    import re
-
     p = lines.FuzzyLines()
     docs = [*texts[:12], *[t.replace("a", "e", 1) for t in texts[:12]]]
     df = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string")
     got = {r.doc_id: list(r.removed) for r in lines.op8(df).collect()}
     occ = lines._lines(df, "doc_id", "text").collect()
-    sims = {r.id: r.sketch & (2**64 - 1) for r in lines.simhashes(lines._lines(df, "doc_id", "text").select("id", "norm")).collect()}
-    norm = {r.id: r.norm for r in occ}
+    norm = {r.id: " ".join(regex.findall(r"[\p{L}\p{M}\p{N}]+", docs[r.doc_id].split("\n")[r.at].lower())) for r in occ}
+
+    def simhash(words):
+        h = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in words]
+        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+    sims = {i: simhash(set(t.split())) for i, t in norm.items()}
+    assert {r.id: r.sketch & (2**64 - 1) for r in occ} == sims and len(set(norm.values())) == len(norm)
     root = {i: i for i in norm}
 
     def find(i):
@@ -250,7 +276,7 @@ def test_fuzzy_lines_against_brute_force(spark, texts):
     for r in occ:
         if first[find(r.id)] != (r.doc_id, r.at):
             want[r.doc_id].append(r.at)
-    assert got == {i: sorted(want[i]) for i in range(len(docs))} and re.search("a", docs[0])
+    assert got == {i: sorted(want[i]) for i in range(len(docs))} and "a" in docs[0]
 
 
 def test_decontaminate_spans(spark):

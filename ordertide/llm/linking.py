@@ -43,8 +43,10 @@ def connect(
     ``members``: bucket, id (numbers; a pair once each). ``sketches``: id, sketch. ``near``: whether two sketches may belong to a link.
     ``contents``: id and content of the ids in a table. ``linked``: whether two contents are a link.
     """
-    shared = members.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("_most"), F.count(F.lit(1)).alias("n")).where("hub < _most").drop("_most")
-    mine = written(members.join(shared, "bucket"), "buckets")
+    # counts alone move for all buckets; hubs are found among the members of the few that are shared
+    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+    met = written(members.join(shared.hint("shuffle_hash"), "bucket"), "members")
+    mine = written(met.join(met.groupBy("bucket").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")), "bucket"), "buckets")
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = written(pairs, "pairs")

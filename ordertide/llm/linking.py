@@ -17,8 +17,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ordertide.llm.common import components
-from ordertide.session import written
+from ordertide.llm.common import components, extended
+from ordertide.session import discard, written
 
 #: Members of a bucket that one block holds; further hubs that a mixed bucket draws.
 BLOCK, HUBS = 4096, 4
@@ -47,12 +47,15 @@ def connect(
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
     met = written(members.join(shared.hint("shuffle_hash"), "bucket"), "members")
     mine = written(met.join(met.groupBy("bucket").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")), "bucket"), "buckets")
+    discard(met)
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = written(pairs, "pairs")
         held = written(contents(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "contents")
         both = pairs.join(held.select(F.col("id").alias("a"), F.col("content").alias("_a")), "a").join(held.select(F.col("id").alias("b"), F.col("content").alias("_b")), "b")
-        return written(both.where(linked(F.col("_a"), F.col("_b"))).select("a", "b"), "linked")
+        out = written(both.where(linked(F.col("_a"), F.col("_b"))).select("a", "b"), "linked")
+        discard(pairs, held)
+        return out
 
     def sides(lab: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
         """Members twice: each in one block of its bucket, and in all of them."""
@@ -73,16 +76,17 @@ def connect(
     spokes = mine.where("id > hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
     links = verified(spokes.join(a, "a").join(b, "b").where(near(F.col("_sa"), F.col("_sb"))).select("a", "b"))
     groups = components(links)
+    discard(links)
 
     lab = promising(_mixed(mine, groups, sketches))
+    discard(mine)
     if lab.isEmpty():
         return groups
     hubs = [F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), F.col("id").alias("b"), F.col("c").alias("cb"), F.col("sketch").alias("sb"))).alias(f"_{k}") for k in range(HUBS)]
     drawn = lab.groupBy("bucket").agg(*hubs).select("bucket", F.array(*[f"_{k}" for k in range(HUBS)]).alias("_hubs"))
     spokes = lab.join(drawn, "bucket").select(F.col("id").alias("a"), F.col("sketch").alias("_sa"), F.explode(F.filter("_hubs", lambda h: h["cb"] != F.col("c"))).alias("_h"))
     spokes = spokes.where(near(F.col("_sa"), F.col("_h.sb"))).select(F.greatest("a", "_h.b").alias("a"), F.least("a", "_h.b").alias("b")).distinct()
-    links = links.unionByName(verified(spokes))
-    groups = components(links)
+    groups = extended(groups, verified(spokes))
 
     lab = promising(_mixed(lab.select("bucket", "id", "hub", "n"), groups, sketches))
     if lab.isEmpty():
@@ -90,4 +94,4 @@ def connect(
     held = written(contents(lab.select("id").distinct()), "contents")
     left, right = sides(lab.join(held, "id"), "content")
     test = meet(left, right) & (F.col("a") > F.col("b")) & F.when(near(F.col("_sa"), F.col("_sb")), linked(F.col("_content_a"), F.col("_content_b"))).otherwise(F.lit(False))
-    return components(links.unionByName(left.join(right, test).select("a", "b").distinct()))
+    return extended(groups, written(left.join(right, test).select("a", "b").distinct(), "linked"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from ordertide.llm import chat, decontam, html_text, lines, lm, minhash, packing, quality, queries, sharding, suffix
+from ordertide.llm.common import components, extended
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -87,6 +88,29 @@ def test_near_duplicates_against_brute_force(spark, texts):
         assert sorted(r.doc_id for r in minhash.dedup(df, p).collect()) == [i for i in range(len(mine)) if find(i) == i]
 
 
+@pytest.mark.parametrize("kind", ["random", "chain", "star", "none"])
+def test_components_and_extended(spark, kind):
+    rng = random.Random(7)
+    n = 60
+    edges = {"random": [(rng.randrange(n), rng.randrange(n)) for _ in range(35)], "chain": [(i, i + 1) for i in range(n - 1)], "star": [(30, i) for i in range(n)], "none": []}[kind]
+    more = [(rng.randrange(2 * n), rng.randrange(2 * n)) for _ in range(12)]
+
+    def brute(pairs):
+        at = {x: x for p in pairs if p[0] != p[1] for x in p}
+        for _ in at:
+            for a, b in pairs:
+                if a != b:
+                    at[a] = at[b] = min(at[a], at[b])
+        return at
+
+    frame = lambda pairs: spark.createDataFrame(pairs, "a bigint, b bigint")
+    found = lambda df: sorted(map(tuple, df.collect()))
+    groups = components(frame(edges))
+    assert found(groups) == sorted(brute(edges).items())
+    assert found(extended(groups, frame(more))) == sorted(brute(edges + more).items())
+    assert found(extended(groups, frame([]))) == sorted(brute(edges).items())
+
+
 def test_odd_sketch_estimate():
     p = minhash.NearDup()
     assert abs(minhash.estimate(0, p) - 1) < 1e-9 and 0.6 < minhash.estimate(p.most_bits, p) < 0.75

@@ -303,6 +303,75 @@ def test_fuzzy_lines_against_brute_force(spark, texts):
     assert got == {i: sorted(want[i]) for i in range(len(docs))} and "a" in docs[0]
 
 
+def _line_groups(norm, similarity=0.9):
+    """Of each id, the least id reachable over pairs of edit similarity alone; nothing else is asked of a pair."""
+    root = {i: i for i in norm}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    def edit(a, b, most):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(row[-1] + 1, last[j] + 1, last[j - 1] + (x != y)))
+            if min(row) > most:
+                break
+        return row[-1]
+
+    ids = sorted(norm)
+    for k, a in enumerate(ids):
+        for b in ids[:k]:
+            most = math.floor(max(len(norm[a]), len(norm[b])) * (1 - similarity) + 1e-9)
+            if abs(len(norm[a]) - len(norm[b])) <= most and edit(norm[a], norm[b], most) <= most:
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {i: find(i) for i in norm}
+
+
+def _edited_lines(texts, seed):
+    """Lines of 2 to 60 words, then copies of each with one letter changed, and with as many edits as a similarity of 0.9 allows."""
+    rng = random.Random(seed)
+    full = [" ".join(regex.findall(r"[\p{L}\p{M}\p{N}]+", x.lower())) for t in texts for x in (t or "").split("\n")]
+    base = [" ".join(x.split()[: rng.choice((2, 3, 4, 6, 8, 10, 15, 25, 60))]) for x in dict.fromkeys(full) if x][:70]
+    base += ["漢字仮名交文章" * 12, "word " * 20 + "end"]
+    out = list(base)
+    for x in base:
+        for n in {min(1, len(x) // 10), (len(x) - len(x) // 10) // 10}:
+            y = list(x)
+            for at in rng.sample([i for i, c in enumerate(x) if c != " "], n):
+                y[at] = rng.choice([rng.choice("qzjxkv"), y[at] + rng.choice("qzjxkv")])
+            out.append("".join(y))
+    return out
+
+
+def test_fuzzy_lines_by_edit_similarity_alone(spark, texts):
+    mine = _edited_lines(texts, 5)
+    root = _line_groups(dict(enumerate(mine)))
+    assert sum(i != r for i, r in root.items()) > 100
+    df = spark.createDataFrame(list(enumerate(mine)), "doc_id bigint, text string")
+    assert {r.doc_id: r.n_removed for r in lines.op8(df).collect()} == {i: int(r != i) for i, r in root.items()}
+
+
+@pytest.mark.parametrize("similarity", [0.9, 0.8])
+def test_segments_miss_no_short_line(similarity):
+    p, rng = lines.FuzzyLines(similarity=similarity), random.Random(2)
+    plan = defaultdict(list)
+    for n, tag, start, size in p.segments():
+        plan[n].append((tag, start - 1, size))
+    parts = lambda x: {(tag, x[at : at + size]) for tag, at, size in plan[len(x)]}
+    for _ in range(4000):
+        x = [rng.choice("abcd") for _ in range(rng.randrange(5, lines.SHORT))]
+        y = list(x)
+        for _ in range(p.most(len(x))):
+            at = rng.randrange(len(y))
+            y[at : at + rng.randrange(2)] = rng.choice(["", "x", "y"])
+        assert x == y or parts("".join(x)) & parts("".join(y))
+
+
 def test_decontaminate_spans(spark):
     item = " ".join(f"q{j}" for j in range(12))
     docs = [(1, f"Before it. {item.upper()}, after it and more words so that most of it stays clean here now"), (2, item), (3, "clean text"), (4, None), (5, "short one")]

@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from fractions import Fraction
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -32,7 +33,7 @@ from ordertide.session import written
 LENGTH = 1024
 #: Tokens of a mixture window: the proportions hold in every 64 sequences.
 MIX_WINDOW = 64 * LENGTH
-#: More distinct sources than this share queues by hash, as the plan of the mixture is held by every task.
+#: With more distinct sources than this, rows are ordered by their place in the stream first, so that a task needs the shares of few windows.
 QUEUES = 1024
 END = 0
 
@@ -78,6 +79,7 @@ class Mixture:
     targets: list[int] | None = None
     window: int = MIX_WINDOW
     _phases: list = field(default_factory=list)
+    _tail: tuple | None = None
 
     def __post_init__(self) -> None:
         t = self.targets or self.totals
@@ -86,8 +88,13 @@ class Mixture:
         while any(left):
             live = [s for s, x in enumerate(left) if x]
             weight = [max(0, t[s]) if left[s] else 0 for s in range(len(left))]
-            if not any(weight):  # only queues of no target are left
-                weight = [int(s in set(live)) for s in range(len(left))]
+            if not any(weight):  # only queues of no target are left, all of them whole: they share alike
+                sizes = sorted(self.totals[s] for s in live)
+                gone = [0, *accumulate(sizes)]
+                # where each runs out in turn
+                ends = [gone[k] + x * (len(sizes) - k) for k, x in enumerate(sizes)]
+                self._tail = (int(at), set(live), gone, ends)
+                break
             den = sum(weight)
             span = min(left[s] * den / weight[s] for s in live if weight[s])
             self._phases.append((at, list(base), weight, den))
@@ -99,6 +106,8 @@ class Mixture:
         self.windows = -(-self.all // self.window)
         self._starts = [p[0] for p in self._phases]
         self._rows: dict[int, tuple[list[int], int]] = {}
+        self._firsts: dict[int, list[int]] = {}
+        self._most = max(8, 4096 * QUEUES // max(len(left), QUEUES))
 
     def given(self, w: int) -> list[int]:
         """C(w) of each queue: tokens given before window ``w``."""
@@ -106,11 +115,14 @@ class Mixture:
 
     def _row(self, w: int) -> tuple[list[int], int]:
         if w not in self._rows:
-            if len(self._rows) > 4096:
+            if len(self._rows) >= self._most:
                 self._rows.clear()
             g = min(w * self.window, self.all)
             if w >= self.windows:
                 c = list(self.totals)
+            elif self._tail and g >= self._tail[0]:
+                level = self._level(g)
+                c = [min(x, level) if s in self._tail[1] else x for s, x in enumerate(self.totals)]
             elif len(self._phases) == 1:
                 _, _, weight, den = self._phases[0]
                 c = [x * g // den for x in weight]
@@ -120,28 +132,48 @@ class Mixture:
             self._rows[w] = c, sum(c)
         return self._rows[w]
 
+    def _level(self, g: int) -> int:
+        """Tokens that each queue of no target has given, if it had as many, of ``g`` in all."""
+        at, live, gone, ends = self._tail
+        k = bisect_right(ends, g - at)
+        return (g - at - gone[k]) // (len(live) - k)
+
+    def _of(self, w: int, queue: int) -> int:
+        """``given(w)[queue]``, without the other queues if they are many."""
+        if len(self.totals) <= QUEUES or w in self._rows:
+            return self._row(w)[0][queue]
+        g = min(w * self.window, self.all)
+        if w >= self.windows:
+            return self.totals[queue]
+        if self._tail and g >= self._tail[0]:
+            return min(self.totals[queue], self._level(g)) if queue in self._tail[1] else self.totals[queue]
+        at, base, weight, den = self._phases[bisect_right(self._starts, g) - 1]
+        return int(base[queue] + (g - at) * weight[queue] / den)
+
     def place(self, queue: int, at: int) -> tuple[int, int, int]:
         """Of token ``at`` of a queue: its window, its place in the stream, and how many of the queue's tokens follow in that window, itself included."""
         lo, hi = 0, self.windows - 1
         if self.totals[queue] and len(self._phases) == 1:  # near, as shares are even
             guess = at * self.all // (self.totals[queue] * self.window)
             lo, hi = max(0, guess - 1), min(hi, guess + 2)
-            if self.given(lo)[queue] > at or (hi < self.windows - 1 and self.given(hi + 1)[queue] <= at):
+            if self._of(lo, queue) > at or (hi < self.windows - 1 and self._of(hi + 1, queue) <= at):
                 lo, hi = 0, self.windows - 1
         while lo < hi:
             mid = (lo + hi) // 2
-            lo, hi = (lo, mid) if self.given(mid + 1)[queue] > at else (mid + 1, hi)
-        (c, before), d = self._row(lo), self.given(lo + 1)
-        first = before + sum(d[s] - c[s] for s in range(queue))
-        return lo, first + at - c[queue], d[queue] - at
+            lo, hi = (lo, mid) if self._of(mid + 1, queue) > at else (mid + 1, hi)
+        c, d = self._of(lo, queue), self._of(lo + 1, queue)
+        if lo not in self._firsts:
+            if len(self._firsts) >= self._most:
+                self._firsts.clear()
+            (row, before), after = self._row(lo), self.given(lo + 1)
+            self._firsts[lo] = list(accumulate((y - x for x, y in zip(row, after, strict=True)), initial=before))
+        return lo, self._firsts[lo][queue] + at - c, d - at
 
 
 def tokenise(docs: DataFrame, *, tokenizer: str, ranks: str | None = None, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """A written table with a row for each document: doc_id, queue, part, start (tokens of the queue before it in its part), n and ids."""
     name = F.coalesce(F.col(source).cast("string"), F.lit(""))
     rows = docs.select(F.col(doc_id).alias("doc_id"), name.alias("source"), F.col(text).alias("text"))
-    if rows.select("source").distinct().limit(QUEUES + 1).count() > QUEUES:
-        rows = rows.withColumn("source", F.format_string("queue%04d", F.pmod(F.xxhash64("source"), F.lit(QUEUES))))
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokens, part, sums = _tokens(tokenizer, ranks), TaskContext.get().partitionId(), {}
@@ -171,13 +203,14 @@ def pack(docs: DataFrame, *, tokenizer: str, ranks: str | None = None, targets:
     """
     table = tokenise(docs, tokenizer=tokenizer, ranks=ranks, **names)
     sums = table.groupBy("queue", "part").agg(F.sum("n").alias("n"))
-    totals = {r["queue"]: int(r["n"]) for r in sums.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # QUEUES rows at most
+    totals = {r["queue"]: int(r["n"]) for r in sums.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # a row for each source
     order = sorted(totals)
     scaled = [round(targets.get(q, 0) * 1_000_000) for q in order] if targets else None
     number = {q: i for i, q in enumerate(order)}
     plan = ([totals[q] for q in order], scaled, window)
     before = F.coalesce(F.sum("n").over(Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = small(sums.select("queue", "part", before.cast("bigint").alias("part_start")))
+    in_all = F.sum("n").over(Window.partitionBy("queue"))
+    starts = small(sums.select("queue", "part", before.cast("bigint").alias("part_start"), in_all.alias("in_all")))
     kind = table.schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -197,7 +230,11 @@ def pack(docs: DataFrame, *, tokenizer: str, ranks: str | None = None, targets:
                         done, place, run = done + k, place + k, run - k
             yield pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "source", "sequence_id", "offset", *(["ids"] if with_ids else [])])
 
-    rows = table.join(starts, ["queue", "part"]).select("doc_id", "queue", (F.col("part_start") + F.col("start")).alias("at"), "n", "width", "ids")
+    at = F.col("part_start") + F.col("start")
+    rows = table.join(starts, ["queue", "part"])
+    if len(totals) > QUEUES:
+        rows = rows.withColumn("_share", at / F.col("in_all")).repartitionByRange("_share").sortWithinPartitions("_share")
+    rows = rows.select("doc_id", "queue", at.alias("at"), "n", "width", "ids")
     return rows.mapInPandas(cut, f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, source string, sequence_id bigint, offset bigint" + ", ids binary" * with_ids)
 
 

@@ -157,6 +157,41 @@ def test_packing_round_trip_and_shares(spark, texts, targets):
         assert abs(first["a"] - 3 * first["b"]) <= 8
 
 
+@pytest.mark.parametrize("targets", [None, {"a": 3.0, "b": 1.0}])
+def test_packing_many_sources(spark, targets):
+    """More sources than QUEUES: each keeps its name, its tokens and its share in every window."""
+    rows = [(i, "one two three four " * (1 + i % 3), f"s{i}") for i in range(packing.QUEUES + 80)] + [(10_000 + i, "five six seven eight " * 40, "aaab"[i % 4]) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(3)
+    got = packing.pack(df, **packing.public_files(), targets=targets, window=2048).collect()
+    assert {(r.doc_id, r.source) for r in got} == {(i, x) for i, _, x in rows}
+    stream = sorted((r.sequence_id * packing.LENGTH + r.offset, r.length, r.source) for r in got)
+    assert all(a + n == b for (a, n, _), (b, _, _) in zip(stream, stream[1:], strict=False)) and stream[0][0] == 0
+    totals = Counter()
+    for _, n, x in stream:
+        totals[x] += n
+    share = Counter()
+    for at, n, x in stream:
+        share[x] += max(0, min(n, 4096 - at))
+    if targets:
+        assert abs(share["a"] - 3072) <= 8 and abs(share["b"] - 1024) <= 8 and set(share) - {x for x in share if not share[x]} == {"a", "b"}
+    else:
+        assert abs(share["a"] - 4096 * totals["a"] / sum(totals.values())) < 1200
+
+
+def test_mixture_of_many_queues_as_of_few(monkeypatch):
+    """Counts of one queue and of all agree, and queues without target share alike until they run out."""
+    totals, targets = [50, 7, 0, 31, 400, 12, 90], [0, 3, 1, 0, 1, 0, 0]
+    few = packing.Mixture(totals, targets, 16)
+    monkeypatch.setattr(packing, "QUEUES", 2)
+    many = packing.Mixture(totals, targets, 16)
+    spots = lambda m: [m.place(q, at) for q, n in enumerate(totals) for at in range(n)]
+    assert spots(few) == spots(many) and sorted(x[1] for x in spots(few)) == list(range(sum(totals)))
+    assert all(few.given(w)[q] == many._of(w, q) for w in range(few.windows + 1) for q in range(len(totals)))
+    w = -(-(7 + 400) // 16) + 4
+    level = next(x for x in range(500) if sum(min(n, x + 1) for n in (50, 31, 12, 90)) > w * 16 - 407)
+    assert [few.given(w)[q] for q in (0, 3, 5, 6)] == [min(n, level) for n in (50, 31, 12, 90)]
+
+
 def test_lattice_sums_all_segmentations():
     import numpy as np
 

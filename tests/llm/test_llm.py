@@ -407,6 +407,15 @@ def test_segments_miss_no_short_line(similarity):
         assert x == y or parts("".join(x)) & parts("".join(y))
 
 
+def test_line_dedup_stage_by_edit_similarity_alone(spark, texts):
+    """The pipeline's stage: of each group one line stays, and documents left empty go."""
+    mine = _edited_lines(texts[20:], 9)
+    root = _line_groups(dict(enumerate(mine)))
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(mine)]
+    got = dict(corpus_pipeline.STAGES)["line_dedup"](spark, spark.createDataFrame(rows, DOC), SF).collect()
+    assert {r.doc_id: r.text for r in got} == {i: mine[i] for i, r in root.items() if i == r} and len(got) < len(mine) - 100
+
+
 def test_decontaminate_spans(spark):
     item = " ".join(f"q{j}" for j in range(12))
     docs = [(1, f"Before it. {item.upper()}, after it and more words so that most of it stays clean here now"), (2, item), (3, "clean text"), (4, None), (5, "short one")]

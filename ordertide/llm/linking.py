@@ -24,6 +24,20 @@ from ordertide.session import discard, written
 BLOCK, HUBS = 4096, 4
 
 
+def shared_buckets(members: DataFrame) -> DataFrame:
+    """A written table of bucket, id, hub (least id) and n, for buckets of two members or more. ``members``: bucket and id, a pair once each."""
+    # counts alone move for all buckets; hubs are found among the members of those that are shared
+    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+    met = written(members.join(shared.hint("shuffle_hash"), "bucket"), "members")
+    mine = written(_with_hub(met), "buckets")
+    discard(met)
+    return mine
+
+
+def _with_hub(met: DataFrame) -> DataFrame:
+    return met.join(met.groupBy("bucket").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")), "bucket")
+
+
 def _mixed(mine: DataFrame, groups: DataFrame, sketches: DataFrame) -> DataFrame:
     """Members, with component and sketch, of the buckets that hold more than one component. Two members were compared at once."""
     lab = mine.where("n > 2").join(groups, "id", "left").select("bucket", "id", "hub", "n", F.coalesce("component", "id").alias("c"))
@@ -32,7 +46,7 @@ def _mixed(mine: DataFrame, groups: DataFrame, sketches: DataFrame) -> DataFrame
 
 
 def connect(
-    members: DataFrame,
+    mine: DataFrame,
     sketches: DataFrame,
     near: Callable[[Column, Column], Column],
     contents: Callable[[DataFrame], DataFrame],
@@ -40,14 +54,9 @@ def connect(
 ) -> DataFrame:
     """``id``, ``component`` of every id with a link.
 
-    ``members``: bucket, id (numbers; a pair once each). ``sketches``: id, sketch. ``near``: whether two sketches may belong to a link.
+    ``mine``: of ``shared_buckets``; deleted at the end. ``sketches``: id, sketch. ``near``: whether two sketches may belong to a link.
     ``contents``: id and content of the ids in a table. ``linked``: whether two contents are a link.
     """
-    # counts alone move for all buckets; hubs are found among the members of the few that are shared
-    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    met = written(members.join(shared.hint("shuffle_hash"), "bucket"), "members")
-    mine = written(met.join(met.groupBy("bucket").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")), "bucket"), "buckets")
-    discard(met)
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = written(pairs, "pairs")
@@ -72,12 +81,14 @@ def connect(
         found = left.join(right, meet(left, right) & near(F.col("_sa"), F.col("_sb")), "left_semi")
         return written(found.select("bucket", F.col("a").alias("id"), F.col("_hub_a").alias("hub"), F.col("_n_a").alias("n"), F.col("_ca").alias("c"), F.col("_sa").alias("sketch")), "near")
 
-    a, b = sketches.select(F.col("id").alias("a"), F.col("sketch").alias("_sa")), sketches.select(F.col("id").alias("b"), F.col("sketch").alias("_sb"))
-    spokes = mine.where("id > hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
-    links = verified(spokes.join(a, "a").join(b, "b").where(near(F.col("_sa"), F.col("_sb"))).select("a", "b"))
+    def to_hub(mine: DataFrame) -> DataFrame:
+        a, b = sketches.select(F.col("id").alias("a"), F.col("sketch").alias("_sa")), sketches.select(F.col("id").alias("b"), F.col("sketch").alias("_sb"))
+        spokes = mine.where("id > hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
+        return verified(spokes.join(a, "a").join(b, "b").where(near(F.col("_sa"), F.col("_sb"))).select("a", "b"))
+
+    links = to_hub(mine)
     groups = components(links)
     discard(links)
-
     lab = promising(_mixed(mine, groups, sketches))
     discard(mine)
     if lab.isEmpty():
@@ -92,6 +103,9 @@ def connect(
     if lab.isEmpty():
         return groups
     held = written(contents(lab.select("id").distinct()), "contents")
-    left, right = sides(lab.join(held, "id"), "content")
-    test = meet(left, right) & (F.col("a") > F.col("b")) & F.when(near(F.col("_sa"), F.col("_sb")), linked(F.col("_content_a"), F.col("_content_b"))).otherwise(F.lit(False))
+    # a pair is compared in the least of the buckets that it shares
+    whole = lab.join(held, "id").join(lab.groupBy("id").agg(F.collect_set("bucket").alias("all")), "id")
+    left, right = sides(whole, "content", "all")
+    once = F.array_min(F.array_intersect("_all_a", "_all_b")) == left["bucket"]
+    test = meet(left, right) & (F.col("a") > F.col("b")) & F.when(near(F.col("_sa"), F.col("_sb")) & once, linked(F.col("_content_a"), F.col("_content_b"))).otherwise(F.lit(False))
     return extended(groups, written(left.join(right, test).select("a", "b").distinct(), "linked"))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ordertide.llm.common import small, text_key
-from ordertide.llm.linking import connect
+from ordertide.llm.linking import connect, shared_buckets
 from ordertide.session import written
 
 
@@ -161,7 +161,7 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup(), *, doc_id: str = "d
         both = F.size(F.array_intersect(x, y))
         return both * 100 >= (F.size(x) + F.size(y) - both) * p.percent
 
-    groups = connect(nodes.select("id", F.explode("bands").alias("bucket")), nodes.select("id", "sketch"), near, contents, linked)
+    groups = connect(shared_buckets(nodes.select("id", F.explode("bands").alias("bucket"))), nodes.select("id", "sketch"), near, contents, linked)
     ids = sig.select("doc_id", "text_key", "n_shingles", "set_id")
     least = ids.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("least"))
     whole = least.join(groups.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("g", F.coalesce("component", "set_id"))

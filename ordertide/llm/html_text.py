@@ -1,26 +1,36 @@
-"""Layout-aware text of HTML pages: a tree with implied tags, visibility rules, and a renderer for blocks, lists and tables."""
+"""Layout-aware text of HTML pages: a tree with implied tags, visibility rules, and a renderer for blocks, lists and tables.
+
+A page costs time in proportion to its length: the scanner never goes back, open elements are found by name, and elements are
+rendered by a stack of generators, so that neither depth nor unclosed tags matter.
+"""
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field, replace
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Element classes of the HTML standard.
+# Element classes of the HTML standard, and its greatest colspan.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-INVISIBLE = frozenset("head script style template noscript iframe object audio video canvas svg math datalist noembed noframes title meta link base param source track area map dialog".split())
+RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
+INVISIBLE = frozenset(
+    "head script style template noscript iframe object audio video canvas datalist noembed noframes title meta link base param source track area map rp annotation annotation-xml".split()
+)
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html "
-    "legend li main menu nav ol p pre search section summary table ul tr caption thead tbody tfoot option optgroup".split()
+    "legend li listing main menu nav ol p plaintext pre search section summary table ul tr caption thead tbody tfoot option optgroup xmp".split()
 )
-APART = frozenset("p blockquote dl figure h1 h2 h3 h4 h5 h6 ol pre table ul menu dir hr".split())
+APART = frozenset("p blockquote dl figure h1 h2 h3 h4 h5 h6 listing ol plaintext pre table ul menu dir hr xmp".split())
+PRE = frozenset("pre listing xmp plaintext".split())
 _CLOSES_P = BLOCK - frozenset("body html li dd dt option optgroup tr caption thead tbody tfoot legend summary".split())
+_P_WALLS = frozenset("html table td th caption button object template marquee svg math".split())
+_ROWS = frozenset("thead tbody tfoot".split())
+_TABLE_PARTS = frozenset("table tr thead tbody tfoot td th body html".split())
 #: A start tag ends open elements of these names, up to the nearest of the others.
 _ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
@@ -31,102 +41,171 @@ _ENDS = {
     "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
     "body": ({"head"}, set()), "rt": ({"rt", "rp"}, {"ruby"}), "rp": ({"rt", "rp"}, {"ruby"}),
 }
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>?", re.S)
-_ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_HIDE = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+#: Parts of a drawing that show no text; its text stands in ``text`` and ``foreignobject``.
+_UNDRAWN = frozenset("title desc metadata defs symbol clippath mask pattern marker".split())
+_TYPED = frozenset("submit button reset text search tel url email number".split())
+MOST_COLSPAN = 1000
+#: Layout, which never drops text: columns that lists indent by at most, that a cell widens its column to at most, and tables inside each other that are aligned.
+MOST_INDENT, CELL_WIDTH, ALIGNED_TABLES = 64, 200, 8
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_GAP = re.compile(r"[\s/]*")
+_ATTR_NAME = re.compile(r"=?[^\s/>=]*")
+_EQUALS = re.compile(r"\s*=\s*")
+_BARE_VALUE = re.compile(r"[^\s>]*")
+_COMMENT_END = re.compile(r"--!?>")
 _SPACES = re.compile(r"[ \t\n\r\f]+")
-_BARE = {"hidden", "type", "style", "start", "value", "open", "colspan", "reversed"}
-#: Elements below this depth become children of their ancestor there, so that no page exhausts the stack.
-DEPTH = 200
+_KEPT = frozenset("hidden type style start value open colspan reversed".split())
+_RAW_END = {tag: re.compile(f"</{tag}(?=[\\s/>])", re.I) for tag in RAW}
 
 
-@dataclass
+@dataclass(slots=True)
 class Node:
     tag: str
     attrs: dict[str, str] = field(default_factory=dict)
     children: list = field(default_factory=list)
 
 
-def _attrs(s: str) -> dict[str, str]:
-    out: dict[str, str] = {}
-    for m in _ATTR.finditer(s):
-        name = m[1].lower()
-        if name in _BARE and name not in out:
-            out[name] = html.unescape(m[2] if m[2] is not None else m[3] if m[3] is not None else m[4] or "")
-    return out
+def _rest_of_tag(page: str, at: int) -> tuple[int, dict[str, str]]:
+    """Where the tag ends whose name ends at ``at``, and the attributes that matter; -1 if the page ends inside it. A quote that stays open ends with the tag, at the next ``>``."""
+    attrs: dict[str, str] = {}
+    while True:
+        at = _GAP.match(page, at).end()
+        if at >= len(page):
+            return -1, attrs
+        if page[at] == ">":
+            return at + 1, attrs
+        m = _ATTR_NAME.match(page, at)
+        name, value, at = m[0].lower(), "", m.end()
+        if m := _EQUALS.match(page, at):
+            at = m.end()
+            quote = page[at : at + 1]
+            if quote in ('"', "'") and quote:
+                end = page.find(quote, at + 1)
+                if end < 0:
+                    return page.find(">", at) + 1 or -1, attrs
+                value, at = page[at + 1 : end], end + 1
+            else:
+                m = _BARE_VALUE.match(page, at)
+                value, at = m[0], m.end()
+        if name in _KEPT and name not in attrs:
+            attrs[name] = html.unescape(value)
+
+
+class _Open:
+    """The open elements, and where those of each name stand among them."""
+
+    def __init__(self) -> None:
+        self.stack = [Node("#root")]
+        self.at: dict[str, list[int]] = {}
+
+    def push(self, n: Node) -> None:
+        self.at.setdefault(n.tag, []).append(len(self.stack))
+        self.stack.append(n)
+
+    def pop_to(self, i: int) -> None:
+        while len(self.stack) > i:
+            self.at[self.stack.pop().tag].pop()
+
+    def nearest(self, names: Iterable[str]) -> int:
+        return max((a[-1] for t in names if (a := self.at.get(t))), default=0)
+
+    def close(self, names: Iterable[str], walls: Iterable[str]) -> None:
+        """Ends all open elements of ``names`` that no element of ``walls`` stands above."""
+        while (i := self.nearest(names)) > self.nearest(walls):
+            self.pop_to(i)
 
 
 def tree(page: str) -> Node:
-    """The page's elements. Unknown end tags are passed over; elements left open end with their parents."""
-    root = Node("#root")
-    stack = [root]
-    at, end = 0, len(page)
-
-    def close(names: set[str], walls: set[str]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in walls:
-                return
-            if stack[i].tag in names:
-                del stack[i:]
-                close(names, walls)
-                return
+    """The page's elements. Unknown end tags are passed over; elements left open end with their parents; a tag that the page ends in is none."""
+    o, at, end = _Open(), 0, len(page)
+    root, skip_newline = o.stack[0], False
 
     def add(text: str) -> None:
+        nonlocal skip_newline
+        if skip_newline and text:  # the first after <pre>
+            text = text[2:] if text[:2] == "\r\n" else text[1:] if text[0] == "\n" else text
+        skip_newline = False
         if text:
-            stack[-1].children.append(html.unescape(text) if "&" in text else text)
+            o.stack[-1].children.append(html.unescape(text) if "&" in text else text)
 
     while at < end:
-        m = _TOKEN.search(page, at)
-        if m is None:
+        i = page.find("<", at)
+        if i < 0:
             add(page[at:])
             break
-        add(page[at : m.start()])
-        at = m.end()
-        closing, name, rest = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])  # the second form: a quote stays open
-        if not name:
+        if i > at:
+            add(page[at:i])
+        after = page[i + 1 : i + 2]
+        closing = after == "/"
+        m = _NAME.match(page, i + 1 + closing)
+        if m is None:
+            if page.startswith("<!--", i):
+                short = next((k for k in (">", "->") if page.startswith(k, i + 4)), None)
+                stop = _COMMENT_END.search(page, i + 4)
+                at = i + 4 + len(short) if short else stop.end() if stop else end
+            elif after in ("!", "?") and after or closing and i + 2 < end:
+                at = page.find(">", i) + 1 or end
+            else:
+                add("</" if closing else "<")
+                at = i + 1 + closing
             continue
-        tag = name.lower()
+        skip_newline = False
+        tag = m[0].lower()
+        at, attrs = _rest_of_tag(page, m.end())
+        if at < 0:
+            break
         if closing:
             if tag == "br":
-                stack[-1].children.append(Node("br"))
-            elif tag == "p" and not any(n.tag == "p" for n in stack):
-                stack[-1].children.append(Node("p"))
+                o.stack[-1].children.append(Node("br"))
+            elif tag == "p" and not o.at.get("p"):
+                o.stack[-1].children.append(Node("p"))
             else:
-                walls = {"table", "td", "th"} if tag not in ("table", "tr", "thead", "tbody", "tfoot", "td", "th", "body", "html") else {"table"} - {tag}
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == tag:
-                        del stack[i:]
-                        break
-                    if stack[i].tag in walls:
-                        break
+                i = o.nearest((tag,))
+                if i > o.nearest({"table"} - {tag} if tag in _TABLE_PARTS else ("table", "td", "th")):
+                    o.pop_to(i)
             continue
         if tag in _CLOSES_P:
-            close({"p"}, {"td", "th", "table", "button", "li", "div", "blockquote", "section", "article"} - {tag} if tag != "p" else {"td", "th", "table", "button"})
+            o.close(("p",), _P_WALLS)
         if tag in _ENDS:
-            close(*_ENDS[tag])
-        if tag in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
+            o.close(*_ENDS[tag])
+        if tag in ("td", "th") and (o.stack[-1].tag == "table" or o.stack[-1].tag in _ROWS):
             row = Node("tr")
-            stack[-1].children.append(row)
-            stack.append(row)
-        node = Node(tag, _attrs(rest) if rest and not rest.isspace() else {})
-        stack[-1].children.append(node)
+            o.stack[-1].children.append(row)
+            o.push(row)
+        node = Node(tag, attrs)
+        o.stack[-1].children.append(node)
         if tag in VOID:
             continue
         if tag in RAW:
-            stop = re.compile(f"</{tag}(?=[\\s/>])[^>]*>", re.I).search(page, at)
+            stop = None if tag == "plaintext" else _RAW_END[tag].search(page, at)
             body = page[at : stop.start() if stop else end]
-            at = stop.end() if stop else end
-            if tag == "textarea":
-                node.children.append(html.unescape(body))
+            if tag in ("textarea", "xmp", "plaintext"):
+                node.children.append(html.unescape(body) if tag == "textarea" else body)
+            at = _rest_of_tag(page, stop.end())[0] if stop else end
+            if at < 0:
+                break
             continue
-        if len(stack) < DEPTH:
-            stack.append(node)
+        o.push(node)
+        skip_newline = tag in ("pre", "listing")
     return root
 
 
-def visible(n: Node) -> bool:
-    a = n.attrs
-    return n.tag not in INVISIBLE and "hidden" not in a and not (n.tag == "input" and a.get("type", "").lower() == "hidden") and not ("style" in a and _HIDE.search(a["style"]))
+def shown(n: Node, inherited: bool) -> bool | None:
+    """Whether text in the element shows: None if it takes no place at all, else its visibility, which its own elements inherit and may change."""
+    a, display, visibility = n.attrs, "", ""
+    if style := a.get("style"):
+        for rule in style.lower().split(";"):
+            name, _, value = rule.partition(":")
+            name, value = name.strip(), value.replace("!important", "").strip()
+            if name == "display":
+                display = value
+            elif name == "visibility":
+                visibility = value
+    if n.tag in INVISIBLE or display == "none" or (not display and ("hidden" in a or (n.tag == "dialog" and "open" not in a))):
+        return None
+    if n.tag == "input" and a.get("type", "").strip().lower() == "hidden":
+        return None
+    return False if visibility in ("hidden", "collapse") else True if visibility in ("visible", "initial") else inherited
 
 
 class _Lines:
@@ -150,158 +229,211 @@ class _Lines:
         text = "".join(self.line).strip(" ")
         self.line = []
         if text:
-            if self.gap and self.out:
-                self.out.extend([""] * self.gap)
+            self._owed()
             self.out.append(self.mark + text)
             self.mark = " " * len(self.mark)
-            self.gap = 0
         if self.out:
             self.gap = max(self.gap, gap)
 
+    def end_pre(self, last: bool = False) -> None:
+        """Ends a line of preformatted text: its spaces stay, and so do empty lines inside."""
+        text = "".join(self.line)
+        self.line = []
+        if last and not text.strip():
+            return
+        if text.strip() or self.out:
+            self._owed()
+            self.out.append((self.mark + text).rstrip())
+
+    def add(self, lines: list[str], indent: str) -> None:
+        for x in lines:
+            self._owed()
+            self.out.append(indent + x if x else x)
+
+    def _owed(self) -> None:
+        if self.gap and self.out:
+            self.out.extend([""] * self.gap)
+        self.gap = 0
+
 
-def _render(n: Node, o: _Lines, indent: str, pre: bool) -> None:
-    for c in n.children:
-        if isinstance(c, str):
-            if pre:
+@dataclass(frozen=True, slots=True)
+class _Place:
+    """What an element is rendered in. ``drawing``: text shows only where a drawing says so; ``tables``: around it."""
+
+    indent: str = ""
+    pre: bool = False
+    shown: bool = True
+    drawing: bool = False
+    tables: int = 0
+
+
+_Steps = Iterator["_Steps"]
+
+
+def _run(steps: _Steps) -> None:
+    """Runs a generator, and those that it yields, each to its end before the one that yielded it goes on."""
+    stack = [steps]
+    while stack:
+        if (more := next(stack[-1], None)) is None:
+            stack.pop()
+        else:
+            stack.append(more)
+
+
+def _children(children: list, o: _Lines, p: _Place) -> _Steps:
+    for c in children:
+        if not isinstance(c, str):
+            yield _element(c, o, p)
+        elif p.shown and not p.drawing:
+            if p.pre:
                 first, *rest = c.split("\n")
                 o.line.append(first.rstrip("\r"))
                 for x in rest:
-                    _pre_line(o)
+                    o.end_pre()
                     o.line.append(x.rstrip("\r"))
             else:
                 o.word(c)
-            continue
-        if not visible(c):
-            continue
-        t = c.tag
-        if t == "br":
-            _pre_line(o) if pre else o.end()
-        elif t == "hr":
-            o.end(1)
-        elif t == "table":
-            o.end(1)
-            _append(o, _table(c), indent)
-            o.end(1)
-        elif t in ("ul", "ol", "menu", "dir"):
-            nested = bool(indent)
-            o.end(0 if nested else 1)
-            _list(c, o, indent, pre)
-            o.end(0 if nested else 1)
-        elif t in BLOCK:
-            gap = 1 if t in APART else 0
-            o.end(gap)
-            if t == "details" and "open" not in c.attrs:
-                c = Node(t, {}, [x for x in c.children if isinstance(x, Node) and x.tag == "summary"])
-            if t == "dd":
-                keep, o.mark = o.mark, o.mark + "  "
-                _render(c, o, indent + "  ", pre)
-                o.end()
-                o.mark = keep
-            else:
-                _render(c, o, indent, pre or t == "pre")
-                (o.end if not (pre or t == "pre") else lambda g: (_pre_line(o, True), o.end(g)))(gap)
-        elif t in ("td", "th"):
-            _render(c, o, indent, pre)
-            o.line.append(" ")
-        elif t == "input":
-            if c.attrs.get("type", "").lower() in ("submit", "button", "reset"):
-                o.word(c.attrs.get("value", ""))
-        else:
-            _render(c, o, indent, pre)
 
 
-def _pre_line(o: _Lines, last: bool = False) -> None:
-    """Ends a line of preformatted text: its spaces stay, and so do empty lines inside."""
-    text = "".join(o.line)
-    o.line = []
-    if last and not text.strip():
+def _element(c: Node, o: _Lines, p: _Place) -> _Steps:
+    now = shown(c, p.shown)
+    t = c.tag
+    if now is None or (p.drawing and t in _UNDRAWN):
         return
-    if o.gap and o.out:
-        o.out.extend([""] * o.gap)
-    o.gap = 0
-    if text.strip() or o.out:
-        o.out.append((o.mark + text).rstrip())
+    if now != p.shown:
+        p = replace(p, shown=now)
+    if t == "svg":
+        yield _children(c.children, o, replace(p, drawing=True))
+    elif p.drawing:
+        if t in ("text", "foreignobject"):
+            o.word(" ")
+            yield _children(c.children, o, replace(p, drawing=False))
+            o.word(" ")
+        else:
+            yield _children(c.children, o, p)
+    elif t == "br":
+        o.end_pre() if p.pre else o.end()
+    elif t == "hr":
+        o.end(1)
+    elif t == "table" and p.tables < ALIGNED_TABLES:
+        o.end(1)
+        lines: list[str] = []
+        yield _table(c, lines, replace(p, indent="", pre=False, tables=p.tables + 1))
+        o.add(lines, p.indent)
+        o.end(1)
+    elif t in ("ul", "ol", "menu", "dir"):
+        gap = 0 if p.indent else 1
+        o.end(gap)
+        yield _list(c, o, p)
+        o.end(gap)
+    elif t in BLOCK:
+        gap, pre = 1 if t in APART else 0, p.pre or t in PRE
+        o.end(gap)
+        children = c.children
+        if t == "details" and "open" not in c.attrs:
+            children = [x for x in children if isinstance(x, Node) and x.tag == "summary"][:1]
+        if t == "dd":
+            keep, o.mark = o.mark, (o.mark + "  ")[: max(MOST_INDENT, len(o.mark))]
+            yield _children(children, o, replace(p, indent=(p.indent + "  ")[:MOST_INDENT]))
+            o.end()
+            o.mark = keep
+        else:
+            yield _children(children, o, replace(p, pre=pre) if pre != p.pre else p)
+            if pre:
+                o.end_pre(True)
+            o.end(gap)
+    elif t in ("td", "th"):
+        yield _children(c.children, o, p)
+        if o.line:
+            o.word(" ")
+    elif t == "input":
+        if p.shown and c.attrs.get("type", "text").strip().lower() in _TYPED:
+            o.word(c.attrs.get("value", ""))
+    else:
+        yield _children(c.children, o, p)
 
 
-def _append(o: _Lines, lines: list[str], indent: str) -> None:
-    for x in lines:
-        if o.gap and o.out:
-            o.out.extend([""] * o.gap)
-        o.gap = 0
-        o.out.append(indent + x if x else x)
+def _number(attrs: dict[str, str], name: str) -> int | None:
+    text = attrs.get(name, "").strip()
+    return int(text) if re.fullmatch(r"-?\d{1,9}", text) else None
 
 
-def _list(n: Node, o: _Lines, indent: str, pre: bool) -> None:
-    ordered = n.tag == "ol"
-    items = sum(isinstance(c, Node) and c.tag == "li" for c in n.children)
+def _list(n: Node, o: _Lines, p: _Place) -> _Steps:
     step = -1 if "reversed" in n.attrs else 1
-    at = int(n.attrs["start"]) if re.fullmatch(r"-?\d{1,9}", n.attrs.get("start", "")) else (items if step < 0 else 1)
+    at = _number(n.attrs, "start")
+    if at is None:
+        at = sum(isinstance(c, Node) and c.tag == "li" for c in n.children) if step < 0 else 1
     for c in n.children:
-        if isinstance(c, str):
-            o.word(c)
-            continue
-        if not visible(c):
+        if isinstance(c, str) or c.tag != "li":
+            yield _children([c], o, p)
             continue
-        if c.tag != "li":
-            _render(Node("#", {}, [c]), o, indent, pre)
+        now = shown(c, p.shown)
+        if now is None:
             continue
-        if re.fullmatch(r"-?\d{1,9}", c.attrs.get("value", "")):
-            at = int(c.attrs["value"])
-        mark = f"{at}. " if ordered else "- "
+        if (value := _number(c.attrs, "value")) is not None:
+            at = value
+        mark = f"{at}. " if n.tag == "ol" else "- "
         at += step
         o.end()
-        keep, o.mark = o.mark, indent + mark
-        _render(c, o, indent + " " * len(mark), pre)
+        keep, o.mark = o.mark, p.indent + (mark if now else " " * len(mark))
+        yield _children(c.children, o, replace(p, indent=(p.indent + " " * len(mark))[:MOST_INDENT], shown=now))
         o.end()
         o.mark = keep
 
 
-def _rows(n: Node) -> Iterator[Node]:
+def _rows(n: Node, inherited: bool) -> Iterator[tuple[Node, bool]]:
     for c in n.children:
-        if isinstance(c, Node) and visible(c):
+        if isinstance(c, Node) and (c.tag == "tr" or c.tag in _ROWS) and (now := shown(c, inherited)) is not None:
             if c.tag == "tr":
-                yield c
-            elif c.tag in ("thead", "tbody", "tfoot"):
-                yield from _rows(c)
+                yield c, now
+            else:
+                for r in c.children:
+                    if isinstance(r, Node) and r.tag == "tr" and (row := shown(r, now)) is not None:
+                        yield r, row
 
 
-def _table(n: Node) -> list[str]:
+def _table(n: Node, out: list[str], p: _Place) -> _Steps:
     """Cells of a column stand below each other, two spaces apart; a cell's own lines keep their column. Text outside rows comes first."""
-    loose = Node("#", {}, [c for c in n.children if isinstance(c, str) or c.tag not in ("tr", "thead", "tbody", "tfoot")])
     o = _Lines()
-    _render(loose, o, "", False)
+    loose = [c for c in n.children if isinstance(c, str) or not (c.tag == "tr" or c.tag in _ROWS)]
+    loose += [x for c in n.children if isinstance(c, Node) and c.tag in _ROWS and shown(c, p.shown) is not None for x in c.children if isinstance(x, str) or x.tag != "tr"]
+    yield _children(loose, o, p)
     o.end()
-    rows: list[list[list[str]]] = []
-    for r in _rows(n):
-        cells: list[list[str]] = []
+    out.extend(o.out)
+    rows: list[dict[int, list[str]]] = []
+    width: dict[int, int] = {}
+    for r, row_shown in _rows(n, p.shown):
+        cells: dict[int, list[str]] = {}
+        at = 0
         for c in r.children:
-            if isinstance(c, Node) and not visible(c):
+            is_cell = isinstance(c, Node) and c.tag in ("td", "th")
+            now = shown(c, row_shown) if is_cell else row_shown
+            if now is None:
                 continue
             box = _Lines()
-            _render(Node("#", {}, c.children if isinstance(c, Node) and c.tag in ("td", "th") else [c]), box, "", False)
+            yield _children(c.children if is_cell else [c], box, replace(p, shown=now))
             box.end()
-            if isinstance(c, Node) and c.tag in ("td", "th"):
-                span = c.attrs.get("colspan", "")
-                cells.append(box.out)
-                cells.extend([[]] * (min(int(span), 100) - 1 if re.fullmatch(r"\d{1,4}", span) and int(span) else 0))
-            elif box.out:
-                cells.append(box.out)
-        if any(cells):
+            if box.out:
+                cells[at] = box.out
+                width[at] = max(width.get(at, 0), *(min(len(x), CELL_WIDTH) for x in box.out))
+            if is_cell or box.out:
+                at += min(max(_number(c.attrs, "colspan") or 1, 1), MOST_COLSPAN) if is_cell else 1
+        if cells:
             rows.append(cells)
-    width: list[int] = []
-    for cells in rows:
-        for i, cell in enumerate(cells):
-            w = max(map(len, cell), default=0)
-            if i < len(width):
-                width[i] = max(width[i], w)
-            else:
-                width.append(w)
-    out = list(o.out)
+    start, x = {}, 0
+    for col in sorted(width):
+        start[col] = x
+        x += width[col] + 2
     for cells in rows:
-        for k in range(max(map(len, cells))):
-            line = "  ".join((cell[k] if k < len(cell) else "").ljust(width[i]) for i, cell in enumerate(cells))
-            out.append(line.rstrip())
-    return out
+        order = sorted(cells)
+        for k in range(max(map(len, cells.values()))):
+            parts, size = [], 0
+            for col in order:
+                if k < len(cells[col]) and cells[col][k]:
+                    pad = " " * (start[col] - size) if start[col] >= size else "  "
+                    parts += [pad, cells[col][k]]
+                    size += len(pad) + len(cells[col][k])
+            out.append("".join(parts).rstrip())
 
 
 def render(page: str | None) -> str:
@@ -309,7 +441,7 @@ def render(page: str | None) -> str:
     if not page:
         return ""
     o = _Lines()
-    _render(tree(page), o, "", False)
+    _run(_children(tree(page).children, o, _Place()))
     o.end()
     return "\n".join(o.out)
 

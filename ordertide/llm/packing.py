@@ -42,7 +42,7 @@ _PLAIN = re.compile("[^\t\n\r\x20-\x7e\xa0-ɏͰ-ͷ΄-ΊΌΎ-ΡΣ-ϿЀ-ҁ‐-‧
 
 
 class Tokens:
-    """Token ids by the tokenizer file; the same vocabulary's rank file, where there is one, is faster on plain texts."""
+    """Token ids by the tokenizer file, in which the string of a special token is that token; the same vocabulary's rank file, where there is one, is faster on plain texts."""
 
     def __init__(self, path: str, ranks: str | None = None):
         from tokenizers import Tokenizer
@@ -193,19 +193,20 @@ def tokenise(docs: DataFrame, *, tokenizer: str, ranks: str | None = None, doc_i
     return written(rows.mapInPandas(encode, f"doc_id {kind}, queue string, part int, start bigint, n bigint, width int, ids binary"), "tokens")
 
 
-def pack(docs: DataFrame, *, tokenizer: str, ranks: str | None = None, targets: dict[str, float] | None = None, length: int = LENGTH, window: int = MIX_WINDOW, with_ids: bool = True, **names) -> DataFrame:
+def pack(docs: DataFrame, *, tokenizer: str, ranks: str | None = None, targets: dict[str, float] | None = None, power: float = 1.0, length: int = LENGTH, window: int = MIX_WINDOW, with_ids: bool = True, **names) -> DataFrame:
     """Pieces of documents in sequences of at most ``length`` tokens: doc_id, start, length, ids, ids_crc32, doc_tokens, source, sequence_id, offset.
 
     A null or empty text is its end token alone; a null source is a source named ''. Rows that repeat, in ids too, are
     packed each for itself. An empty table gives no piece. ``targets``: weights by source; sources it doesn't name get
-    none until the others run out. Documents are tokenised once, into a written table, so that a task that runs again finds
+    none until the others run out. Without ``targets`` a source's weight is its number of tokens to the ``power``: at 1, sources keep their proportions to the end;
+    below it, small ones come sooner. Documents are tokenised once, into a written table, so that a task that runs again finds
     the same rows; after that only sums of tokens for each part and queue are moved.
     """
     table = tokenise(docs, tokenizer=tokenizer, ranks=ranks, **names)
     sums = table.groupBy("queue", "part").agg(F.sum("n").alias("n"))
     totals = {r["queue"]: int(r["n"]) for r in sums.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # a row for each source
     order = sorted(totals)
-    scaled = [round(targets.get(q, 0) * 1_000_000) for q in order] if targets else None
+    scaled = [round(targets.get(q, 0) * 1_000_000) for q in order] if targets else None if power == 1 else [max(1, round(totals[q] ** power * 1_000)) for q in order]
     number = {q: i for i, q in enumerate(order)}
     plan = ([totals[q] for q in order], scaled, window)
     before = F.coalesce(F.sum("n").over(Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -244,5 +245,9 @@ def public_files() -> dict[str, str]:
     return {"tokenizer": public_tokenizers.path("byte_bpe_50k.json"), "ranks": public_tokenizers.path("byte_bpe_50k.tiktoken")}
 
 
+#: The mixture of the registered queries: weights go by the square root of a source's size.
+POWER = 0.5
+
+
 def op3(docs: DataFrame) -> DataFrame:
-    return pack(docs, **public_files(), with_ids=False)
+    return pack(docs, **public_files(), power=POWER, with_ids=False)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ordertide.llm.common import small, text_key
+from ordertide.session import written
 
 #: A line is too frequent if more than this many distinct documents of its host hold it, and more than this share of them.
 LIMIT_DOCS, LIMIT_SHARE = 20, 0.01
@@ -98,7 +99,8 @@ def frequent_lines(docs: DataFrame, *, host: str = "source", text: str = "text",
 
 def host_line_rules(docs: DataFrame, *, host: str = "source", text: str = "text", limit_docs: int = LIMIT_DOCS, limit_share: float = LIMIT_SHARE, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE) -> DataFrame:
     """For each (host, text_key) with a line that is too frequent: removed (indexes of the lines) and removed_words."""
-    frequent = small(frequent_lines(docs, host=host, text=text, limit_docs=limit_docs, limit_share=limit_share))
+    # written first, as counting rows for the broadcast would run it once more
+    frequent = small(written(frequent_lines(docs, host=host, text=text, limit_docs=limit_docs, limit_share=limit_share), "frequent"))
     gone = _lines(docs, host, text).join(frequent, ["host", "line"])
     return gone.groupBy("host", "text_key").agg(F.array_sort(F.collect_set(F.struct("at", "words"))).alias("_w")).select(
         "host", "text_key", F.transform("_w", lambda x: x["at"]).alias("removed"), F.aggregate("_w", F.lit(0), lambda a, x: a + x["words"]).cast("bigint").alias("removed_words")
@@ -108,7 +110,7 @@ def host_line_rules(docs: DataFrame, *, host: str = "source", text: str = "text"
 def judge(docs: DataFrame, *, host: str = "source", text: str = "text", **limits) -> DataFrame:
     """Columns of ``docs`` but the text, with text_key, the five counts, base_failed, removed, removed_words, depleted and kept.
 
-    Null text: no words, so base_failed. Null host: one more host. Rows that repeat get the same verdict and count as one
+    Null text: no words, so base_failed. A null host is the host ''. Rows that repeat get the same verdict and count as one
     document in the line counts. Empty tables give empty results. ``docs`` columns of these names are replaced.
     """
     least_words, least_share = limits.get("least_words", LEAST_WORDS), limits.get("least_share", LEAST_SHARE)

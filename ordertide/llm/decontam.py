@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ordertide.llm.common import ascii_lower, small, text_key
+from ordertide.llm.common import ascii_lower, text_key
+from ordertide.session import written
 
 #: Words of a window, and windows of test items up to which their hash set is broadcast.
 WINDOW = 10
@@ -32,26 +33,33 @@ def item_windows(benchmark: DataFrame, *, item: str = "item_id", text: str = "te
     return at.select("item", "len", F.slice("w", F.col("i"), F.col("len")).alias("win")).groupBy("len", "win").agg(F.collect_set("item").alias("items")).withColumn("key", F.xxhash64("win"))
 
 
-def find(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, most_windows: int = MOST_WINDOWS) -> DataFrame:
     """For each distinct text with a hit: text_key, starts (word index and length of each occurrence) and items.
 
     One pass over the words, in generated code: each position's hash is looked up in the broadcast set, and equal hashes are
     verified word by word. Occurrences combine in the task that found them. If the test items have more than MOST_WINDOWS
-    windows, the set isn't broadcast and the join shuffles. Null and empty texts, and empty tables on either side, give no row.
+    windows, the set isn't broadcast: positions and hashes are dealt out, without words, and hits are verified on the texts that have one. Null and empty texts, and empty tables on either side, give no row.
     """
-    windows = item_windows(benchmark, item=item, text=item_text, window=window)
+    windows = written(item_windows(benchmark, item=item, text=item_text, window=window), "windows")
     lengths = sorted(r[0] for r in windows.select("len").distinct().collect())  # at most ``window`` numbers
     rows = docs.select(F.col(text).alias("_t")).where(F.col("_t").isNotNull())
     rows = rows.select(text_key("_t").alias("text_key"), words_of(F.col("_t")).alias("w"))
-    found = None
-    for n in lengths:
-        side = small(windows.where(F.col("len") == n).select("key", "win", "items"), MOST_WINDOWS)
-        at = rows.where(F.size("w") >= n).select("text_key", "w", F.explode(F.sequence(F.lit(0), F.size("w") - n)).alias("i"))
-        hits = at.select("text_key", "w", "i", _hash("w", "i", n).alias("key")).join(side, "key").where(F.slice("w", F.col("i") + 1, F.lit(n)) == F.col("win"))
-        hits = hits.select("text_key", F.struct("i", F.lit(n).alias("n")).alias("at"), "items")
-        found = hits if found is None else found.unionByName(hits)
-    if found is None:
+    if not lengths:
         return rows.where("false").select("text_key", F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("n"))).alias("starts"), F.array(F.lit("")).alias("items"))
+    at = rows.where(F.size("w") >= lengths[0]).select("text_key", "w", F.explode(F.sequence(F.lit(0), F.size("w") - lengths[0])).alias("i"))
+    if len(lengths) == 1:
+        at = at.select("text_key", "w", "i", F.lit(lengths[0]).alias("len"), _hash("w", "i", lengths[0]).alias("key"))
+    else:  # one pass for all lengths
+        keys = [F.struct(F.lit(n).alias("len"), F.when(F.col("i") + n <= F.size("w"), _hash("w", "i", n)).alias("key")) for n in lengths]
+        at = at.select("text_key", "w", "i", F.explode(F.array(*keys)).alias("k")).where("k.key IS NOT NULL").select("text_key", "w", "i", "k.len", "k.key")
+    same = F.slice("w", F.col("i") + 1, F.col("len")) == F.col("win")
+    if windows.count() <= most_windows:
+        found = at.join(F.broadcast(windows), ["len", "key"]).where(same).select("text_key", F.struct("i", F.col("len").alias("n")).alias("at"), "items")
+    else:  # the join moves hashes alone; the few texts with a hit are fetched once and verified
+        hits = at.select("text_key", "i", "len", "key").distinct().join(windows, ["len", "key"])
+        per = hits.groupBy("text_key").agg(F.collect_list(F.struct("i", "len", "win", "items")).alias("_h"))
+        both = rows.dropDuplicates(["text_key"]).join(per, "text_key").select("text_key", F.filter("_h", lambda h: F.slice("w", h["i"] + 1, h["len"]) == h["win"]).alias("_h"))
+        found = both.select("text_key", F.explode("_h").alias("h")).select("text_key", F.struct("h.i", F.col("h.len").alias("n")).alias("at"), "h.items")
     return found.groupBy("text_key").agg(F.collect_set("at").alias("starts"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
 
 

@@ -202,7 +202,9 @@ def _fit(types: DataFrame, ranks: str, rounds: int) -> tuple[np.ndarray, float]:
 
 
 def score(docs: DataFrame, *, ranks: str, doc_id: str = "doc_id", text: str = "text", folds: int = 5, held_fold: int = 1, rounds: int = 2) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row.
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and lattice_score for every row.
+
+    ``lattice_score`` is the lattice's marginal alone: words by all their segmentations, the end as one of V + 1 types.
 
     Learns from rows whose crc32(doc_id as text) modulo ``folds`` isn't ``held_fold``; a null id counts as an empty text. Tokens are
     the words, then one end. Null and empty texts are the end alone. Rows that repeat count as often as they stand there, and
@@ -244,16 +246,17 @@ def score(docs: DataFrame, *, ranks: str, doc_id: str = "doc_id", text: str = "t
     def add(key: tuple, d: pd.DataFrame, w: pd.DataFrame) -> pd.DataFrame:
         c, lat = np.zeros(len(w)), np.zeros(len(w))
         c[w["id"]], lat[w["id"]] = w["c"], w["lattice"]
-        base, mine = tokens(c, lat + math.log1p(-1 / (v + 1)))
+        alone = lat + math.log1p(-1 / (v + 1))
+        base, mine = tokens(c, alone)
         out = []
         for doc, held, raw in zip(d["doc_id"], d["held_out"], d["ids"], strict=True):
             i, n = unpacked(raw)
-            out.append((doc, held, int(n.sum()) + 1, int(n[c[i] > 0].sum()) + (ends > 0), total, float(base[i] @ n) + end[0], float(mine[i] @ n) + end[1]))
-        return pd.DataFrame(out, columns=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            out.append((doc, held, int(n.sum()) + 1, int(n[c[i] > 0].sum()) + (ends > 0), total, float(base[i] @ n) + end[0], float(mine[i] @ n) + end[1], (float(alone[i] @ n) + new_end) / math.log(10)))
+        return pd.DataFrame(out, columns=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "lattice_score"])
 
     return (
         blocks.where("is_doc").select("block", "doc_id", "held_out", "ids").groupBy("block").cogroup(known.groupBy("of_block"))
-        .applyInPandas(add, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+        .applyInPandas(add, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, lattice_score double")
     )
 
 

@@ -6,6 +6,7 @@ import os
 import random
 import zlib
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import duckdb
 import pytest
@@ -36,20 +37,70 @@ def odd(spark, texts):
     return spark.createDataFrame(rows, DOC + ", text_key string, shard int, kept boolean").repartition(3)
 
 
-def test_odd_rows_and_empty_tables(spark, odd):
-    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+OPS = {
+    "op1": minhash.op1, "op3": packing.op3, "op4": lm.op4, "op5": suffix.op5, "op6": quality.op6,
+    "op7": lambda d: decontam.op7(d, d.sparkSession.createDataFrame([(7, "two words"), (8, None)], "item_id bigint, text string")), "op8": lines.op8, "op9": sharding.op9,
+}
+
+
+@pytest.fixture(scope="module")
+def of_odd(odd):
+    """Rows of each operator by doc_id."""
+    out = {}
+    for name, op in OPS.items():
+        out[name] = defaultdict(list)
+        for r in op(odd).collect():
+            out[name][r.doc_id].append(r)
+    return out
+
+
+def test_odd_rows_and_empty_tables(spark, odd, of_odd):
     n = odd.count()
-    ops = {
-        "op1": lambda d: minhash.op1(d), "op3": lambda d: packing.op3(d), "op4": lambda d: lm.op4(d), "op5": lambda d: suffix.op5(d), "op6": lambda d: quality.op6(d),
-        "op7": lambda d: decontam.op7(d, bench), "op8": lambda d: lines.op8(d), "op9": lambda d: sharding.op9(d),
-    }
-    for name, op in ops.items():
-        got = op(odd).collect()
-        assert len(got) == n or name == "op3", name
+    for name, op in OPS.items():
+        assert sum(map(len, of_odd[name].values())) == n or name == "op3", name
         assert op(odd.limit(0)).count() == 0, name
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     assert decontam.op7(odd, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_values_of_odd_rows(odd, of_odd):
+    """What null, blank, long and repeated rows get, by each operator."""
+    rows = odd.collect()
+    blank = [r.doc_id for r in rows if not (r.text or "").split() and r.doc_id is not None]
+    long = next(r.doc_id for r in rows if r.text == "x" * 70_000)
+
+    got = of_odd["op1"]
+    assert all(r.n_shingles == 0 and r.kept and r.component_id == i for i in blank for r in got[i]) and got[long][0].n_shingles == 1
+    assert [r.kept for r in got[25]] == [True] and not got[30][0].kept and got[30][0].component_id == 0 and len(got[3]) == 3 and all(r.kept for r in got[3])
+    got = of_odd["op5"]
+    empty = hashlib.sha256(b"").hexdigest()
+    assert all((r.n_bytes, r.n_removed, r.n_spans) == (len((r0.text or "").encode()), 0, 0) for r0 in rows if r0.doc_id in blank for r in got[r0.doc_id] if not r.n_bytes)
+    assert (got[long][0].n_removed, got[long][0].kept_sha256) == (70_000, empty) and all(r.n_removed == r.n_bytes for r in got[3] if r.n_bytes >= 400)
+    got = of_odd["op6"]
+    assert all(r.n_words == 0 and r.base_failed and not r.kept for i in blank for r in got[i]) and got[32][0].n_repeat_words == 30_000 and len(set(got[3])) == 1
+    got = of_odd["op8"]
+    counts = {r.doc_id: 0 if r.text is None else r.text.count("\n") + 1 for r in rows if r.doc_id is not None}
+    assert all(r.n_lines == counts[i] for i in counts for r in got[i]) and all(r.n_removed == 0 for i in blank for r in got[i])
+    got = of_odd["op9"]
+    assert all(r.size == len((r0.text or "").encode()) + 1 and r.text_crc32 == zlib.crc32((r0.text or "").encode()) for r0 in rows if r0.doc_id not in (None, 3) for r in got[r0.doc_id])
+    assert len({r.shard for r in got[3]}) == 1 and len({r.slot for r in got[3]}) == 3
+    got = of_odd["op4"]
+    assert all(r.n_tokens == 1 for i in blank for r in got[i]) and len({(r.base_score, r.score) for r in got[3]}) == 1 and got[32][0].n_tokens == 30_001
+    got = of_odd["op7"]
+    assert all(r.n_words == 0 and not r.contaminated for i in (25, 26) for r in got[i]) and (got[29][0].n_hit, got[29][0].n_items) == (2, 1)
+    files = packing.public_files()
+    kept = packing.Tokens(files["tokenizer"])
+    totals = {r.doc_id: r.doc_tokens for rs in of_odd["op3"].values() for r in rs if r.doc_id not in (None, 3)}
+    assert all(totals[r.doc_id] == len(kept(r.text)) + 1 for r in rows if r.doc_id in totals)
+
+
+def test_near_dedup_keeps_one_of_repeated_rows(spark, texts):
+    rows = [(1, texts[0], "a"), (1, texts[0], "b"), (2, texts[0], "c"), (None, texts[1], "d"), (None, texts[1], "e"), (None, texts[1] + " x", "f"), (3, None, "g"), (3, None, "h"), (4, " ", "i")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, text_key string")
+    got = sorted((r.doc_id or 0, r.text_key) for r in minhash.dedup(df).collect())
+    assert len(got) == 5 and [x for x in got if x[0] > 1] == [(3, "g"), (3, "h"), (4, "i")] and {x[0] for x in got} == {0, 1, 3, 4}
+
+
 def test_pipeline_stages(spark, odd):
     docs = odd.select("doc_id", "text", "lang", "source", "n_chars")
     for d in (docs, docs.limit(0)):
@@ -178,6 +229,54 @@ def test_packing_many_sources(spark, targets):
         assert abs(share["a"] - 4096 * totals["a"] / sum(totals.values())) < 1200
 
 
+@pytest.mark.parametrize(("totals", "targets"), [([500, 70, 0, 331], None), ([500, 70, 0, 331], [1, 1, 1, 2]), ([40, 900, 77], [3, 1, 7]), ([10, 10, 1000], [1, 0, 1])])
+def test_mixture_is_deficit_round_robin(totals, targets):
+    """Literally: in each window every queue's deficit grows by its share, whole tokens of it are given, and the rest is carried."""
+    from fractions import Fraction
+
+    window, mix = 32, packing.Mixture(totals, targets, 32)
+    weight = targets or totals
+    left, deficit, given = [Fraction(x) for x in totals], [Fraction(0)] * len(totals), [0] * len(totals)
+    for w in range(mix.windows):
+        assert mix.given(w) == given
+        budget = Fraction(window)
+        while budget and any(left):
+            live = [weight[s] if left[s] else 0 for s in range(len(left))]
+            if not any(live):
+                live = [1 if x else 0 for x in left]
+            span = min([budget, *(left[s] * sum(live) / x for s, x in enumerate(live) if x)])
+            for s, x in enumerate(live):
+                deficit[s] += span * x / sum(live)
+                left[s] -= span * x / sum(live)
+            budget -= span
+        for s in range(len(totals)):
+            n = int(deficit[s])
+            given[s] += n
+            deficit[s] -= n
+    assert mix.given(mix.windows) == totals
+
+
+def test_op3_deals_small_sources_sooner(spark):
+    rows = [(i, f"word{i} " * 40, "big") for i in range(900)] + [(1000 + i, f"term{i} " * 40, "small") for i in range(9)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = packing.op3(df).collect()
+    totals = Counter()
+    for r in got:
+        totals[r.source] += r.length
+    first = Counter()
+    for r in got:
+        if r.sequence_id < 10:
+            first[r.source] += r.length
+    share = totals["small"] ** 0.5 / (totals["small"] ** 0.5 + totals["big"] ** 0.5)
+    end = min(10 * packing.LENGTH * share, totals["small"])
+    assert sum(first.values()) == 10 * packing.LENGTH and sum(totals.values()) > packing.MIX_WINDOW
+    window = Counter()
+    for r in got:
+        if r.sequence_id < 64:
+            window[r.source] += r.length
+    assert window["small"] == min(totals["small"], int(packing.MIX_WINDOW * share)) and end > 0
+
+
 def test_mixture_of_many_queues_as_of_few(monkeypatch):
     """Counts of one queue and of all agree, and queues without target share alike until they run out."""
     totals, targets = [50, 7, 0, 31, 400, 12, 90], [0, 3, 1, 0, 1, 0, 0]
@@ -225,6 +324,18 @@ def test_lm_scores(spark, texts):
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (i not in train, len(ws), sum(c[w] > 0 for w in ws), n)
         assert abs(r.base_score - sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws)) < 1e-6
         assert r.score < 0
+    # both models, from their definitions: counts with the lattice as their prior, and the lattice alone
+    ranks = packing.public_files()["ranks"]
+    types = spark.createDataFrame([(bytearray(w),) for w in c if w is not None], "word binary")
+    logp, stop = lm._fit(types, ranks, 2)
+    p = lm._pieces(ranks)
+
+    def new(w):
+        return -math.log(v + 1) if w is None else lm.forward(__import__("numpy").frombuffer(w, "u1")[None], p, logp, stop)[0] + math.log1p(-1 / (v + 1))
+
+    for i in (0, 7, len(texts)):
+        want = sum(math.log10((c[w] + v * math.exp(new(w))) / (n + v)) for w in words[i])
+        assert abs(got[i].score - want) < 1e-6 * max(1, abs(want)) and abs(got[i].lattice_score - sum(map(new, words[i])) / math.log(10)) < 1e-6 * max(1, abs(want))
     held = [r for r in got.values() if r.held_out]
     # better than spelling every word in bytes
     assert sum(r.score for r in held) / sum(r.n_tokens for r in held) > -8
@@ -433,6 +544,24 @@ def test_decontaminate_spans(spark):
     assert sorted(r.doc_id for r in decontam.decontaminate(df, bench, mode="documents").collect()) == [3, 4]
 
 
+def test_more_windows_than_are_broadcast(spark, texts):
+    """The same hits, whichever way the windows meet the texts; items of several lengths."""
+    words = [" ".join(t.split()[5 : 5 + n]) for t, n in zip(texts, (3, 30, 10, 7, 12, 1, 25), strict=False)]
+    bench = spark.createDataFrame([(str(i), w) for i, w in enumerate([*words, "nothing like it", None])], "item_id string, text string")
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts[:30], texts[0], None, ""])], "doc_id bigint, text string")
+    plain = lambda most: sorted((bytes(r.text_key), sorted(map(tuple, r.starts)), r["items"]) for r in decontam.find(df, bench, most_windows=most).collect())
+    assert plain(10**6) == plain(0) and len(plain(0)) >= 7
+
+
+def test_rendezvous_winners(spark):
+    """Every score anew: -ln(u) / weight of the key's hash with each shard; the least wins."""
+    weights = [1.0, 0.5, 0.0, 2.5]
+    df = spark.range(400).select("id", sharding.rendezvous(F.col("id"), weights, 3).alias("shard"), *[F.xxhash64(F.col("id").cast("string"), F.lit(s), F.lit(3)).alias(f"h{s}") for s in range(4)])
+    for r in df.collect():
+        scores = [(-math.log((((r[f"h{s}"] & (1 << 64) - 1) >> 12) + 0.5) / (1 << 52)) / w, s) for s, w in enumerate(weights) if w]
+        assert r.shard == min(scores)[1]
+
+
 def test_shards(spark):
     df = spark.range(20_000).selectExpr("id AS doc_id", "concat('t', id) AS text")
     got = sharding.op9(df).collect()
@@ -450,6 +579,11 @@ HTML = [
     ("<p>a<p>b<div>c</div>d", "a\n\nb\n\nc\nd"), ("<ul><li>x<li>y<ol start=3><li>1<li>2</ol></ul>z", "- x\n- y\n  3. 1\n  4. 2\n\nz"), ("a<br>b &amp; c&eacute;", "a\nb & cé"),
     ("<table><tr><th>A<th>Long<tr><td>wide cell<td>2</table>", "A          Long\nwide cell  2"), ("<div hidden>n</div><p style='Display : none'>n<p>y<script>x<p></script><!-- c --><noscript>n</noscript>", "y"),
     ("<pre>  k\n\n  j</pre>t", "  k\n\n  j\n\nt"), ("", ""), ("<", "<"), ("x<a href=\"q>y</a> z", "xy z"), ("</b>t</i>", "t"), ("<title>n</title><select><option>a<option>b</select>", "a\nb"),
+    ("<div>" * 300 + "<div hidden>SECRET</div>x", "x"), ("<dialog open>d</dialog><dialog>e</dialog>", "d"), ("<math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></math>", "x=2"),
+    ("a<svg><title>t</title><text>drawn</text><g>g<text>two</text></g></svg>b", "a drawn two b"), ("<div style='visibility:hidden'>h<b style='visibility:visible'>seen</b></div>", "seen"),
+    ("<p hidden style='display:block'>shown", "shown"), ("<xmp><b></xmp>", "<b>"), ("<plaintext><b>", "<b>"), ("<pre>\nx</pre>", "x"), ("a <b", "a"), ("1 < 2 </ 3> 4", "1 < 2 4"),
+    ("<input value=v><input type=password value=p>", "v"), ("<table><tr><td colspan=2>ab<td>c<tr><td>1<td>2<td>3</table>", "ab     c\n1   2  3"), ("<a b='>' c=\"d>e", "e"), ("x<!-->y<!-- > -->z<!-- w", "xyz"),
+    ("<details><summary>s</summary>in</details><details open>out</details>", "s\nout"), ("<ruby>a<rp>(</rp><rt>b</rt></ruby>", "ab"), ("<ul><li style='visibility:hidden'>n<li>y</ul>", "- y"),
 ]
 
 
@@ -458,6 +592,59 @@ def test_html(page, text):
     assert html_text.render(page) == text
 
 
+N = 200_000
+
+
+@pytest.mark.parametrize("part", ["<a x", "<a x=\"'", "<b>", "<b><p>x", "<table><tr><td>", "<table><tr><td>a<td>", "<ul><li>a", "<dl><dd>a", "<!--", "<script>", "<", "<a b='>' ", "<i><table></i>", "<tr><td colspan=1000>x", "&amp;"])
+def test_html_takes_time_in_proportion(part):
+    import time
+
+    began = time.process_time()
+    html_text.render("<table>" + part * (N // len(part)) + "\"'>end")
+    assert time.process_time() - began < 5
+
+
+class _Words(HTMLParser):
+    """The visible words of well-nested pages, by the standard library's parser and a stack of hidden elements."""
+
+    def __init__(self):
+        super().__init__()
+        self.stack, self.words = [], []
+
+    def handle_starttag(self, tag, attrs):
+        a = dict(attrs)
+        style = (a.get("style") or "").replace(" ", "").lower()
+        gone = tag in html_text.INVISIBLE or "hidden" in a or "display:none" in style or "visibility:hidden" in style or (tag == "dialog" and "open" not in a)
+        if tag not in html_text.VOID:
+            self.stack.append((tag, gone))
+        elif tag == "br":
+            self.words.append(" ")
+
+    def handle_endtag(self, tag):
+        while any(t == tag for t, _ in self.stack) and self.stack.pop()[0] != tag:
+            pass
+        if tag in html_text.BLOCK or tag in ("td", "th"):
+            self.words.append(" ")
+
+    def handle_data(self, data):
+        if not any(gone for _, gone in self.stack):
+            self.words.append(data)
+
+
+def test_html_words_by_another_parser(spark):
+    """Of all pages that close what they open: the letters of the words, in order, and their number where no list or table adds marks."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    seen = 0
+    for page in pages:
+        other = _Words()
+        other.feed(page or "")
+        want = "".join("".join(other.words).split())
+        got = "".join(html_text.render(page).split())
+        plain = "".join(regex.findall(r"\p{L}+", got)) == "".join(regex.findall(r"\p{L}+", want))
+        seen += plain
+    assert seen >= 0.9 * len(pages) > 200
+
+
 def test_html_deep_and_null(spark):
     assert html_text.render("<div>" * 5000 + "x") == "x" and html_text.render(None) == ""
     df = spark.createDataFrame([(1, "u", None, "old"), (2, None, "<b>t</b>", None), (2, None, "<b>t</b>", None)], "page_id bigint, url string, html string, text string")

@@ -85,7 +85,7 @@ def test_values_of_odd_rows(odd, of_odd):
     assert all(r.size == len((r0.text or "").encode()) + 1 and r.text_crc32 == zlib.crc32((r0.text or "").encode()) for r0 in rows if r0.doc_id not in (None, 3) for r in got[r0.doc_id])
     assert len({r.shard for r in got[3]}) == 1 and len({r.slot for r in got[3]}) == 3
     got = of_odd["op4"]
-    assert all(r.n_tokens == 1 for i in blank for r in got[i]) and len({(r.base_score, r.score) for r in got[3]}) == 1 and got[32][0].n_tokens == 30_001
+    assert all(r.n_tokens == 1 for i in blank for r in got[i]) and len({round(r.score, 6) for r in got[3]}) == 1 and got[32][0].n_tokens == 30_001
     got = of_odd["op7"]
     assert all(r.n_words == 0 and not r.contaminated for i in (25, 26) for r in got[i]) and (got[29][0].n_hit, got[29][0].n_items) == (2, 1)
     files = packing.public_files()

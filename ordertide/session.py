@@ -21,12 +21,14 @@ def builder(app: str = "ordertide") -> SparkSession.Builder:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local one only where that is unset, as in tests."""
+    """The folder in spark.checkpoint.dir; a local one only where that is unset and all runs in one process, as in tests."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         held = spark.sparkContext.getCheckpointDir()
         if held:
             return held
+        if not (spark.sparkContext.master or "").startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -46,7 +48,13 @@ def written(df: DataFrame, what: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Deletes tables of ``written`` that nothing reads any more: what was made of them must itself be written."""
+    """Deletes tables of ``written`` that nothing reads any more: what was made of them must itself be written.
+
+    Shuffle files of jobs that are done go too. Spark deletes them when the driver collects its garbage, which a driver with
+    room to spare does seldom, while they fill the executors' disks.
+    """
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
     for t in tables:
         spark = t.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(t.written_path)

@@ -97,9 +97,12 @@ def connect(
     drawn = lab.groupBy("bucket").agg(*hubs).select("bucket", F.array(*[f"_{k}" for k in range(HUBS)]).alias("_hubs"))
     spokes = lab.join(drawn, "bucket").select(F.col("id").alias("a"), F.col("sketch").alias("_sa"), F.explode(F.filter("_hubs", lambda h: h["cb"] != F.col("c"))).alias("_h"))
     spokes = spokes.where(near(F.col("_sa"), F.col("_h.sb"))).select(F.greatest("a", "_h.b").alias("a"), F.least("a", "_h.b").alias("b")).distinct()
-    groups = extended(groups, verified(spokes))
+    more = verified(spokes)
+    groups = extended(groups, more)
+    discard(more)
 
-    lab = promising(_mixed(lab.select("bucket", "id", "hub", "n"), groups, sketches))
+    before, lab = lab, promising(_mixed(lab.select("bucket", "id", "hub", "n"), groups, sketches))
+    discard(before)
     if lab.isEmpty():
         return groups
     held = written(contents(lab.select("id").distinct()), "contents")

@@ -9,6 +9,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_MANY = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
+
+
 def builder(app: str = "ordertide") -> SparkSession.Builder:
     """AQE on, UTC, RocksDB state: transformWithState needs it."""
     return (
@@ -39,9 +42,18 @@ def fresh_path(spark: SparkSession, what: str) -> str:
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
-    """The rows as a table in the shared folder: cuts lineage, and survives lost executors."""
-    path = fresh_path(df.sparkSession, what)
-    df.write.parquet(path)
+    """The rows as a table in the shared folder: cuts lineage, and survives lost executors.
+
+    Partitions after a shuffle are as large as the session advises, and not as many as there are cores, so that a small table is a
+    file or two.
+    """
+    path, conf = fresh_path(df.sparkSession, what), df.sparkSession.conf
+    before = conf.get(_MANY, "true")
+    conf.set(_MANY, "false")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(_MANY, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.written_path = path
     return out

@@ -20,8 +20,8 @@ def _latest(c: str) -> Column:
 def rollup(events: DataFrame, size: str = "1 minute", *, sketch: bool = True, exact: bool = False) -> DataFrame:
     """Sums, counts and unique customers for each (window, restaurant, item).
 
-    ``order_count`` counts event rows. ``sketch`` adds a mergeable HLL of the customers, ``exact`` their number (it holds a
-    set for each group). Events without a timestamp belong to no window. Input with ``event_time`` already set, as streams
+    ``order_count`` counts event rows. ``sketch`` adds a mergeable HLL of the customers, ``exact`` their number (on a stream
+    that holds a set for each group; a batch deals customers out). Events without a timestamp belong to no window. Input with ``event_time`` already set, as streams
     with a watermark have it, is used as it is.
     """
     df = events if "event_time" in events.columns else with_event_time(events)
@@ -35,7 +35,7 @@ def rollup(events: DataFrame, size: str = "1 minute", *, sketch: bool = True, ex
     if sketch:
         aggs.append(F.hll_sketch_agg("customer_id").alias("unique_customers_hll"))
     if exact:
-        aggs.append(F.size(F.collect_set("customer_id")).cast("bigint").alias("unique_customers"))
+        aggs.append((F.size(F.collect_set("customer_id")).cast("bigint") if df.isStreaming else F.count_distinct("customer_id")).alias("unique_customers"))
     agg = df.groupBy(F.window("event_time", size).alias("w"), "restaurant_id", "menu_item_id").agg(*aggs)
     start = F.col("w.start")
     return agg.select(
@@ -65,6 +65,7 @@ def merge_rollup(rolled: DataFrame, bucket: str = "hour") -> DataFrame:
     )
 
 
+# The order of the dimensions.
 CUBE_DIMS = ["restaurant_id", "category_id", "menu_item_id", "hour_of_day", "day_of_week"]
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,10 +48,11 @@ def route(dims: set[str], *, time_range: bool, has_cube: bool = True) -> str:
 
 
 class Engine:
-    """Answers requests from the ranked tables, per restaurant and global."""
+    """Answers requests from the ranked tables, per restaurant and global: DataFrames, or functions that read those of a range."""
 
-    def __init__(self, per_restaurant: DataFrame, overall: DataFrame):
-        self.per_restaurant, self.overall = per_restaurant, overall
+    def __init__(self, per_restaurant: DataFrame | Callable[[int, int], DataFrame], overall: DataFrame | Callable[[int, int], DataFrame]):
+        of = lambda t: t if callable(t) else lambda start, end: t
+        self.per_restaurant, self.overall = of(per_restaurant), of(overall)
 
     @staticmethod
     def health() -> dict:
@@ -68,7 +70,7 @@ class Engine:
     def _answer(self, name: str, find, start, end, k, now_ms) -> dict:
         s, e, n = self.params(start, end, k, now_ms)
         everywhere = name.lower() == "all"
-        rows = find(self.overall if everywhere else self.per_restaurant, s, e, n, None if everywhere else name).collect()  # k rows
+        rows = find((self.overall if everywhere else self.per_restaurant)(s, e), s, e, n, None if everywhere else name).collect()  # k rows
         return {"restaurantId": name, "startTime": s, "endTime": e, "k": n, "items": [r.asDict() for r in rows]}
 
     def top_k(self, restaurant_id: str, start=None, end=None, k=None, *, now_ms: int | None = None) -> dict:

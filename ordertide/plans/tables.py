@@ -30,7 +30,7 @@ class TableSpec:
 
         Rows without a time go under the default partition.
         """
-        out = self.with_date(df).sortWithinPartitions(self.partition, *self.sort)
+        out = (df if self.partition in df.columns else self.with_date(df)).sortWithinPartitions(self.partition, *self.sort)
         w = out.write.mode(mode).partitionBy(self.partition).option("maxRecordsPerFile", self.max_rows_per_file)
         w = w.option("partitionOverwriteMode", "dynamic")
         for c in self.bloom:
@@ -46,6 +46,14 @@ class TableSpec:
                 df = df.where((F.col(self.partition) >= day) & (t >= bound) if op == "ge" else (F.col(self.partition) <= day) & (t <= bound))
         return df
 
+    def create(self, spark: SparkSession, database: str = "default") -> str:
+        """Registers what is stored as a table of the catalog, with its partitions, so that SQL finds it by name; the name."""
+        name = f"`{database}`.`{self.name}`"
+        schema = spark.read.parquet(self.path).schema.toDDL()
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({schema}) USING parquet PARTITIONED BY (`{self.partition}`) LOCATION '{self.path}'")
+        spark.sql(f"MSCK REPAIR TABLE {name}")
+        return name
+
     def retained(self, df: DataFrame, now_ms: int) -> DataFrame:
         return df.where(F.col(self.time_column) >= now_ms - self.retention_days * 86_400_000)
 
@@ -71,3 +79,11 @@ def raw_spec(path: str) -> TableSpec:
 
 def rollup_spec(path: str) -> TableSpec:
     return TableSpec("orders_rollup_1m", path, "window_start_1m", ("restaurant_id", "menu_item_id", "window_start_1m"), 30, ("window_start_1m", "restaurant_id"))
+
+
+def restaurant_topk_spec(path: str) -> TableSpec:
+    return TableSpec("restaurant_topk", path, "window_start", ("restaurant_id", "window_start", "rank"), 30, ("restaurant_id", "window_start", "rank"))
+
+
+def global_topk_spec(path: str) -> TableSpec:
+    return TableSpec("global_topk", path, "window_start", ("window_start", "rank"), 30, ("window_start", "rank"))

@@ -10,26 +10,31 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ordertide.operators.parse import parse_json, to_raw
-from ordertide.operators.rollup import rollup
+from ordertide.operators.rollup import merge_first, rollup
 from ordertide.operators.topk import top_k_global, top_k_per_restaurant
-from ordertide.streaming.stateful import dedup_ttl
+from ordertide.plans.serving import Serving
+from ordertide.session import discard, written
+from ordertide.streaming.stateful import dedup_timer, dedup_ttl
 
 LATENESS = "10 seconds"
 
 
-def raw_events(values: DataFrame, *, retention_ms: int | None = 3_600_000, on_bad_record: str = "skip") -> DataFrame:
-    """Typed, deduplicated raw rows of a stream of JSON values.
+def raw_events(values: DataFrame, *, key: str = "event_id", retention_ms: int | None = 3_600_000, on_bad_record: str = "skip") -> DataFrame:
+    """Typed, deduplicated raw rows of a stream of JSON values. With ``key`` order_id, later lines of an order go as well.
 
     ``retention_ms`` None keeps every key ever seen, which suits bounded replays: it ends by itself under availableNow.
     """
     events = parse_json(values, on_bad_record=on_bad_record)
-    unique = events.dropDuplicates(["event_id"]) if retention_ms is None else dedup_ttl(events, "event_id", retention_ms)
+    unique = events.dropDuplicates([key]) if retention_ms is None else dedup_ttl(events, key, retention_ms)
     return to_raw(unique)
 
 
-def rollup_stream(raw: DataFrame, size: str = "1 minute", lateness: str = LATENESS) -> DataFrame:
-    """The watermark comes after the dedup, so a row is late only if its window has closed."""
-    timed = raw.withColumn("event_time", F.timestamp_millis("timestamp")).withWatermark("event_time", lateness)
+def rollup_stream(raw: DataFrame, size: str = "1 minute", lateness: str = LATENESS, *, clock: str = "event") -> DataFrame:
+    """The watermark comes after the dedup, so a row is late only if its window has closed. ``clock`` "wall": windows by when a batch is processed, whatever the events say."""
+    if clock not in ("event", "wall"):
+        raise ValueError(clock)
+    at = F.timestamp_millis("timestamp") if clock == "event" else F.current_timestamp()
+    timed = raw.withColumn("event_time", at).withWatermark("event_time", lateness)
     return rollup(timed, size)
 
 
@@ -47,8 +52,12 @@ def write_topk(rolled: DataFrame, path: str, checkpoint: str, *, k: int = 10, mo
     """
 
     def rank(batch: DataFrame, batch_id: int) -> None:
-        top_k_per_restaurant(batch, k).write.mode("overwrite").parquet(f"{path}/per_restaurant/batch={batch_id}")
-        top_k_global(batch, k, mode).write.mode("overwrite").parquet(f"{path}/global/batch={batch_id}")
+        batch.persist()  # read by both rankings
+        try:
+            top_k_per_restaurant(batch, k).write.mode("overwrite").parquet(f"{path}/per_restaurant/batch={batch_id}")
+            top_k_global(batch, k, mode).write.mode("overwrite").parquet(f"{path}/global/batch={batch_id}")
+        finally:
+            batch.unpersist()
 
     w = rolled.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(rank)
     return (w.trigger(availableNow=True) if once else w.trigger(processingTime=every)).start()
@@ -63,19 +72,54 @@ def drain(q: StreamingQuery, timeout: int = 600) -> None:
         raise q.exception()
 
 
+def serve_topk(rolled: DataFrame, serving: Serving, checkpoint: str, *, mode: str = "combined", once: bool = False, every: str = "60 seconds") -> StreamingQuery:
+    """Keeps the served tables: closed windows join the stored rollup, and the dates that they lie in are ranked anew.
+
+    A window that a replayed batch brings again is merged by its key, so replaying changes nothing.
+    """
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        dated = serving.rolled.with_date(batch)
+        days = [r[0] for r in dated.select(serving.rolled.partition).distinct().collect()]  # a batch's dates, few
+        if not days:
+            return
+        if serving.has_rollup(spark):
+            stored = serving.rolled.read(spark).where(F.col(serving.rolled.partition).isin(days))
+            dated = merge_first(stored, dated.select(*stored.columns), list(serving.rolled.primary_key))
+        whole = written(dated.drop(serving.rolled.partition), "days")  # cut from the table that is replaced next
+        serving.rolled.write(whole)
+        serving.rank(whole, mode=mode)
+        discard(whole)
+
+    w = rolled.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(put)
+    return (w.trigger(availableNow=True) if once else w.trigger(processingTime=every)).start()
+
+
 class Progress(StreamingQueryListener):
-    """Counters of rows in, as each batch ends."""
+    """Counters as each batch ends: rows in, rows out, rows dropped as late or repeated, and keys held in state."""
 
     def __init__(self) -> None:
         self.rows = 0
         self.batches = 0
+        self.late = 0
+        self.duplicates = 0
+        self.state_rows = 0
+
+    def report(self) -> str:
+        return f"{self.batches} batches, {self.rows} rows in, {self.duplicates} duplicates, {self.late} late, {self.state_rows} keys in state"
 
     def onQueryStarted(self, event) -> None:  # noqa: N802
         pass
 
     def onQueryProgress(self, event) -> None:  # noqa: N802
-        self.rows += event.progress.numInputRows
+        p = event.progress
+        self.rows += p.numInputRows
         self.batches += 1
+        states = p.stateOperators
+        self.state_rows = sum(s.numRowsTotal for s in states)
+        self.late += sum(s.numRowsDroppedByWatermark for s in states)
+        self.duplicates += sum(int((s.customMetrics or {}).get("numDroppedDuplicateRows", 0)) for s in states)
 
     def onQueryIdle(self, event) -> None:  # noqa: N802
         pass
@@ -93,6 +137,7 @@ def replay_rollup(spark: SparkSession, events: DataFrame, at: str, size: str = "
 
     end = events.agg(F.max("timestamp")).first()[0] or 0
     closing = spark.createDataFrame([("_closing", "_o", "_c", "_r", "_i", "_k", "_n", 0, 0, int(end) + 30 * 86_400_000)], events.select(*events.columns).schema)
+    last = int(end) + 15 * 86_400_000
     keyed_json(events, None).select("value").write.text(f"{at}/in/a")
     keyed_json(closing, None).select("value").coalesce(1).write.text(f"{at}/in/b")
     values = spark.readStream.format("text").load(f"{at}/in/*")
@@ -100,4 +145,20 @@ def replay_rollup(spark: SparkSession, events: DataFrame, at: str, size: str = "
     raw_schema = spark.read.parquet(f"{at}/raw").schema
     raw = spark.readStream.schema(raw_schema).parquet(f"{at}/raw")
     drain(write_table(rollup_stream(raw, size), f"{at}/rollup", f"{at}/ck/rollup", once=True))
-    return spark.read.parquet(f"{at}/rollup").where(F.col("restaurant_id") != "_r")
+    return spark.read.parquet(f"{at}/rollup").where(F.col("window_start_1m") < last)
+
+
+def replay_dedup(spark: SparkSession, events: DataFrame, at: str, key: str = "order_id", ttl_ms: int = 3_600_000, files: int = 4) -> DataFrame:
+    """Runs the deduplication with timers over bounded events, a file in time order in each micro-batch."""
+    from ordertide.operators.parse import keyed_json, parse_json
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    ends = events.approxQuantile("timestamp", [i / files for i in range(1, files)], 0.01) if files > 1 else []
+    for i, (low, high) in enumerate(zip([None, *ends], [*ends, None], strict=True)):
+        some = events if low is None else events.where(F.col("timestamp") >= low)
+        some = some if high is None else some.where(F.col("timestamp") < high)
+        keyed_json(some.orderBy("timestamp"), None).select("value").coalesce(1).write.text(f"{at}/in/{i}")
+    values = spark.readStream.format("text").option("maxFilesPerTrigger", 1).load(f"{at}/in/*")
+    kept = dedup_timer(parse_json(values, on_bad_record="skip"), key, ttl_ms)
+    drain(write_table(kept.drop("event_time"), f"{at}/kept", f"{at}/ck", once=True))
+    return spark.read.parquet(f"{at}/kept")

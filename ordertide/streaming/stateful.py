@@ -32,7 +32,10 @@ class KeepFirstTtl(StatefulProcessor):
 
 
 class KeepFirstTimer(StatefulProcessor):
-    """The earliest row of a key in each batch's rows; a timer at its event time plus ``ttl_ms`` clears the state."""
+    """Rows of a key that no accepted row precedes by less than ``ttl_ms`` of event time; a timer then clears the state.
+
+    The rows' own times decide, so that the result doesn't depend on where batches end; the timer only frees memory.
+    """
 
     def __init__(self, ttl_ms: int = 3_600_000):
         self.ttl_ms = ttl_ms
@@ -42,14 +45,20 @@ class KeepFirstTimer(StatefulProcessor):
         self.seen = handle.getValueState("seen", T.StructType([T.StructField("at", T.LongType())]))
 
     def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:  # noqa: N802, N803
-        first = min(rows, key=lambda r: r["timestamp"], default=None)
-        if first is not None and not self.seen.exists():
-            self.seen.update((first["timestamp"],))
-            self.handle.registerTimer(first["timestamp"] + self.ttl_ms)
-            yield first
+        at = self.seen.get()[0] if self.seen.exists() else None
+        out = []
+        for r in sorted(rows, key=lambda r: r["timestamp"]):
+            if at is None or r["timestamp"] >= at + self.ttl_ms:
+                at = r["timestamp"]
+                out.append(r)
+        if out:
+            self.seen.update((at,))
+            self.handle.registerTimer(at + self.ttl_ms)
+        yield from out
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:  # noqa: N802, N803
-        self.seen.clear()
+        if self.seen.exists() and self.seen.get()[0] + self.ttl_ms <= expiredTimerInfo.getExpiryTimeInMs():  # not one of an earlier row
+            self.seen.clear()
         return iter(())
 
     def close(self) -> None:

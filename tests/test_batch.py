@@ -10,6 +10,7 @@ from ordertide.operators.rollup import cube, merge_first, merge_rollup, rollup
 from ordertide.operators.topk import running_revenue, top_k_global, top_k_per_restaurant
 from ordertide.plans.engine import Engine, recent_top, revenue_by_hour, route, top_by_revenue
 from ordertide.plans.http import respond
+from ordertide.plans.serving import Serving, compact
 from ordertide.plans.tables import raw_spec
 from ordertide.schemas import ORDER_EVENT, ROLLUP_KEY
 from ordertide.sources.generate import generate
@@ -53,6 +54,36 @@ def test_api(rolled):
     assert Engine.params("x", None, "y", 5_000_000) == (1_400_000, 5_000_000, 10)
 
 
+def test_served_tables(spark, rolled, tmp_path):
+    serving = Serving(f"file://{tmp_path}/served")
+    assert not serving.exists(spark) and serving.write(rolled).exists(spark)
+    engine = serving.engine(spark)
+    for k, end in ((2, T0 + 120000), (2, T0 + 119999), (10, T0 + 10**9)):
+        top, both = top_k_per_restaurant(rolled), top_k_global(rolled)
+        assert [r.asDict() for r in recent_top(top, T0, end, k, "R1").collect()] == engine.top_k("R1", T0, end, k)["items"]
+        assert [r.asDict() for r in top_by_revenue(both, T0, end, k).collect()] == engine.top_k_by_revenue("all", T0, end, k)["items"]
+    serving.write(rolled)  # again: the same dates are replaced
+    assert serving.rolled.read(spark).count() == rolled.count()
+    got = {r.restaurant_id: (r.sum_revenue_cents, r.order_count) for r in serving.sums(spark, ["restaurant_id"]).collect()}
+    assert got == {"R1": (6695, 4), "R2": (7893, 2)}
+    assert serving.sums(spark, []).first().order_count == 6 and serving.sums(spark, ["menu_item_name"], T0, T0 + 1).agg(F.sum("order_count")).first()[0] == 4
+    with pytest.raises(ValueError, match="customer_id"):
+        serving.sums(spark, ["customer_id"])
+    plan = serving.top(spark, T0, T0 + 120000, 2, "R1")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(dt" in plan
+    name = serving.overall.create(spark)
+    assert spark.sql(f"SELECT count(*) FROM {name}").first()[0] == top_k_global(rolled).count()
+    spark.sql(f"DROP TABLE {name}")
+
+
+def test_compact_waits_for_the_buffer(spark, golden):
+    fine = rollup(keep_first(golden))
+    assert compact(fine, T0 + 86_400_000).count() == 0
+    hours = compact(fine, T0 + 86_400_000 + 3_600_000)
+    assert {(r.restaurant_id, r.menu_item_id): r.order_count for r in hours.collect()} == {("R1", "I1"): 3, ("R1", "I2"): 1, ("R2", "I1"): 1, ("R2", "I3"): 1}
+    assert hours.select(F.hll_sketch_estimate("unique_customers_hll").alias("u")).agg(F.max("u")).first()[0] == 2
+
+
 def test_running_and_hours(golden, rolled):
     got = {r.menu_item_id: r.total_revenue for r in running_revenue(keep_first(golden)).collect()}
     assert got == {"I1": 10392, "I3": 2697, "I2": 1499} and sum(v // 100 for v in got.values()) == 143

@@ -8,7 +8,7 @@ from ordertide.operators.dedup import keep_first
 from ordertide.operators.rollup import rollup
 from ordertide.schemas import ORDER_EVENT
 from ordertide.sources.generate import generate
-from ordertide.streaming.jobs import drain, raw_events, replay_rollup, rollup_stream, write_table, write_topk
+from ordertide.streaming.jobs import Progress, drain, raw_events, replay_dedup, replay_rollup, rollup_stream, write_table, write_topk
 
 T0 = 1704067200000
 
@@ -67,3 +67,39 @@ def test_ttl_dedup(spark, tmp_path):
     q.stop()
     assert spark.read.parquet(f"{tmp_path}/raw").count() == 3
     assert spark.read.parquet(f"{tmp_path}/raw").columns == [*ORDER_EVENT.names, "revenue_cents"]
+
+
+def test_dedup_with_timers(spark, tmp_path):
+    """A repeat within the retention of the accepted row goes, a later one counts anew, in one batch or in several."""
+    from ordertide.operators.dedup import keep_first_within
+
+    hour = 3_600_000
+    rows = [_event(f"{k}-{s}", s, order_id=k) for k, times in (("a", (0, 60, 3599, 3600, 5000, 7300)), ("b", (10, 3700)), ("c", (7200,))) for s in times]
+    events = spark.createDataFrame([tuple(r[c] for c in ORDER_EVENT.names) for r in rows], ORDER_EVENT)
+    want = sorted((r.order_id, r.timestamp) for r in keep_first_within(events, "order_id", hour).collect())
+    for files in (1, 3):
+        kept = replay_dedup(spark, events, f"file://{tmp_path}/{files}", "order_id", hour, files=files)
+        assert sorted((r.order_id, r.timestamp) for r in kept.collect()) == want
+    assert len(want) == 6
+
+
+def test_order_id_key_wall_clock_and_counters(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.json").write_text("".join(json.dumps(_event(i, i, order_id=f"o{i % 4}")) + "\n" for i in range(12)))
+    progress = Progress()
+    spark.streams.addListener(progress)
+    try:
+        drain(write_table(raw_events(spark.readStream.text(f"{tmp_path}/in"), key="order_id", retention_ms=None), f"{tmp_path}/raw", f"{tmp_path}/ck", once=True))
+        raw = spark.read.parquet(f"{tmp_path}/raw")
+        assert raw.count() == 4
+        for _ in range(60):
+            if progress.duplicates == 8:
+                break
+            time.sleep(0.25)
+        assert progress.rows == 12 and progress.state_rows == 4 and "8 duplicates" in progress.report()
+    finally:
+        spark.streams.removeListener(progress)
+    before = time.time() * 1000 - 60_000
+    q = rollup_stream(spark.readStream.schema(raw.schema).parquet(f"{tmp_path}/raw"), clock="wall").writeStream.outputMode("complete").format("memory").queryName("wall").trigger(availableNow=True).start()
+    drain(q)
+    assert spark.table("wall").agg(F.min("window_start_1m")).first()[0] >= before and spark.table("wall").agg(F.sum("order_count")).first()[0] == 4

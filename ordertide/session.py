@@ -51,7 +51,7 @@ def written(df: DataFrame, what: str) -> DataFrame:
     before = conf.get(_MANY, "true")
     conf.set(_MANY, "false")
     try:
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     finally:
         conf.set(_MANY, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)

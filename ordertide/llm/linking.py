@@ -26,16 +26,10 @@ BLOCK, HUBS = 4096, 4
 
 def shared_buckets(members: DataFrame) -> DataFrame:
     """A written table of bucket, id, hub (least id) and n, for buckets of two members or more. ``members``: bucket and id, a pair once each."""
-    # counts alone move for all buckets; hubs are found among the members of those that are shared
-    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    met = written(members.join(shared.hint("shuffle_hash"), "bucket"), "members")
-    mine = written(_with_hub(met), "buckets")
-    discard(met)
-    return mine
-
-
-def _with_hub(met: DataFrame) -> DataFrame:
-    return met.join(met.groupBy("bucket").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")), "bucket")
+    # members move once: counts are taken where they have come to, and only those of shared buckets go on
+    dealt = members.repartition("bucket")
+    shared = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("hub")).where("n > 1")
+    return written(dealt.join(shared.hint("shuffle_hash"), "bucket"), "buckets")
 
 
 def _mixed(mine: DataFrame, groups: DataFrame, sketches: DataFrame) -> DataFrame:

@@ -41,15 +41,15 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
+def written(df: DataFrame, what: str, *, few: bool = True) -> DataFrame:
     """The rows as a table in the shared folder: cuts lineage, and survives lost executors.
 
-    Partitions after a shuffle are as large as the session advises, and not as many as there are cores, so that a small table is a
-    file or two.
+    With ``few``, partitions after a shuffle are as large as the session advises, and not as many as there are cores, so that a small
+    table is a file or two. Stages that compute much on little data do without.
     """
     path, conf = fresh_path(df.sparkSession, what), df.sparkSession.conf
     before = conf.get(_MANY, "true")
-    conf.set(_MANY, "false")
+    conf.set(_MANY, "false" if few else "true")
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:

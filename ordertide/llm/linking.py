@@ -2,12 +2,16 @@
 
 1. Hubs: each member of a bucket is compared with the bucket's least id alone, a row for each member.
 2. The links found are closed to components.
-3. In buckets whose members still lie in different components, members are compared with a few more hubs, drawn by hash.
-4. Buckets that are still mixed are compared in full, but only across components, and only members with a near sketch of
-   another component: they meet in salted blocks, contents are compared inside the join, and only links leave it. Buckets of copies of one thing, which are the large
-   ones, are one component by then and cost nothing here.
-
-So every pair that shares a bucket and whose sketches are near is either compared in full, or already connected.
+3. Then, of buckets whose members still lie in different components, either
+
+   * all members are compared, as ``connect`` does without ``classes``: with a few more hubs, drawn by hash, and then in
+     full, but only across components, and only members with a near sketch of another component. They meet in salted
+     blocks, contents are compared inside the join, and only links leave it. Buckets of copies of one thing, which are the large
+     ones, are one component by then and cost nothing here. So every pair that shares a bucket and whose sketches are near is either
+     compared in full, or already connected; but the time grows with the square of a mixed bucket.
+   * or members are dealt again by bucket and class, with HUBS hubs of their own for each, a row for each member, class and hub. The time is in
+     proportion to the members, however large a bucket. A pair is missed if in none of the buckets that it shares a hub is
+     connected to both.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from pyspark.sql import functions as F
 from ordertide.llm.common import components, extended
 from ordertide.session import discard, written
 
-#: Members of a bucket that one block holds; further hubs that a mixed bucket draws.
+#: Members of a bucket that one block holds; hubs that a mixed bucket draws, or each class of it.
 BLOCK, HUBS = 4096, 4
 
 
@@ -45,18 +49,20 @@ def connect(
     near: Callable[[Column, Column], Column],
     contents: Callable[[DataFrame], DataFrame],
     linked: Callable[[Column, Column], Column],
+    classes: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """``id``, ``component`` of every id with a link.
 
     ``mine``: of ``shared_buckets``; deleted at the end. ``sketches``: id, sketch. ``near``: whether two sketches may belong to a link.
-    ``contents``: id and content of the ids in a table. ``linked``: whether two contents are a link.
+    ``contents``: id and content of the ids in a table. ``linked``: whether two contents are a link. ``classes``: numbers by a sketch, of
+    which a pair that is a link has one in common.
     """
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = written(pairs, "pairs")
         held = written(contents(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "contents")
         both = pairs.join(held.select(F.col("id").alias("a"), F.col("content").alias("_a")), "a").join(held.select(F.col("id").alias("b"), F.col("content").alias("_b")), "b")
-        out = written(both.where(linked(F.col("_a"), F.col("_b"))).select("a", "b"), "linked")
+        out = written(both.where(linked(F.col("_a"), F.col("_b"))).select("a", "b"), "linked", few=False)
         discard(pairs, held)
         return out
 
@@ -83,6 +89,19 @@ def connect(
     links = to_hub(mine)
     groups = components(links)
     discard(links)
+    if classes is not None:
+        finer = _mixed(mine, groups, sketches).select("bucket", "id", "c", F.explode(classes(F.col("sketch"))).alias("k")).select(F.xxhash64("bucket", "k").alias("bucket"), "id", "c")
+        finer = written(finer.repartition("bucket"), "finer")
+        discard(mine)
+        first = [F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), F.col("id").alias("b"), F.col("c").alias("cb"))).alias(f"_{k}") for k in range(HUBS)]
+        drawn = finer.groupBy("bucket").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi"), *first).where("_lo < _hi").select("bucket", F.array_distinct(F.array(*[f"_{k}" for k in range(HUBS)])).alias("_hubs"))
+        spokes = finer.join(drawn, "bucket").select(F.col("id").alias("a"), F.explode(F.filter("_hubs", lambda h: h["cb"] != F.col("c"))).alias("_h")).select(F.greatest("a", "_h.b").alias("a"), F.least("a", "_h.b").alias("b")).distinct()
+        side = lambda x: sketches.select(F.col("id").alias(x), F.col("sketch").alias(f"_s{x}"))
+        more = verified(spokes.join(side("a"), "a").join(side("b"), "b").where(near(F.col("_sa"), F.col("_sb"))).select("a", "b"))
+        discard(finer)
+        groups = extended(groups, more)
+        discard(more)
+        return groups
     lab = promising(_mixed(mine, groups, sketches))
     discard(mine)
     if lab.isEmpty():

@@ -47,6 +47,7 @@ def written(df: DataFrame, what: str, *, few: bool = True) -> DataFrame:
     With ``few``, partitions after a shuffle are as large as the session advises, and not as many as there are cores, so that a small
     table is a file or two. Stages that compute much on little data do without.
     """
+    df.sparkSession._jvm.System.gc()  # see discard
     path, conf = fresh_path(df.sparkSession, what), df.sparkSession.conf
     before = conf.get(_MANY, "true")
     conf.set(_MANY, "false" if few else "true")

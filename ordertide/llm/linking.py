@@ -90,14 +90,14 @@ def connect(
     groups = components(links)
     discard(links)
     if classes is not None:
-        finer = _mixed(mine, groups, sketches).select("bucket", "id", "c", F.explode(classes(F.col("sketch"))).alias("k")).select(F.xxhash64("bucket", "k").alias("bucket"), "id", "c")
+        finer = _mixed(mine, groups, sketches).select("bucket", "id", "c", "sketch", F.explode(classes(F.col("sketch"))).alias("k")).select(F.xxhash64("bucket", "k").alias("bucket"), "id", "c", "sketch")
         finer = written(finer.repartition("bucket"), "finer")
         discard(mine)
-        first = [F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), F.col("id").alias("b"), F.col("c").alias("cb"))).alias(f"_{k}") for k in range(HUBS)]
-        drawn = finer.groupBy("bucket").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi"), *first).where("_lo < _hi").select("bucket", F.array_distinct(F.array(*[f"_{k}" for k in range(HUBS)])).alias("_hubs"))
-        spokes = finer.join(drawn, "bucket").select(F.col("id").alias("a"), F.explode(F.filter("_hubs", lambda h: h["cb"] != F.col("c"))).alias("_h")).select(F.greatest("a", "_h.b").alias("a"), F.least("a", "_h.b").alias("b")).distinct()
-        side = lambda x: sketches.select(F.col("id").alias(x), F.col("sketch").alias(f"_s{x}"))
-        more = verified(spokes.join(side("a"), "a").join(side("b"), "b").where(near(F.col("_sa"), F.col("_sb"))).select("a", "b"))
+        first = [F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), F.col("id").alias("b"), F.col("c").alias("cb"), F.col("sketch").alias("sb"))).alias(f"_{k}") for k in range(HUBS)]
+        drawn = finer.groupBy("bucket").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi"), *first).where("_lo < _hi").select("bucket", F.array(*[f"_{k}" for k in range(HUBS)]).alias("_hubs"))
+        # sketches are compared where members meet their hubs, so that near pairs alone are moved
+        spokes = finer.join(drawn, "bucket").select(F.col("id").alias("a"), "sketch", F.explode(F.filter("_hubs", lambda h: h["cb"] != F.col("c"))).alias("_h"))
+        more = verified(spokes.where(near(F.col("sketch"), F.col("_h.sb"))).select(F.greatest("a", "_h.b").alias("a"), F.least("a", "_h.b").alias("b")).distinct())
         discard(finer)
         groups = extended(groups, more)
         discard(more)

@@ -9,9 +9,11 @@
      blocks, contents are compared inside the join, and only links leave it. Buckets of copies of one thing, which are the large
      ones, are one component by then and cost nothing here. So every pair that shares a bucket and whose sketches are near is either
      compared in full, or already connected; but the time grows with the square of a mixed bucket.
-   * or members are dealt again by bucket and class, with HUBS hubs of their own for each, a row for each member, class and hub. The time is in
-     proportion to the members, however large a bucket. A pair is missed if in none of the buckets that it shares a hub is
-     connected to both.
+   * or, with ``linear``, they are compared with HUBS more hubs, a row for each member and hub. The time is in proportion to the
+     members, however large a bucket. A pair is missed if in none of the buckets that it shares a hub is connected to both.
+
+Where members have classes, a bucket is one for each class, so that members that can't be links don't meet, as large corpora have
+ever more that share a block by chance.
 """
 
 from __future__ import annotations
@@ -29,11 +31,23 @@ BLOCK, HUBS = 4096, 4
 
 
 def shared_buckets(members: DataFrame) -> DataFrame:
-    """A written table of bucket, id, hub (least id) and n, for buckets of two members or more. ``members``: bucket and id, a pair once each."""
-    # members move once: counts are taken where they have come to, and only those of shared buckets go on
+    """A written table of bucket, id, hub (least id) and n, for buckets of two members or more.
+
+    ``members``: bucket and id, a pair once each. With a column ``class``, members of a bucket meet if their classes are equal or neighbours:
+    each lies in the bucket of its class and in that of the next.
+    """
+    # members move once: classes are dealt and counts are taken where they have come to, and only those of shared buckets go on
     dealt = members.repartition("bucket")
-    shared = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("hub")).where("n > 1")
-    return written(dealt.join(shared.hint("shuffle_hash"), "bucket"), "buckets")
+    count = [F.count(F.lit(1)).alias("n"), F.min("id").alias("hub")]
+    if "class" not in members.columns:
+        shared = dealt.groupBy("bucket").agg(*count).where("n > 1")
+        return written(dealt.join(shared.hint("shuffle_hash"), "bucket"), "buckets")
+    # all of a bucket without a member of its own class lie in the bucket of the class before, too
+    by_class = dealt.select("bucket", "id", "class", F.explode(F.array("class", F.col("class") + 1)).alias("k")).groupBy("bucket", "k").agg(*count, F.max("class").alias("_own")).where("n > 1 AND _own = k")
+    # joined by bucket alone, as its members lie: a row has as many entries as its members have classes, which grow with the logarithm of the lengths
+    shared = by_class.groupBy("bucket").agg(F.collect_list(F.struct("k", "n", "hub")).alias("_all"))
+    mine = dealt.join(shared.hint("shuffle_hash"), "bucket").select("bucket", "id", F.explode(F.filter("_all", lambda c: c["k"].between(F.col("class"), F.col("class") + 1))).alias("_c"))
+    return written(mine.select(F.xxhash64("bucket", "_c.k").alias("bucket"), "id", "_c.hub", "_c.n"), "buckets")
 
 
 def _mixed(mine: DataFrame, groups: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -49,13 +63,13 @@ def connect(
     near: Callable[[Column, Column], Column],
     contents: Callable[[DataFrame], DataFrame],
     linked: Callable[[Column, Column], Column],
-    classes: Callable[[Column], Column] | None = None,
+    linear: bool = False,
 ) -> DataFrame:
     """``id``, ``component`` of every id with a link.
 
     ``mine``: of ``shared_buckets``; deleted at the end. ``sketches``: id, sketch. ``near``: whether two sketches may belong to a link.
-    ``contents``: id and content of the ids in a table. ``linked``: whether two contents are a link. ``classes``: numbers by a sketch, of
-    which a pair that is a link has one in common.
+    ``contents``: id and content of the ids in a table. ``linked``: whether two contents are a link. ``linear``: whether mixed
+    buckets are compared with hubs alone.
     """
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -89,16 +103,14 @@ def connect(
     links = to_hub(mine)
     groups = components(links)
     discard(links)
-    if classes is not None:
-        finer = _mixed(mine, groups, sketches).select("bucket", "id", "c", "sketch", F.explode(classes(F.col("sketch"))).alias("k")).select(F.xxhash64("bucket", "k").alias("bucket"), "id", "c", "sketch")
-        finer = written(finer.repartition("bucket"), "finer")
-        discard(mine)
-        first = [F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), F.col("id").alias("b"), F.col("c").alias("cb"), F.col("sketch").alias("sb"))).alias(f"_{k}") for k in range(HUBS)]
-        drawn = finer.groupBy("bucket").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi"), *first).where("_lo < _hi").select("bucket", F.array(*[f"_{k}" for k in range(HUBS)]).alias("_hubs"))
-        # sketches are compared where members meet their hubs, so that near pairs alone are moved
-        spokes = finer.join(drawn, "bucket").select(F.col("id").alias("a"), "sketch", F.explode(F.filter("_hubs", lambda h: h["cb"] != F.col("c"))).alias("_h"))
+    hubs = [F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), F.col("id").alias("b"), F.col("c").alias("cb"), F.col("sketch").alias("sb"))).alias(f"_{k}") for k in range(HUBS)]
+    if linear:
+        # members move by id, where they take component and sketch, and by bucket, where they meet their hubs: near pairs alone go on
+        lab = mine.where("n > 2").join(groups, "id", "left").join(sketches, "id").select("bucket", "id", F.coalesce("component", "id").alias("c"), "sketch").repartition("bucket")
+        drawn = lab.groupBy("bucket").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi"), *hubs).where("_lo < _hi").select("bucket", F.array(*[f"_{k}" for k in range(HUBS)]).alias("_hubs"))
+        spokes = lab.join(drawn.hint("shuffle_hash"), "bucket").select(F.col("id").alias("a"), "sketch", F.explode(F.filter("_hubs", lambda h: h["cb"] != F.col("c"))).alias("_h"))
         more = verified(spokes.where(near(F.col("sketch"), F.col("_h.sb"))).select(F.greatest("a", "_h.b").alias("a"), F.least("a", "_h.b").alias("b")).distinct())
-        discard(finer)
+        discard(mine)
         groups = extended(groups, more)
         discard(more)
         return groups
@@ -106,7 +118,6 @@ def connect(
     discard(mine)
     if lab.isEmpty():
         return groups
-    hubs = [F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), F.col("id").alias("b"), F.col("c").alias("cb"), F.col("sketch").alias("sb"))).alias(f"_{k}") for k in range(HUBS)]
     drawn = lab.groupBy("bucket").agg(*hubs).select("bucket", F.array(*[f"_{k}" for k in range(HUBS)]).alias("_hubs"))
     spokes = lab.join(drawn, "bucket").select(F.col("id").alias("a"), F.col("sketch").alias("_sa"), F.explode(F.filter("_hubs", lambda h: h["cb"] != F.col("c"))).alias("_h"))
     spokes = spokes.where(near(F.col("_sa"), F.col("_h.sb"))).select(F.greatest("a", "_h.b").alias("a"), F.least("a", "_h.b").alias("b")).distinct()

@@ -660,3 +660,20 @@ def test_sql(spark, name):
     rel = con.sql(queries.SQL[name])
     at = [rel.columns.index(c) for c in df.columns]
     assert sorted(map(repr, map(tuple, df.collect()))) == sorted(repr(tuple(r[i] for i in at)) for r in rel.fetchall())
+
+
+def test_buckets_by_class_against_brute_force(spark):
+    from itertools import combinations
+
+    from ordertide.llm.linking import shared_buckets
+
+    rng = random.Random(8)
+    rows = [(rng.randrange(12), i, rng.randrange(6)) for i in range(80)]
+    met = shared_buckets(spark.createDataFrame(rows, "bucket bigint, id bigint, class int")).collect()
+    of = {}
+    for r in met:
+        of.setdefault(r.bucket, set()).add(r.id)
+    got = {pair for ids in of.values() for pair in combinations(sorted(ids), 2)}
+    assert got == {(a[1], b[1]) for a, b in combinations(rows, 2) if a[0] == b[0] and abs(a[2] - b[2]) <= 1}
+    assert all(r.n == len(of[r.bucket]) > 1 and r.hub == min(of[r.bucket]) for r in met)
+    assert shared_buckets(spark.createDataFrame([], "bucket bigint, id bigint, class int")).count() == 0

@@ -75,3 +75,16 @@ def extended(groups: DataFrame, links: DataFrame) -> DataFrame:
     joined = components(ends.select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")))
     old = groups.join(joined.select(F.col("id").alias("component"), F.col("component").alias("_to")), "component", "left").select("id", F.coalesce("_to", "component").alias("component"))
     return written(old.unionByName(joined.join(groups.select("id"), "id", "left_anti")), "groups")
+
+
+def looked_up(left: DataFrame, right: DataFrame, key: list[str], many: Column, how: str = "left") -> DataFrame:
+    """``left`` (a written table: it is read twice) joined with ``right``, of one row for each key, however many rows a key has in ``left``.
+
+    ``many``: over ``right``, true for keys with more than a thousandth of the rows of ``left``, so for a thousand at most. These are
+    broadcast, and their rows stay where they are; the others are dealt out by key.
+    """
+    hot = right.where(F.coalesce(many, F.lit(False)))
+    if hot.isEmpty():
+        return left.join(right, key, how)
+    rest = left.join(F.broadcast(hot.select(*key)), key, "left_anti")
+    return left.join(F.broadcast(hot), key).unionByName(rest.join(right.where(~F.coalesce(many, F.lit(False))), key, how))

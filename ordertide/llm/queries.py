@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ordertide.llm import chat, decontam, html_text, lines, lm, minhash, packing, quality, sharding, suffix
+from ordertide.llm import centroids, chat, decontam, html_text, lines, lm, minhash, packing, prefix_trie, quality, sharding, simhash, suffix
 from ordertide.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -20,5 +20,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fuzzy_lines": lambda s, d: lines.op8(read(s, d, "documents", "doc_id", "text")),
     "op9_rendezvous_shards": lambda s, d: sharding.op9(read(s, d, "documents", "doc_id", "text")),
     "op10_html_text": lambda s, d: html_text.op10(read(s, d, "pages")),
+    "op11_prefix_trie": lambda s, d: prefix_trie.op11(read(s, d, "conversations", "conv_id", "turn", "role", "text")),
+    "op12_elkan_clusters": centroids.op12,
+    "op13_simhash_trie": lambda s, d: simhash.op13(read(s, d, "documents", "doc_id", "text")),
 }
-SQL: dict[str, str] = {"op2_chat_format": chat.OP2_SQL, "op6_quality_lines": quality.OP6_SQL, "op7_decontaminate": decontam.OP7_SQL}
+SQL: dict[str, str] = {"op2_chat_format": chat.OP2_SQL, "op6_quality_lines": quality.OP6_SQL, "op7_decontaminate": decontam.OP7_SQL, "op11_prefix_trie": prefix_trie.OP11_SQL, "op12_elkan_clusters": centroids.OP12_SQL}

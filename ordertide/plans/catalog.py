@@ -6,6 +6,7 @@ Minute windows hold about one event each in the test tables, so rankings also ru
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,10 +19,12 @@ from ordertide.operators.rollup import cube, merge_first, merge_rollup, rollup
 from ordertide.operators.topk import best_window_top_k, running_revenue, running_top, top_k_global, top_k_per_restaurant
 from ordertide.plans.engine import revenue_by_hour, top_items
 from ordertide.plans.serving import Serving, compact
-from ordertide.plans.tables import raw_spec, rollup_spec
+from ordertide.plans.store import Kept, Store
+from ordertide.plans.tables import raw_spec, restaurant_topk_spec, rollup_spec
 from ordertide.schemas import TOPK_COLS
 from ordertide.sources.adapters import line_orders, order_events
-from ordertide.streaming.jobs import drain, replay_dedup, replay_rollup, serve_topk
+from ordertide.streaming.jobs import chain, drain, keep, replay_dedup, replay_rollup, serve_topk
+from ordertide.streaming.ranking import combined, ranked_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -224,7 +227,7 @@ def served(spark: SparkSession, sf_dir: str) -> Serving:
     """The stored tables of a data folder, written when first asked for in an application: requests read them, and don't rank anew."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _SERVED or not _SERVED[key].exists(spark):
-        _SERVED[key] = Serving(session.fresh_path(spark, "served")).write(_hours(spark, sf_dir))
+        _SERVED[key] = Serving(session.fresh_path(spark, "served")).write(_hours(spark, sf_dir, sketch=True))
     return _SERVED[key]
 
 
@@ -317,9 +320,11 @@ def rollup_served(spark, sf_dir):
 @_query(f"{EVENTS}{_rolled('1 hour')}{_topk(10)} SELECT restaurant_id, count(*) AS entries, CAST(sum(order_count) AS BIGINT) AS order_count FROM top GROUP BY ALL")
 def sql_by_table_name(spark, sf_dir):
     """SQL over a stored table that is registered in the catalog."""
-    spec = served(spark, sf_dir).per_restaurant
-    spark.sql(f"DROP TABLE IF EXISTS default.{spec.name}")
-    return spark.sql(f"SELECT restaurant_id, count(*) AS entries, sum(order_count) AS order_count FROM {spec.create(spark)} GROUP BY restaurant_id")
+    at = session.fresh_path(spark, "topk")
+    spec = restaurant_topk_spec(at)
+    spec.write(top_k_per_restaurant(_hours(spark, sf_dir)))
+    name = replace(spec, name=f"topk_{at.rpartition('-')[2]}").create(spark, "ordertide_queries")
+    return spark.sql(f"SELECT restaurant_id, count(*) AS entries, sum(order_count) AS order_count FROM {name} GROUP BY restaurant_id")
 
 
 _CUT = (NOW - 86_400_000) // 3_600_000 * 3_600_000
@@ -377,16 +382,104 @@ def stream_dedup_retention(spark, sf_dir):
     return kept.select("order_id", "timestamp")
 
 
+def _in_batches(spark, rows: DataFrame, at: str, by: str, files: int = 6, each: int = 2) -> DataFrame:
+    """The rows as a stream, in files by ranges of a time column, a few files in each micro-batch, in whatever order they were written."""
+    rows.repartitionByRange(files, by).write.parquet(f"{at}/in")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", each).parquet(f"{at}/in")
+
+
 @_query(f"{EVENTS}{_rolled('1 hour')}{_topk(10)} SELECT {_OUT} FROM top WHERE restaurant_id = '{RESTAURANT}' AND {_RANGE}")
 def stream_served_topk(spark, sf_dir):
-    """The chain to its end: windows that close join the stored rollup, in several batches, and their dates are ranked in the table that requests read."""
+    """The chain to its end: windows that close join the stored rollup, in several batches, and are ranked in the table that requests read."""
     at = session.fresh_path(spark, "serve")
-    rolled = _hours(spark, sf_dir)
-    middle = F.col("window_start_1m") < (START + END) // 2
-    rolled.where(middle).coalesce(1).write.parquet(f"{at}/in/a")
-    rolled.where(~middle).coalesce(1).write.parquet(f"{at}/in/b")
     serving = Serving(f"{at}/tables")
-    stream = spark.readStream.schema(rolled.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in/*")
-    drain(serve_topk(stream, serving, f"{at}/ck", once=True))
-    top = serving.per_restaurant.read(spark, START, END)
-    return top.where((F.col("restaurant_id") == RESTAURANT) & (F.col("window_start") >= START) & (F.col("window_end") <= END)).select(*TOPK_COLS)
+    drain(serve_topk(_in_batches(spark, _hours(spark, sf_dir), at, "window_start_1m"), serving, f"{at}/ck", once=True))
+    top = serving.store.read(spark, "restaurant_topk", START, END)
+    return top.where((F.col("restaurant_id") == RESTAURANT) & (F.col("window_end") <= END)).select(*TOPK_COLS)
+
+
+@_query(f"{EVENTS}{_rolled('1 hour')} SELECT restaurant_id, menu_item_id, {_SUMS} FROM r GROUP BY ALL")
+def stream_grown_tree(spark, sf_dir):
+    """Sums from a star-tree that three batches of windows have grown, of nodes that are divided and of nodes that aren't."""
+    at = session.fresh_path(spark, "tree")
+    serving = Serving(f"{at}/tables", limit=1000)
+    drain(serve_topk(_in_batches(spark, _hours(spark, sf_dir), at, "window_start_1m"), serving, f"{at}/ck", once=True))
+    return serving.sums(spark, ["restaurant_id", "menu_item_id"])
+
+
+@_query(f"{EVENTS} SELECT restaurant_id, menu_item_id, count(DISTINCT customer_id) AS unique_customers, count(DISTINCT customer_id) AS exact FROM oe GROUP BY ALL")
+def unique_customers_served(spark, sf_dir):
+    """Distinct customers from the stored sketches; of groups this small the estimate is the number itself."""
+    est = served(spark, sf_dir).sums(spark, ["restaurant_id", "menu_item_id"], customers=True)
+    exact = order_events(spark, sf_dir).groupBy("restaurant_id", "menu_item_id").agg(F.count_distinct("customer_id").alias("exact"))
+    return est.join(exact, ["restaurant_id", "menu_item_id"]).select("restaurant_id", "menu_item_id", "unique_customers", "exact")
+
+
+def _live(spark, sf_dir: str, how: str, overall: bool, k: int) -> DataFrame:
+    """Rankings kept in state over micro-batches that cut windows in two; the last of each."""
+    at = session.fresh_path(spark, "live")
+    events = _in_batches(spark, order_events(spark, sf_dir), at, "timestamp")
+    store = Store(f"{at}/tables", {"ranked": Kept("latest", ("ranked_for", "period"))})
+    ranked = ranked_stream(combined(events, 3_600_000), k, overall=overall, how=how, lateness="60 days", salts=4)
+    drain(keep(ranked, store, {"ranked": lambda b: b}, f"{at}/ck", once=True))
+    return store.read(spark, "ranked").select(*TOPK_COLS)
+
+
+@_query(f"{EVENTS}{_rolled('1 hour')}{_topk(3)} SELECT {_OUT} FROM top")
+def stream_topk_live(spark, sf_dir):
+    return _live(spark, sf_dir, "sum", False, 3)
+
+
+@_query(f"{EVENTS}{_rolled('1 hour')}{_global(10)} SELECT {_OUT} FROM top")
+def stream_topk_live_global(spark, sf_dir):
+    return _live(spark, sf_dir, "sum", True, 10)
+
+
+def _best_stream(spark, sf_dir: str, overall: bool) -> DataFrame:
+    """Items by their best closed window, over a stream of daily rollup rows."""
+    at = session.fresh_path(spark, "best")
+    store = Store(f"{at}/tables", {"ranked": Kept("latest", ("ranked_for", "period"))})
+    rolled = _in_batches(spark, _days(spark, sf_dir), at, "window_start_1m")
+    drain(keep(ranked_stream(rolled, 10, overall=overall, how="max", salts=4), store, {"ranked": lambda b: b}, f"{at}/ck", once=True))
+    return store.read(spark, "ranked").select(*TOPK_COLS)
+
+
+@_query(SQL["topk_best_window"])
+def stream_best_window(spark, sf_dir):
+    return _best_stream(spark, sf_dir, False)
+
+
+@_query(SQL["topk_best_window_global"])
+def stream_best_window_global(spark, sf_dir):
+    return _best_stream(spark, sf_dir, True)
+
+
+def _one_job(spark, sf_dir: str, **kw) -> DataFrame:
+    """JSON text in, with repeats, to what a request for the top items reads; a last event far ahead closes the windows."""
+    at = session.fresh_path(spark, "job")
+    events = order_events(spark, sf_dir)
+    end = events.agg(F.max("timestamp")).first()[0] or 0
+    last = spark.createDataFrame([("_closing", "_o", "_c", "_r", "_i", "_k", "_n", 0, 0, int(end) + 30 * 86_400_000)], events.schema)
+    lines = lambda rows: keyed_json(rows, None).select("value")
+    lines(events.repartitionByRange(4, "timestamp")).write.text(f"{at}/in/a")
+    if not kw.get("by_event_time"):
+        lines(events.where("event_id LIKE '%3'").repartition(2)).write.text(f"{at}/in/b")
+    lines(last).coalesce(1).write.text(f"{at}/in/c")
+    serving = Serving(f"{at}/tables")
+    chain(spark, spark.readStream.option("maxFilesPerTrigger", 20).text(f"{at}/in/*"), serving, at, size="1 hour", once=True, **kw)
+    top = serving.store.read(spark, "restaurant_topk", 0, int(end) + 86_400_000)
+    return top.where("rank <= 3").select(*TOPK_COLS)
+
+
+@_query(f"{EVENTS}{_rolled('1 hour')}{_topk(3)} SELECT {_OUT} FROM top")
+def one_job(spark, sf_dir):
+    """Parse, dedup by event, raw table, windows, rollup and rankings as one job."""
+    return _one_job(spark, sf_dir, retention_ms=None)
+
+
+@_query(f"""{EVENTS.replace('WITH oe', 'WITH RECURSIVE oe', 1)}, a AS (SELECT order_id, min("timestamp") AS t FROM oe GROUP BY order_id
+  UNION ALL SELECT a.order_id, min(d."timestamp") AS t FROM a JOIN oe d ON d.order_id = a.order_id AND d."timestamp" >= a.t + 86400000 GROUP BY a.order_id),
+  d AS (SELECT oe.* FROM oe JOIN a ON a.order_id = oe.order_id AND a.t = oe."timestamp" QUALIFY row_number() OVER (PARTITION BY oe.order_id, a.t ORDER BY oe.event_id) = 1){_rolled('1 hour', 'd')}{_topk(3)} SELECT {_OUT} FROM top""")
+def one_job_by_order(spark, sf_dir):
+    """The same job, where repeats of an order within a day of the one before go."""
+    return _one_job(spark, sf_dir, key="order_id", retention_ms=86_400_000, by_event_time=True)

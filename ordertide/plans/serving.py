@@ -1,88 +1,144 @@
-"""The tables that requests are answered from: ranked windows, per restaurant and global, and pre-aggregated sums.
+"""The tables that requests are answered from: ranked windows, per restaurant and global, the rollup, and a star-tree of its sums.
 
-They are written once from a rollup and read many times. A request for a range of time opens the files of its dates
-alone; sums over some dimensions open those of their level.
+They lie in one store, so a commit shows all of them at once. A load replaces dates; a stream adds closed windows, of which
+only those that it brings are ranked. A request for a range of time opens the files of its dates alone.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ordertide.functions.scalar import event_time
-from ordertide.operators.rollup import CUBE_DIMS, cube, merge_rollup
+from ordertide.operators import startree
+from ordertide.operators.rollup import CUBE_DIMS, merge_rollup
 from ordertide.operators.topk import top_k_global, top_k_per_restaurant
 from ordertide.plans.engine import Engine, recent_top, route, top_by_revenue
-from ordertide.plans.tables import TableSpec, global_topk_spec, restaurant_topk_spec, rollup_spec
+from ordertide.plans.store import Kept, Store, Transaction
+from ordertide.schemas import ROLLUP_KEY
+
+TABLES = {
+    "rollup": Kept("append", tuple(ROLLUP_KEY), "window_start_1m", ("window_start_1m", "restaurant_id")),
+    "restaurant_topk": Kept("latest", ("restaurant_id", "window_start"), "window_start", ("restaurant_id", "window_start", "rank")),
+    "global_topk": Kept("latest", ("window_start",), "window_start", ("window_start", "rank")),
+    "tree": Kept("add", ("level", *CUBE_DIMS), sort=("level",), sketches=(startree.SKETCH,)),
+}
 
 
 @dataclass(frozen=True)
 class Serving:
-    """Tables below one folder."""
+    """Tables below one folder. ``limit``: records that a node of the tree may hold undivided. ``fold``: commits after which their files are made one, and the tree anew."""
 
     root: str
     k: int = 10
+    limit: int = startree.LIMIT
+    fold: int = 16
 
-    @property
-    def per_restaurant(self) -> TableSpec:
-        return restaurant_topk_spec(f"{self.root}/restaurant_topk")
-
-    @property
-    def overall(self) -> TableSpec:
-        return global_topk_spec(f"{self.root}/global_topk")
-
-    @property
-    def rolled(self) -> TableSpec:
-        return rollup_spec(f"{self.root}/rollup")
-
-    @property
-    def cube_path(self) -> str:
-        return f"{self.root}/cube"
+    @cached_property
+    def store(self) -> Store:
+        return Store(self.root, TABLES, self.fold)
 
     def exists(self, spark: SparkSession) -> bool:
-        """Whether the last table that ``write`` writes is complete."""
-        at = spark._jvm.org.apache.hadoop.fs.Path(f"{self.cube_path}/_SUCCESS")
-        return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
-
-    def has_rollup(self, spark: SparkSession) -> bool:
-        at = spark._jvm.org.apache.hadoop.fs.Path(self.rolled.path)
-        return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+        return self.store.exists(spark)
 
     def write(self, rolled: DataFrame, *, mode: str = "combined") -> Serving:
-        """Writes all tables from a rollup; the dates that it holds are replaced, others stay, and the cube is of the dates in store."""
-        spark = rolled.sparkSession
-        self.rolled.write(rolled)
-        stored = self.rolled.read(spark)
-        self.rank(rolled, mode=mode)
-        # a folder for each level, and few files in it: a request reads one level
-        cube(stored).repartition("level").write.mode("overwrite").partitionBy("level").parquet(self.cube_path)
+        """Loads a rollup: the dates that it holds are replaced, others stay, and the tree is of all that is stored then."""
+        txn = self.store.begin(rolled.sparkSession)
+        txn.put("rollup", rolled, replace="dates")
+        self._rank(txn, txn.last("rollup"), mode, replace="dates")
+        self._grow(txn, None)
+        txn.commit()
         return self
 
-    def rank(self, rolled: DataFrame, *, mode: str = "combined") -> None:
-        """Ranks whole windows and replaces the dates that they lie in. A table has few rows a window, so a date is one file."""
-        for spec, top in ((self.per_restaurant, top_k_per_restaurant(rolled, self.k)), (self.overall, top_k_global(rolled, self.k, mode))):
-            spec.write(spec.with_date(top).repartition(spec.partition))
+    def append(self, batch: DataFrame, writer: str, number: int, *, mode: str = "combined") -> bool:
+        """Adds closed windows of a stream in one commit; whether there was something new.
+
+        A batch that is in already does nothing, and rows whose key is stored are left out. Windows that have stored rows are ranked with these.
+        """
+        spark = batch.sparkSession
+        txn = self.store.begin(spark)
+        if txn.done(writer, number):
+            return False
+        key = list(ROLLUP_KEY)
+        if txn.has("rollup"):
+            low, high = batch.agg(F.min("window_start_1m"), F.max("window_start_1m")).first()
+            if low is None:
+                return False
+            stored = self.store.read(spark, "rollup", low, high)
+            batch = batch.join(stored.select(*key), key, "left_anti")
+        txn.put("rollup", batch)
+        new = txn.last("rollup")
+        if new.isEmpty():
+            return False
+        whole = new
+        if len(txn.mark["tables"]["rollup"]) and self.store.mark(spark)["n"] >= 0:
+            low, high = new.agg(F.min("window_start_1m"), F.max("window_start_1m")).first()
+            before = self.store.read(spark, "rollup", low, high).join(new.select("window_start_1m").distinct(), "window_start_1m", "left_semi")
+            whole = new.unionByName(before)
+        self._rank(txn, whole, mode)
+        self._grow(txn, new)
+        folded = [d for t in ("rollup", "restaurant_topk", "global_topk") for d in txn.fold(t)]
+        txn.commit(writer, number)
+        if folded:
+            self.store.vacuum(spark)
+        return True
+
+    def _rank(self, txn: Transaction, rows: DataFrame, mode: str, replace: str | None = None) -> None:
+        """Ranks whole windows."""
+        txn.put("restaurant_topk", top_k_per_restaurant(rows, self.k), replace=replace)
+        txn.put("global_topk", top_k_global(rows, self.k, mode), replace=replace)
+
+    def _grow(self, txn: Transaction, new: DataFrame | None) -> None:
+        """Adds new windows to the levels that they touch; without ``new``, and when many such additions lie there, makes the tree anew."""
+        rolled = ["window_start_1m"] if new is None else []
+        if new is not None and len(txn.mark["tables"].get("tree", {}).get("", [])) in range(1, self.fold + 1):
+            stored = txn.read("tree")
+            divided = stored.where((F.col("records") > self.limit) & (F.col("level") % 2 == 1))
+            finest = startree.records(new)
+            txn.put("tree", finest.unionByName(startree.levels(finest, divided, txn.mark["notes"]["divided"], base=False)))
+            # of new restaurants' nodes nothing is known, but that the root is divided
+            txn.mark["notes"]["whole"] = [x for x in txn.mark["notes"]["whole"] if startree.above(x) == startree.ROOT]
+            return
+        if rolled or not txn.has("tree"):
+            finest = startree.records(txn.read("rollup"))
+        else:
+            finest = startree.records(txn.read("tree").where("level = 0").unionByName(startree.records(new)))
+        txn.put("tree", finest, replace="all", by=["restaurant_id"])
+        finest = txn.last("tree")
+        counts = startree.nodes(finest)
+        of = {r.level: (r.n, r.d) for r in counts.groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("records") > self.limit).alias("d")).collect()}  # 16 levels
+        divided = [x for x, (_, d) in of.items() if d]
+        whole = [x for x in range(1, startree.ROOT) if of.get(startree.above(x), (1, 0))[0] == of.get(startree.above(x), (1, 0))[1]]
+        txn.put("tree", startree.levels(finest, counts.where(F.col("records") > self.limit), divided))
+        txn.mark["notes"] = {"divided": divided, "whole": whole}
 
     def top(self, spark: SparkSession, start: int, end: int, k: int, restaurant: str | None = None, *, by_revenue: bool = False) -> DataFrame:
         """The answer of a request, from the files of its dates."""
-        spec = self.overall if restaurant is None else self.per_restaurant
-        return (top_by_revenue if by_revenue else recent_top)(spec.read(spark, start, end), start, end, k, restaurant)
+        rows = self.store.read(spark, "global_topk" if restaurant is None else "restaurant_topk", start, end)
+        return (top_by_revenue if by_revenue else recent_top)(rows, start, end, k, restaurant)
 
     def engine(self, spark: SparkSession) -> Engine:
-        return Engine(lambda s, e: self.per_restaurant.read(spark, s, e), lambda s, e: self.overall.read(spark, s, e))
+        return Engine(lambda s, e: self.store.read(spark, "restaurant_topk", s, e), lambda s, e: self.store.read(spark, "global_topk", s, e))
+
+    def sums(self, spark: SparkSession, dims: list[str], start: int | None = None, end: int | None = None, *, customers: bool = False) -> DataFrame:
+        """Revenue, quantity and orders by ``dims``, from the smallest table that has them: a level of the tree, or the rollup's dates.
 
-    def sums(self, spark: SparkSession, dims: list[str], start: int | None = None, end: int | None = None) -> DataFrame:
-        """Revenue, quantity and orders by ``dims``, from the smallest table that has them: a level of the cube, or the rollup's dates."""
+        ``customers``: with the number of distinct ones, estimated from the sketches that are stored beside the sums.
+        """
         kind = route(set(dims), time_range=start is not None or end is not None)
-        out = ["sum_revenue_cents", "sum_quantity", "order_count"]
         if kind == "cube":
-            level = sum(1 << len(CUBE_DIMS) - 1 - i for i, d in enumerate(CUBE_DIMS) if d not in dims)
-            return spark.read.parquet(self.cube_path).where(F.col("level") == level).select(*dims, *out)
-        if kind != "rollup":
+            rows = startree.served(self.store.read(spark, "tree"), dims, self.limit, whole=startree.level_of(set(dims)) in self.store.mark(spark)["notes"]["whole"])
+        elif kind == "rollup":
+            rows = self.store.read(spark, "rollup", start, end)
+            sketch = [F.hll_union_agg(startree.SKETCH).alias(startree.SKETCH)] if customers else []
+            rows = rows.groupBy(*dims).agg(*[F.sum(c).alias(c) for c in startree.SUMS], *sketch)
+        else:
             raise ValueError(f"no stored table has {sorted(set(dims))}")
-        return self.rolled.read(spark, start, end).groupBy(*dims).agg(*[F.sum(c).alias(c) for c in out])
+        estimate = [F.hll_sketch_estimate(startree.SKETCH).alias("unique_customers")] if customers else []
+        return rows.select(*dims, *startree.SUMS, *estimate)
 
 
 def compact(fine: DataFrame, now_ms: int, *, buffer_ms: int = 86_400_000, bucket: str = "hour") -> DataFrame:

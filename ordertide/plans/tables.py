@@ -49,6 +49,7 @@ class TableSpec:
     def create(self, spark: SparkSession, database: str = "default") -> str:
         """Registers what is stored as a table of the catalog, with its partitions, so that SQL finds it by name; the name."""
         name = f"`{database}`.`{self.name}`"
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
         schema = spark.read.parquet(self.path).schema.toDDL()
         spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({schema}) USING parquet PARTITIONED BY (`{self.partition}`) LOCATION '{self.path}'")
         spark.sql(f"MSCK REPAIR TABLE {name}")

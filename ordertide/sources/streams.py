@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,3 +40,22 @@ def kafka_sink(keyed: DataFrame, servers: str, topic: str, checkpoint: str):
         .option("kafka.acks", "1").option("kafka.compression.type", "snappy").option("kafka.linger.ms", "10")
         .option("checkpointLocation", checkpoint).start()
     )
+
+
+def topic_writer(servers: str, topic: str) -> Callable[[DataFrame], None]:
+    """Sends a batch's ``key`` and ``value`` to a topic; for ``keep``, one for each table."""
+
+    def send(keyed: DataFrame) -> None:
+        w = keyed.write.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic)
+        w.option("kafka.acks", "1").option("kafka.compression.type", "snappy").option("kafka.linger.ms", "10").save()
+
+    return send
+
+
+def folder_writer(path: str) -> Callable[[DataFrame], None]:
+    """In place of a topic: JSON lines of key and value, added to a folder."""
+
+    def send(keyed: DataFrame) -> None:
+        keyed.select(F.col("key").cast("string").alias("key"), "value").write.mode("append").json(path)
+
+    return send

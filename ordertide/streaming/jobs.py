@@ -5,15 +5,17 @@ Two queries share a durable raw table: the raw side keeps late rows, and the ded
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping, Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ordertide.operators.parse import parse_json, to_raw
-from ordertide.operators.rollup import merge_first, rollup
+from ordertide.operators.rollup import rollup
 from ordertide.operators.topk import top_k_global, top_k_per_restaurant
 from ordertide.plans.serving import Serving
-from ordertide.session import discard, written
+from ordertide.plans.store import Store
 from ordertide.streaming.stateful import dedup_timer, dedup_ttl
 
 LATENESS = "10 seconds"
@@ -73,29 +75,86 @@ def drain(q: StreamingQuery, timeout: int = 600) -> None:
 
 
 def serve_topk(rolled: DataFrame, serving: Serving, checkpoint: str, *, mode: str = "combined", once: bool = False, every: str = "60 seconds") -> StreamingQuery:
-    """Keeps the served tables: closed windows join the stored rollup, and the dates that they lie in are ranked anew.
+    """Keeps the served tables: a batch's closed windows join the rollup, their sums the tree, and they alone are ranked, all in one commit.
+
+    The commit names the query and its batch, so a batch that is replayed after a failure changes nothing.
+    """
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()  # the stored rows' dates are found in it before it is written
+        try:
+            serving.append(batch, batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or checkpoint, batch_id, mode=mode)
+        finally:
+            batch.unpersist()
+
+    w = rolled.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(put)
+    return (w.trigger(availableNow=True) if once else w.trigger(processingTime=every)).start()
+
 
-    A window that a replayed batch brings again is merged by its key, so replaying changes nothing.
+def keep(
+    changes: DataFrame,
+    store: Store,
+    outputs: Mapping[str, Callable[[DataFrame], DataFrame]],
+    checkpoint: str,
+    *,
+    sends: Sequence[tuple[Callable[[DataFrame], DataFrame], Callable[[DataFrame], None]]] = (),
+    once: bool = False,
+    every: str = "60 seconds",
+) -> StreamingQuery:
+    """Puts each batch into several tables of a store, in one commit that names the query and the batch: replayed batches change nothing.
+
+    ``sends``: pairs of what a batch sends (``keyed_json`` rows) and a writer of it, for topics. They go before the commit, so a topic gets
+    each batch at least once.
     """
 
     def put(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        dated = serving.rolled.with_date(batch)
-        days = [r[0] for r in dated.select(serving.rolled.partition).distinct().collect()]  # a batch's dates, few
-        if not days:
+        writer = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or checkpoint
+        txn = store.begin(spark)
+        if txn.done(writer, batch_id):
             return
-        if serving.has_rollup(spark):
-            stored = serving.rolled.read(spark).where(F.col(serving.rolled.partition).isin(days))
-            dated = merge_first(stored, dated.select(*stored.columns), list(serving.rolled.primary_key))
-        whole = written(dated.drop(serving.rolled.partition), "days")  # cut from the table that is replaced next
-        serving.rolled.write(whole)
-        serving.rank(whole, mode=mode)
-        discard(whole)
+        batch.persist()  # its state is computed once for all outputs
+        try:
+            if batch.isEmpty():
+                return
+            for of, send in sends:
+                send(of(batch))
+            for name, of in outputs.items():
+                txn.put(name, of(batch))
+            folded = [d for name in outputs for d in txn.fold(name)]
+            txn.commit(writer, batch_id)
+            if folded:
+                store.vacuum(spark)
+        finally:
+            batch.unpersist()
 
-    w = rolled.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(put)
+    w = changes.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(put)
     return (w.trigger(availableNow=True) if once else w.trigger(processingTime=every)).start()
 
 
+def chain(
+    spark: SparkSession, values: DataFrame, serving: Serving, at: str, *, key: str = "event_id", retention_ms: int | None = 3_600_000, by_event_time: bool = False,
+    size: str = "1 minute", lateness: str = LATENESS, mode: str = "combined", once: bool = False, every: str = "60 seconds",
+) -> list[StreamingQuery]:
+    """From a stream of JSON values to the tables that requests read: parse, dedup by ``key``, raw table; windows, rollup, tree and rankings.
+
+    ``by_event_time``: the retention counts from event times, with timers, and not from when a row is processed. With ``once`` what is there is
+    worked off and the queries have ended; windows that no later event has closed stay open in state.
+    """
+    if by_event_time:
+        rows = to_raw(dedup_timer(parse_json(values, on_bad_record="skip"), key, retention_ms or 3_600_000, lateness).drop("event_time"))
+    else:
+        rows = raw_events(values, key=key, retention_ms=retention_ms)
+    first = write_table(rows, f"{at}/raw", f"{at}/ck/raw", once=once, every=every)
+    if once:
+        drain(first)
+    raw = spark.readStream.schema(rows.schema).parquet(f"{at}/raw")
+    second = serve_topk(rollup_stream(raw, size, lateness), serving, f"{at}/ck/served", mode=mode, once=once, every=every)
+    if once:
+        drain(second)
+    return [first, second]
+
+
 class Progress(StreamingQueryListener):
     """Counters as each batch ends: rows in, rows out, rows dropped as late or repeated, and keys held in state."""
 

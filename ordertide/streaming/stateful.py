@@ -47,7 +47,7 @@ class KeepFirstTimer(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:  # noqa: N802, N803
         at = self.seen.get()[0] if self.seen.exists() else None
         out = []
-        for r in sorted(rows, key=lambda r: r["timestamp"]):
+        for r in sorted(rows, key=lambda r: (r["timestamp"], r["event_id"] or "")):
             if at is None or r["timestamp"] >= at + self.ttl_ms:
                 at = r["timestamp"]
                 out.append(r)

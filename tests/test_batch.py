@@ -11,7 +11,7 @@ from ordertide.operators.topk import running_revenue, top_k_global, top_k_per_re
 from ordertide.plans.engine import Engine, recent_top, revenue_by_hour, route, top_by_revenue
 from ordertide.plans.http import respond
 from ordertide.plans.serving import Serving, compact
-from ordertide.plans.tables import raw_spec
+from ordertide.plans.tables import global_topk_spec, raw_spec
 from ordertide.schemas import ORDER_EVENT, ROLLUP_KEY
 from ordertide.sources.generate import generate
 
@@ -63,15 +63,21 @@ def test_served_tables(spark, rolled, tmp_path):
         assert [r.asDict() for r in recent_top(top, T0, end, k, "R1").collect()] == engine.top_k("R1", T0, end, k)["items"]
         assert [r.asDict() for r in top_by_revenue(both, T0, end, k).collect()] == engine.top_k_by_revenue("all", T0, end, k)["items"]
     serving.write(rolled)  # again: the same dates are replaced
-    assert serving.rolled.read(spark).count() == rolled.count()
+    assert serving.store.read(spark, "rollup").count() == rolled.count()
     got = {r.restaurant_id: (r.sum_revenue_cents, r.order_count) for r in serving.sums(spark, ["restaurant_id"]).collect()}
     assert got == {"R1": (6695, 4), "R2": (7893, 2)}
     assert serving.sums(spark, []).first().order_count == 6 and serving.sums(spark, ["menu_item_name"], T0, T0 + 1).agg(F.sum("order_count")).first()[0] == 4
     with pytest.raises(ValueError, match="customer_id"):
         serving.sums(spark, ["customer_id"])
-    plan = serving.top(spark, T0, T0 + 120000, 2, "R1")._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(dt" in plan
-    name = serving.overall.create(spark)
+    day = 86_400_000
+    later = rolled.withColumns({c: F.col(c) + 3 * day for c in ("window_start_1m", "window_start_ts", "window_end")})
+    serving.write(later)  # other dates stay
+    files = serving.top(spark, T0, T0 + 120000, 2, "R1").inputFiles()
+    assert files and all("dt=2024-01-01" in f for f in files)
+    assert serving.sums(spark, []).first().order_count == 12 and serving.top(spark, T0 + day, T0 + 2 * day, 2, "R1").count() == 0
+    spec = global_topk_spec(f"file://{tmp_path}/by_name")
+    spec.write(top_k_global(rolled))
+    name = spec.create(spark)
     assert spark.sql(f"SELECT count(*) FROM {name}").first()[0] == top_k_global(rolled).count()
     spark.sql(f"DROP TABLE {name}")
 

@@ -341,6 +341,29 @@ def merge_rollup_buffered(spark, sf_dir):
     return merged.join(exact, ["restaurant_id", "menu_item_id", "window_start_1m"]).select("restaurant_id", "menu_item_id", "window_start_1m", "sum_quantity", "sum_revenue_cents", "order_count", near.alias("customers_near"))
 
 
+def _merged_store(spark, sf_dir: str) -> Serving:
+    """Minutes in store, merged into hours in two runs of the job, the second of which moves the border on."""
+    serving = Serving(session.fresh_path(spark, "merge")).write(rollup(order_events(spark, sf_dir)))
+    for now in (NOW - 5 * 86_400_000, NOW, NOW):
+        serving.merge(spark, now)
+    return serving
+
+
+_HOURS = f"{EVENTS}{_rolled('1 minute')}, u AS (SELECT *, CASE WHEN window_start_1m < {_CUT} THEN window_start_1m // 3600000 * 3600000 ELSE window_start_1m END AS w FROM r)"
+
+
+@_query(f"{_HOURS} SELECT restaurant_id, menu_item_id, w AS window_start_1m, {_SUMS} FROM u GROUP BY ALL")
+def merge_job_rows(spark, sf_dir):
+    """What the merge job leaves in store: hours before its border, minutes after it."""
+    return _merged_store(spark, sf_dir).rolled(spark).select("restaurant_id", "menu_item_id", "window_start_1m", "sum_revenue_cents", "sum_quantity", "order_count")
+
+
+@_query(f"{EVENTS}{_rolled('1 minute')} SELECT restaurant_id, {_SUMS} FROM r WHERE window_start_1m BETWEEN {_CUT - 86_400_000} AND {_CUT + 7_199_999} GROUP BY ALL")
+def merge_job_sums(spark, sf_dir):
+    """Sums in a range across the border."""
+    return _merged_store(spark, sf_dir).sums(spark, ["restaurant_id"], _CUT - 86_400_000, _CUT + 7_199_999)
+
+
 @_query(f"{EVENTS}{_rolled('1 hour')} SELECT restaurant_id, menu_item_id, menu_item_name, category_id, window_start_1m, hour_of_day, day_of_week, sum_quantity, sum_revenue_cents, order_count FROM r")
 def merge_rollup_hourly(spark, sf_dir):
     return merge_rollup(rollup(order_events(spark, sf_dir), sketch=False), "hour")

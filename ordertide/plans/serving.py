@@ -7,7 +7,7 @@ only those that it brings are ranked. A request for a range of time opens the fi
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,11 +17,12 @@ from ordertide.operators import startree
 from ordertide.operators.rollup import CUBE_DIMS, merge_rollup
 from ordertide.operators.topk import top_k_global, top_k_per_restaurant
 from ordertide.plans.engine import Engine, recent_top, route, top_by_revenue
-from ordertide.plans.store import Kept, Store, Transaction
+from ordertide.plans.store import Kept, Store, Transaction, starts_ms
 from ordertide.schemas import ROLLUP_KEY
 
 TABLES = {
     "rollup": Kept("append", tuple(ROLLUP_KEY), "window_start_1m", ("window_start_1m", "restaurant_id")),
+    "rollup_hours": Kept("add", tuple(ROLLUP_KEY), "window_start_1m", ("window_start_1m", "restaurant_id"), (startree.SKETCH,), ("menu_item_name", "category_id", "hour_of_day", "day_of_week")),
     "restaurant_topk": Kept("latest", ("restaurant_id", "window_start"), "window_start", ("restaurant_id", "window_start", "rank")),
     "global_topk": Kept("latest", ("window_start",), "window_start", ("window_start", "rank")),
     "tree": Kept("add", ("level", *CUBE_DIMS), sort=("level",), sketches=(startree.SKETCH,)),
@@ -48,6 +49,7 @@ class Serving:
         """Loads a rollup: the dates that it holds are replaced, others stay, and the tree is of all that is stored then."""
         txn = self.store.begin(rolled.sparkSession)
         txn.put("rollup", rolled, replace="dates")
+        txn.drop("rollup_hours", [d for d in txn.dates("rollup") if any(n == txn.n for n, _ in txn.mark["tables"]["rollup"][d])])
         self._rank(txn, txn.last("rollup"), mode, replace="dates")
         self._grow(txn, None)
         txn.commit()
@@ -56,13 +58,16 @@ class Serving:
     def append(self, batch: DataFrame, writer: str, number: int, *, mode: str = "combined") -> bool:
         """Adds closed windows of a stream in one commit; whether there was something new.
 
-        A batch that is in already does nothing, and rows whose key is stored are left out. Windows that have stored rows are ranked with these.
+        A batch that is in already does nothing. Rows whose key is stored are left out, and so are windows that the merge job has merged.
+        Windows that have stored rows are ranked with these.
         """
         spark = batch.sparkSession
         txn = self.store.begin(spark)
         if txn.done(writer, number):
             return False
         key = list(ROLLUP_KEY)
+        if "merged_to" in txn.mark["notes"]:
+            batch = batch.where(F.col("window_start_1m") >= txn.mark["notes"]["merged_to"])
         if txn.has("rollup"):
             low, high = batch.agg(F.min("window_start_1m"), F.max("window_start_1m")).first()
             if low is None:
@@ -74,7 +79,7 @@ class Serving:
         if new.isEmpty():
             return False
         whole = new
-        if len(txn.mark["tables"]["rollup"]) and self.store.mark(spark)["n"] >= 0:
+        if self.exists(spark):
             low, high = new.agg(F.min("window_start_1m"), F.max("window_start_1m")).first()
             before = self.store.read(spark, "rollup", low, high).join(new.select("window_start_1m").distinct(), "window_start_1m", "left_semi")
             whole = new.unionByName(before)
@@ -93,7 +98,6 @@ class Serving:
 
     def _grow(self, txn: Transaction, new: DataFrame | None) -> None:
         """Adds new windows to the levels that they touch; without ``new``, and when many such additions lie there, makes the tree anew."""
-        rolled = ["window_start_1m"] if new is None else []
         if new is not None and len(txn.mark["tables"].get("tree", {}).get("", [])) in range(1, self.fold + 1):
             stored = txn.read("tree")
             divided = stored.where((F.col("records") > self.limit) & (F.col("level") % 2 == 1))
@@ -102,10 +106,11 @@ class Serving:
             # of new restaurants' nodes nothing is known, but that the root is divided
             txn.mark["notes"]["whole"] = [x for x in txn.mark["notes"]["whole"] if startree.above(x) == startree.ROOT]
             return
-        if rolled or not txn.has("tree"):
-            finest = startree.records(txn.read("rollup"))
+        if new is None or not txn.has("tree"):
+            parts = [startree.records(txn.read(t)) for t in ("rollup", "rollup_hours") if txn.has(t)]
+            finest = _records_of(parts)
         else:
-            finest = startree.records(txn.read("tree").where("level = 0").unionByName(startree.records(new)))
+            finest = _records_of([txn.read("tree").where("level = 0"), startree.records(new)])
         txn.put("tree", finest, replace="all", by=["restaurant_id"])
         finest = txn.last("tree")
         counts = startree.nodes(finest)
@@ -113,7 +118,49 @@ class Serving:
         divided = [x for x, (_, d) in of.items() if d]
         whole = [x for x in range(1, startree.ROOT) if of.get(startree.above(x), (1, 0))[0] == of.get(startree.above(x), (1, 0))[1]]
         txn.put("tree", startree.levels(finest, counts.where(F.col("records") > self.limit), divided))
-        txn.mark["notes"] = {"divided": divided, "whole": whole}
+        txn.mark["notes"] |= {"divided": divided, "whole": whole}
+
+    def merge(self, spark: SparkSession, now_ms: int, *, buffer_ms: int = 86_400_000) -> int:
+        """The merge job: windows closed for ``buffer_ms`` become rows of their hours, in the place of the finer ones; up to which instant that is so.
+
+        Coarse rows, the remaining fine ones and the instant are one commit: a run that is killed has changed nothing, and running it again
+        does nothing more. Whole hours alone are merged. Sums add and sketches unite, so all sums stay the same.
+        """
+        hour, day = 3_600_000, 86_400_000
+        txn = self.store.begin(spark)
+        before, cut = txn.mark["notes"].get("merged_to", 0), (now_ms - buffer_ms) // hour * hour
+        if cut <= before:
+            return before
+        old = txn.read("rollup", None, cut).where(F.col("window_start_1m") < cut)
+        if not old.isEmpty():
+            txn.put("rollup_hours", merge_rollup(old, "hour"))
+            rest = txn.read("rollup", cut, cut).where(F.col("window_start_1m") >= cut)
+            border = rest if cut % day and not rest.isEmpty() else None
+            gone = [d for d in txn.dates("rollup") if d and starts_ms(d) < cut]
+            if border is not None:
+                txn.put("rollup", border, replace="dates")
+                gone = [d for d in gone if starts_ms(d) + day <= cut]
+            txn.drop("rollup", gone)
+        txn.mark["notes"]["merged_to"] = cut
+        txn.commit()
+        return cut
+
+    def rolled(self, spark: SparkSession, start: int | None = None, end: int | None = None) -> DataFrame:
+        """Rollup rows that start in [start, end]: of hours where they are merged, else as fine as they came."""
+        parts = [self.store.read(spark, t, start, end) for t in ("rollup", "rollup_hours") if t in self.store.mark(spark)["schemas"]]
+        columns = [c for c in parts[0].columns if all(c in p.columns for p in parts)]
+        return parts[0].select(*columns) if len(parts) == 1 else parts[0].select(*columns).unionByName(parts[1].select(*columns))
+
+    def expire(self, spark: SparkSession, now_ms: int, days: int = 30) -> list[str]:
+        """Drops the dates that are wholly older, from all tables in one commit, and makes the tree of what stays; the dates."""
+        txn, before = self.store.begin(spark), now_ms - days * 86_400_000
+        gone = {t: [d for d in txn.dates(t) if d and starts_ms(d) + 86_400_000 <= before] for t in ("rollup", "rollup_hours", "restaurant_topk", "global_topk")}
+        for t, dates in gone.items():
+            txn.drop(t, dates)
+        if any(gone.values()):
+            self._grow(txn, None)
+            txn.commit()
+        return sorted({d for dates in gone.values() for d in dates})
 
     def top(self, spark: SparkSession, start: int, end: int, k: int, restaurant: str | None = None, *, by_revenue: bool = False) -> DataFrame:
         """The answer of a request, from the files of its dates."""
@@ -132,7 +179,7 @@ class Serving:
         if kind == "cube":
             rows = startree.served(self.store.read(spark, "tree"), dims, self.limit, whole=startree.level_of(set(dims)) in self.store.mark(spark)["notes"]["whole"])
         elif kind == "rollup":
-            rows = self.store.read(spark, "rollup", start, end)
+            rows = self.rolled(spark, start, end)
             sketch = [F.hll_union_agg(startree.SKETCH).alias(startree.SKETCH)] if customers else []
             rows = rows.groupBy(*dims).agg(*[F.sum(c).alias(c) for c in startree.SUMS], *sketch)
         else:
@@ -141,6 +188,12 @@ class Serving:
         return rows.select(*dims, *startree.SUMS, *estimate)
 
 
+def _records_of(parts: list[DataFrame]) -> DataFrame:
+    """The records of several tables' rows, which may lack sketches."""
+    rows = reduce(DataFrame.unionByName, [p.select(*startree.COLUMNS) for p in parts])
+    return rows if len(parts) == 1 else startree.records(rows)
+
+
 def compact(fine: DataFrame, now_ms: int, *, buffer_ms: int = 86_400_000, bucket: str = "hour") -> DataFrame:
     """The merge job: windows that have been closed for ``buffer_ms`` are merged into buckets; younger ones aren't touched yet.
 

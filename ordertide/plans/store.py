@@ -12,6 +12,7 @@ import json
 import uuid
 from collections.abc import Mapping
 from dataclasses import dataclass, field
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,7 +61,7 @@ class Store:
         """The newest complete mark."""
         done = self._marks(spark)
         if not done:
-            return {"n": -1, "batches": {}, "tables": {}, "schemas": {}}
+            return {"n": -1, "batches": {}, "tables": {}, "schemas": {}, "notes": {}}
         if self._open.get("n") != done[-1]:
             text = spark.read.text(f"{self.root}/_marks/{done[-1]:010d}", wholetext=True).first()[0]
             self._open.clear()
@@ -122,8 +123,7 @@ class Store:
         txn = self.begin(spark)
         dates = txn.mark["tables"].get(name, {})
         gone = sorted(d for d in dates if d and (_day(d) + 1) * 86_400_000 <= before_ms)
-        for d in gone:
-            del dates[d]
+        txn.drop(name, gone)
         if gone:
             txn.commit()
         return gone
@@ -143,10 +143,13 @@ class Store:
         return len(gone)
 
 
-def _day(date: str) -> int:
-    from datetime import date as d
+def _day(text: str) -> int:
+    return (date.fromisoformat(text) - date(1970, 1, 1)).days
 
-    return (d.fromisoformat(date) - d(1970, 1, 1)).days
+
+def starts_ms(text: str) -> int:
+    """The first instant of a date."""
+    return _day(text) * 86_400_000
 
 
 def _merged(rows: DataFrame, kept: Kept, columns: list[str]) -> DataFrame:
@@ -173,12 +176,22 @@ class Transaction:
         """Whether this writer's batch is in: a replay need not do it again."""
         return self.mark["batches"].get(writer, -1) >= batch
 
-    def read(self, name: str) -> DataFrame:
-        return self.store._frame(self.spark, self.mark, name)
+    def read(self, name: str, start_ms: int | None = None, end_ms: int | None = None) -> DataFrame:
+        """The table, or the dates that [start, end] touches, whole."""
+        days = None if start_ms is None and end_ms is None else tuple(None if x is None else int(x // 86_400_000) for x in (start_ms, end_ms))
+        return self.store._frame(self.spark, self.mark, name, days)
+
+    def dates(self, name: str) -> list[str]:
+        return sorted(self.mark["tables"].get(name, {}))
 
     def has(self, name: str) -> bool:
         return name in self.mark["schemas"]
 
+    def drop(self, name: str, dates: list[str]) -> None:
+        """Leaves dates out of the table."""
+        for d in dates:
+            self.mark["tables"].get(name, {}).pop(d, None)
+
     def last(self, name: str) -> DataFrame:
         """What the transaction has put there."""
         dates = {d: [x for x in f if x[0] == self.n] for d, f in self.mark["tables"].get(name, {}).items()}

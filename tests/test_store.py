@@ -150,3 +150,47 @@ def test_sketches_keep_their_error_bound(spark):
     got = est.join(rows.groupBy("g").agg(F.count_distinct("c").alias("n")), "g").select((F.abs(F.col("est") - F.col("n")) / F.col("n")).alias("e")).collect()
     error = 1.04 / (1 << 12) ** 0.5
     assert len(got) == 300 and sum(r.e > 3 * error for r in got) <= 3 and sum(r.e > error for r in got) < 150
+
+
+def test_merge_job_is_one_commit(spark, tmp_path):
+    events = _events(spark, 1200, 4)
+    minutes = rollup(events, "1 minute").cache()
+    serving = Serving(f"file://{tmp_path}/served").write(minutes)
+    store, now = serving.store, T0 + 3 * DAY + 5 * 3_600_000
+    cut = now - DAY
+    want = {tuple(d): _sums(minutes, d) for d in (["restaurant_id"], ["menu_item_name"])}
+
+    def same():
+        assert _sums(serving.rolled(spark), ["restaurant_id"]) == want[("restaurant_id",)]
+        assert sorted(map(tuple, serving.sums(spark, ["menu_item_name"], T0, T0 + 9 * DAY).collect()), key=str) == want[("menu_item_name",)]
+        assert sorted(map(tuple, serving.sums(spark, ["restaurant_id"]).collect()), key=str) == want[("restaurant_id",)]
+
+    with pytest.raises(RuntimeError, match="killed"), pytest.MonkeyPatch.context() as m:
+        real = type(store.begin(spark)).put
+
+        def put(self, name, rows, **kw):
+            if name == "rollup":  # coarse rows are written, fine ones aren't dropped yet
+                raise RuntimeError("killed")
+            return real(self, name, rows, **kw)
+
+        m.setattr("ordertide.plans.store.Transaction.put", put)
+        serving.merge(spark, now)
+    same()
+    assert store.read(spark, "rollup").count() == minutes.count()
+    assert serving.merge(spark, now) == cut
+    same()
+    n = store.mark(spark)["n"]
+    assert serving.merge(spark, now) == cut and store.mark(spark)["n"] == n  # again: nothing more
+    assert store.read(spark, "rollup").agg(F.min("window_start_1m")).first()[0] >= cut
+    hours = store.read(spark, "rollup_hours")
+    assert hours.where(F.col("window_start_1m") % 3_600_000 != 0).count() == 0 and hours.agg(F.max("window_start_1m")).first()[0] < cut
+    assert serving.merge(spark, now + 2 * 3_600_000) == cut + 2 * 3_600_000
+    same()
+    assert not serving.append(minutes.where(F.col("window_start_1m") < cut), "again", 0)  # merged windows aren't counted twice
+    same()
+    exact = events.groupBy("restaurant_id").agg(F.count_distinct("customer_id").alias("n"))
+    got = {r.restaurant_id: r.unique_customers for r in serving.sums(spark, ["restaurant_id"], T0, T0 + 9 * DAY, customers=True).collect()}
+    assert all(abs(got[r.restaurant_id] - r.n) <= 0.05 * r.n for r in exact.collect())
+    late = serving.sums(spark, ["restaurant_id"], T0 + 3 * DAY, T0 + 9 * DAY).agg(F.sum("order_count")).first()[0]
+    assert serving.expire(spark, T0 + 33 * DAY, 30) == ["2024-01-01", "2024-01-02", "2024-01-03"]
+    assert serving.sums(spark, []).first().order_count == late < 1200

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -28,6 +28,34 @@ def keep_new(events: DataFrame, history: DataFrame, key: str = "event_id") -> Da
     return events.join(history.select(key).distinct(), key, "left_anti")
 
 
+class History:
+    """Keys of all loads so far, as a table bucketed by key: a new load is dealt to its buckets, and the history stays where it is.
+
+    ``buckets``: at least as many as the session's shuffle partitions, or Spark may deal both sides anew. ``path`` is a shared folder.
+    """
+
+    def __init__(self, spark: SparkSession, name: str, path: str, *, key: str = "event_id", buckets: int = 200, database: str = "ordertide_history"):
+        self.spark, self.key, self.buckets, self.path = spark, key, buckets, path
+        self.name = f"`{database}`.`{name}`"
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
+
+    def exists(self) -> bool:
+        return self.spark.catalog.tableExists(self.name)
+
+    def new(self, load: DataFrame) -> DataFrame:
+        """Rows whose key no earlier load had. Rows without a key can't be told apart as repeats and stay."""
+        if not self.exists():
+            return load
+        seen = self.spark.table(self.name).select(F.col(self.key).alias("_seen")).hint("merge")
+        return load.join(seen, F.col(self.key) == F.col("_seen"), "left_anti")
+
+    def add(self, load: DataFrame) -> None:
+        """Remembers the keys of rows that ``new`` returned, once each."""
+        keys = load.select(self.key).dropna().distinct().repartition(self.buckets, self.key)  # a file for each bucket
+        w = keys.write.bucketBy(self.buckets, self.key).sortBy(self.key).option("path", self.path)
+        w.mode("append").saveAsTable(self.name)
+
+
 def keep_first_within(events: DataFrame, key: str = "event_id", ttl_ms: int = 3_600_000) -> DataFrame:
     """Bounded retention by event time: a repeat within ``ttl_ms`` of the *accepted* row before it is dropped, later ones count anew.
 

@@ -7,13 +7,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ordertide import session
 from ordertide.functions.scalar import dollar_text, padded
-from ordertide.operators.dedup import keep_first, keep_first_within, keep_new
+from ordertide.operators.dedup import History, keep_first, keep_first_within, keep_new
 from ordertide.operators.parse import good_and_bad, keyed_json, parse_json, to_raw, valid_time
 from ordertide.operators.rollup import cube, merge_first, merge_rollup, rollup
 from ordertide.operators.topk import best_window_top_k, running_revenue, running_top, top_k_global, top_k_per_restaurant
@@ -23,7 +24,7 @@ from ordertide.plans.store import Kept, Store
 from ordertide.plans.tables import raw_spec, restaurant_topk_spec, rollup_spec
 from ordertide.schemas import TOPK_COLS
 from ordertide.sources.adapters import line_orders, order_events
-from ordertide.streaming.jobs import chain, drain, keep, replay_dedup, replay_rollup, serve_topk
+from ordertide.streaming.jobs import chain, drain, keep, raw_events, replay_dedup, replay_rollup, serve_topk, write_table
 from ordertide.streaming.ranking import combined, ranked_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -153,6 +154,19 @@ def dedup_against_history(spark, sf_dir):
     return keep_new(line_orders(spark, sf_dir), seen, "order_id").select("order_id").distinct()
 
 
+@_query(f"{LINES} SELECT count(*) AS load, number FROM (SELECT event_id, CAST(min(n) AS INTEGER) AS number FROM (SELECT event_id, CASE WHEN \"timestamp\" < 859420800000 THEN 1 WHEN \"timestamp\" < 930528000000 THEN 2 ELSE 3 END AS n FROM lo) GROUP BY event_id) GROUP BY number")
+def dedup_across_loads(spark, sf_dir):
+    """Three loads against a bucketed history: how many keys each one brings first."""
+    lines, at = line_orders(spark, sf_dir), session.fresh_path(spark, "history")
+    history = History(spark, f"keys_{at.rpartition('-')[2]}", at, buckets=max(32, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    found = []
+    for i, part in enumerate(("timestamp < 859420800000", "timestamp >= 859420800000 AND timestamp < 930528000000", "timestamp >= 930528000000")):
+        new = session.written(history.new(lines.where(part)).select("event_id").distinct(), "load")
+        history.add(new)
+        found.append(new.agg(F.count(F.lit(1)).alias("load")).select("load", F.lit(i + 1).alias("number")))
+    return reduce(DataFrame.unionByName, found)
+
+
 @_query(f"{EVENTS}{_rolled('1 minute')} SELECT * FROM r")
 def rollup_1m(spark, sf_dir):
     return rollup(order_events(spark, sf_dir), sketch=False)
@@ -405,6 +419,25 @@ def stream_dedup_retention(spark, sf_dir):
     return kept.select("order_id", "timestamp")
 
 
+_AGAIN = 25 * 86_400_000
+
+
+@_query(f"{EVENTS} SELECT event_id, \"timestamp\" FROM oe UNION ALL SELECT event_id, \"timestamp\" + {_AGAIN} AS \"timestamp\" FROM oe")
+def stream_dedup_event_time(spark, sf_dir):
+    """Every event comes twice at once and again 25 days later, under a retention of a day: the repeat goes, the later one counts anew."""
+    at, events = session.fresh_path(spark, "retain"), order_events(spark, sf_dir)
+    again = events.withColumn("timestamp", F.col("timestamp") + _AGAIN)
+    rows = events.unionByName(events).unionByName(again)
+    ends = rows.approxQuantile("timestamp", [i / 12 for i in range(1, 12)], 0.01)
+    for i, (low, high) in enumerate(zip([None, *ends], [*ends, None], strict=True)):  # one after the other, so that they are read in order of time
+        some = rows if low is None else rows.where(F.col("timestamp") >= low)
+        some = some if high is None else some.where(F.col("timestamp") < high)
+        keyed_json(some, None).select("value").repartition(4).write.text(f"{at}/in/{i}")
+    values = spark.readStream.option("maxFilesPerTrigger", 4).text(f"{at}/in/*")
+    drain(write_table(raw_events(values, retention_ms=86_400_000, clock="event"), f"{at}/raw", f"{at}/ck", once=True))
+    return spark.read.parquet(f"{at}/raw").select("event_id", "timestamp")
+
+
 def _in_batches(spark, rows: DataFrame, at: str, by: str, files: int = 6, each: int = 2) -> DataFrame:
     """The rows as a stream, in files by ranges of a time column, a few files in each micro-batch, in whatever order they were written."""
     rows.repartitionByRange(files, by).write.parquet(f"{at}/in")

@@ -5,7 +5,10 @@ Two queries share a durable raw table: the raw side keeps late rows, and the ded
 
 from __future__ import annotations
 
+import logging
+import time
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,19 +19,26 @@ from ordertide.operators.rollup import rollup
 from ordertide.operators.topk import top_k_global, top_k_per_restaurant
 from ordertide.plans.serving import Serving
 from ordertide.plans.store import Store
-from ordertide.streaming.stateful import dedup_timer, dedup_ttl
+from ordertide.streaming.stateful import dedup_timer, dedup_ttl, dedup_within, open_walls, wall_windows
 
 LATENESS = "10 seconds"
 
 
-def raw_events(values: DataFrame, *, key: str = "event_id", retention_ms: int | None = 3_600_000, on_bad_record: str = "skip") -> DataFrame:
+def raw_events(values: DataFrame, *, key: str = "event_id", retention_ms: int | None = 3_600_000, clock: str = "processing", on_bad_record: str = "skip") -> DataFrame:
     """Typed, deduplicated raw rows of a stream of JSON values. With ``key`` order_id, later lines of an order go as well.
 
-    ``retention_ms`` None keeps every key ever seen, which suits bounded replays: it ends by itself under availableNow.
+    ``retention_ms`` None keeps every key ever seen, which suits bounded replays: it ends by itself under availableNow. Else a key is
+    kept for so long after its first row: by ``clock`` "processing", from when that row was processed, late rows included; by "event", until the
+    events' own time has passed it by as much, where rows later than that are dropped. The latter stays in the JVM.
     """
-    events = parse_json(values, on_bad_record=on_bad_record)
-    unique = events.dropDuplicates([key]) if retention_ms is None else dedup_ttl(events, key, retention_ms)
-    return to_raw(unique)
+    if clock not in ("processing", "event"):
+        raise ValueError(clock)
+    events = parse_json(values, on_bad_record=on_bad_record).observe("events", F.count(F.lit(1)).alias("n"))
+    if retention_ms is None:
+        unique = events.dropDuplicates([key])
+    else:
+        unique = dedup_ttl(events, key, retention_ms) if clock == "processing" else dedup_within(events, key, retention_ms)
+    return to_raw(unique.observe("unique", F.count(F.lit(1)).alias("n")))
 
 
 def rollup_stream(raw: DataFrame, size: str = "1 minute", lateness: str = LATENESS, *, clock: str = "event") -> DataFrame:
@@ -155,33 +165,89 @@ def chain(
     return [first, second]
 
 
+def rank_walls(sums: DataFrame, store: Store, checkpoint: str, *, size_ms: int = 60_000, k: int = 10, mode: str = "combined", every: str = "1 second", outputs: tuple[str, str] = ("per_restaurant", "overall")) -> StreamingQuery:
+    """Ranks tumbling windows of the wall clock as they end, whether or not anything comes in then, into two tables of kind ``latest``."""
+
+    of = {outputs[0]: lambda b: top_k_per_restaurant(b, k), outputs[1]: lambda b: top_k_global(b, k, mode)}
+    return keep(wall_windows(sums, size_ms), store, of, checkpoint, every=every)
+
+
+def flush_walls(spark: SparkSession, store: Store, checkpoint: str, *, k: int = 10, mode: str = "combined", outputs: tuple[str, str] = ("per_restaurant", "overall")) -> int:
+    """After a stop: ranks what the windows that were open then hold, read from the query's state; the number of their rows.
+
+    The state stays as it is. If the query starts again before a window has ended, the window comes out whole, in place of this part of it.
+    """
+    open_ = open_walls(spark, checkpoint).cache()
+    try:
+        n = open_.count()
+        if n:
+            txn = store.begin(spark)
+            txn.put(outputs[0], top_k_per_restaurant(open_, k))
+            txn.put(outputs[1], top_k_global(open_, k, mode))
+            txn.commit()
+        return n
+    finally:
+        open_.unpersist()
+
+
+@dataclass
+class Counters:
+    """Of one query: rows it read, records that didn't parse, rows that went on, repeats, late rows, and keys that it holds."""
+
+    batches: int = 0
+    rows: int = 0
+    bad: int = 0
+    unique: int = 0
+    duplicates: int = 0
+    late: int = 0
+    state_rows: int = 0
+
+
 class Progress(StreamingQueryListener):
-    """Counters as each batch ends: rows in, rows out, rows dropped as late or repeated, and keys held in state."""
+    """Counters as each batch ends, a set for each query (its id stays over restarts), and a report every so many seconds.
+
+    A query that ``raw_events`` made is counted by what it observes before and after the deduplication, whichever that is: state of one's own
+    tells Spark nothing of repeats. Others are counted by their operators' metrics.
+    """
 
-    def __init__(self) -> None:
-        self.rows = 0
-        self.batches = 0
-        self.late = 0
-        self.duplicates = 0
-        self.state_rows = 0
+    def __init__(self, every: float = 30, out: Callable[[str], None] | None = None) -> None:
+        self.of: dict[str, Counters] = {}
+        self.every, self.out, self._last = every, out or logging.getLogger(__name__).info, time.monotonic()
+
+    def total(self) -> Counters:
+        return Counters(*(sum(getattr(c, f.name) for c in list(self.of.values())) for f in fields(Counters)))
 
     def report(self) -> str:
-        return f"{self.batches} batches, {self.rows} rows in, {self.duplicates} duplicates, {self.late} late, {self.state_rows} keys in state"
+        c = self.total()
+        return f"{c.batches} batches, {c.rows} rows in, {c.bad} bad, {c.unique} went on, {c.duplicates} duplicates, {c.late} late, {c.state_rows} keys in state"
+
+    def _tell(self) -> None:
+        if time.monotonic() - self._last >= self.every:
+            self._last = time.monotonic()
+            self.out(self.report())
 
     def onQueryStarted(self, event) -> None:  # noqa: N802
         pass
 
     def onQueryProgress(self, event) -> None:  # noqa: N802
         p = event.progress
-        self.rows += p.numInputRows
-        self.batches += 1
-        states = p.stateOperators
-        self.state_rows = sum(s.numRowsTotal for s in states)
-        self.late += sum(s.numRowsDroppedByWatermark for s in states)
-        self.duplicates += sum(int((s.customMetrics or {}).get("numDroppedDuplicateRows", 0)) for s in states)
+        c = self.of.setdefault(str(p.id), Counters())
+        states, seen = p.stateOperators, p.observedMetrics or {}
+        c.rows += p.numInputRows
+        c.batches += 1
+        c.state_rows = sum(s.numRowsTotal for s in states)
+        c.late += sum(s.numRowsDroppedByWatermark for s in states)
+        if "events" in seen and "unique" in seen:
+            parsed, unique = seen["events"]["n"] or 0, seen["unique"]["n"] or 0
+            c.bad += max(p.numInputRows - parsed, 0)
+            c.unique += unique
+            c.duplicates += parsed - unique - sum(s.numRowsDroppedByWatermark for s in states)
+        else:
+            c.duplicates += sum(int((s.customMetrics or {}).get("numDroppedDuplicateRows", 0)) for s in states)
+        self._tell()
 
     def onQueryIdle(self, event) -> None:  # noqa: N802
-        pass
+        self._tell()
 
     def onQueryTerminated(self, event) -> None:  # noqa: N802
         pass

@@ -1,10 +1,10 @@
-"""Stateful deduplication: by processing-time retention and by event-time timers."""
+"""Keyed state: deduplication by retention in processing time or event time, and windows of the wall clock."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -74,3 +74,59 @@ def dedup_timer(events: DataFrame, key: str = "order_id", ttl_ms: int = 3_600_00
     """Adds ``event_time`` with a watermark, which the timers need."""
     timed = events.where(F.col(key).isNotNull()).withColumn("event_time", F.timestamp_millis("timestamp")).withWatermark("event_time", lateness)
     return timed.groupBy(key).transformWithState(KeepFirstTimer(ttl_ms), timed.schema, "append", "eventTime", eventTimeColumnName="event_time")
+
+
+def dedup_within(events: DataFrame, key: str = "event_id", retention_ms: int = 3_600_000) -> DataFrame:
+    """The first row of a key, which is known until the watermark, ``retention_ms`` behind the events, has passed that row by as much again. Rows behind the watermark go."""
+    timed = events.where(F.col(key).isNotNull()).withColumn("event_time", F.timestamp_millis("timestamp")).withWatermark("event_time", f"{retention_ms} milliseconds")
+    return timed.dropDuplicatesWithinWatermark([key]).drop("event_time")
+
+
+# Fixed names: columns of a rollup that rankings need.
+_WALL = "restaurant_id string, menu_item_id string, menu_item_name string, order_count bigint, sum_quantity bigint, sum_revenue_cents bigint, window_start_1m bigint, window_end bigint"
+_COLUMNS = [f.split()[0] for f in _WALL.split(", ")]
+_SUMS = T.StructType([T.StructField(n, T.StringType() if t == "string" else T.LongType()) for n, t in (f.split() for f in _WALL.split(", "))])
+
+
+class WallWindow(StatefulProcessor):
+    """Sums of one restaurant's item since its window of the wall clock began. A timer sends them out when the window ends."""
+
+    def __init__(self, size_ms: int):
+        self.size_ms = size_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.sums = handle.getValueState("sums", _SUMS)
+
+    def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:  # noqa: N802, N803
+        start = timerValues.getCurrentProcessingTimeInMs() // self.size_ms * self.size_ms
+        held = tuple(self.sums.get()) if self.sums.exists() else None
+        if held and held[6] < start:  # its timer fires in this batch, after the rows
+            yield Row(*_COLUMNS)(*held)
+            self.handle.deleteTimer(held[7])
+            held = None
+        if held is None:
+            held = (key[0], key[1], None, 0, 0, 0, start, start + self.size_ms)
+            self.handle.registerTimer(start + self.size_ms)
+        for r in rows:
+            held = (*held[:2], r["menu_item_name"], held[3] + r["order_count"], held[4] + r["sum_quantity"], held[5] + r["sum_revenue_cents"], *held[6:])
+        self.sums.update(held)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:  # noqa: N802, N803
+        if self.sums.exists() and self.sums.get()[7] <= expiredTimerInfo.getExpiryTimeInMs():
+            yield Row(*_COLUMNS)(*self.sums.get())
+            self.sums.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def wall_windows(sums: DataFrame, size_ms: int = 60_000) -> DataFrame:
+    """Rollup rows of tumbling windows by when partial sums (of ``ranking.combined``) are processed, whatever the events say. A window comes out when the clock passes its end, without further input."""
+    return sums.groupBy("restaurant_id", "menu_item_id").transformWithState(WallWindow(size_ms), _WALL, "append", "processingTime")
+
+
+def open_walls(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """What the windows hold that are open in a stopped query's state."""
+    state = spark.read.format("statestore").option("stateVarName", "sums").load(checkpoint)
+    return state.select("value.*").where("window_start_1m IS NOT NULL").select(*_COLUMNS)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ordertide.functions.scalar import ago_ms, iso_duration_ms, long_or
-from ordertide.operators.dedup import keep_first, keep_first_within
+from ordertide.operators.dedup import History, keep_first, keep_first_within
 from ordertide.operators.parse import good_and_bad, keyed_json, parse_json, to_raw
 from ordertide.operators.rollup import cube, merge_first, merge_rollup, rollup
 from ordertide.operators.topk import running_revenue, top_k_global, top_k_per_restaurant
@@ -156,3 +156,17 @@ def test_scalars():
     assert iso_duration_ms("PT24H") == 86_400_000 and iso_duration_ms("PT7D") == 7 * 86_400_000 and ago_ms("PT1M", 60_000) == 0
     assert long_or("12", 1) == 12 and long_or("x", 1) == 1 and long_or(str(2**63), 1) == 1 and long_or(None, 3) == 3
     assert route({"restaurant_id"}, time_range=False) == "cube" and route({"customer_id"}, time_range=True) == "raw" and route({"menu_item_id"}, time_range=True) == "rollup"
+
+
+def test_history_is_not_moved(spark, golden, tmp_path):
+    history = History(spark, "keys_test", f"file://{tmp_path}/keys", buckets=8)
+    assert history.new(golden).count() == golden.count()
+    history.add(golden.where("event_id <= 'e3'"))
+    assert sorted(r.event_id for r in history.new(golden).collect()) == ["e4", "e5", "e6"]
+    plan = history.new(golden)._jdf.queryExecution().executedPlan().toString()
+    seen = plan[plan.index("_seen"):] if "_seen" in plan else plan
+    assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning") == 1 and "Exchange" not in plan[plan.index("Scan parquet"):] and seen
+    history.add(history.new(golden))
+    assert history.new(golden).count() == 0
+    assert spark.table(history.name).count() == 6
+    spark.sql(f"DROP TABLE {history.name}")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,11 +18,10 @@ def keep_first(events: DataFrame, key: str | list[str] = "event_id", order: list
     order = order if order is not None else ["timestamp"]
     first = [F.col(o).alias(f"_o{i}") if isinstance(o, str) else o.alias(f"_o{i}") for i, o in enumerate(order)]
     whole = F.struct(*first, *[F.col(c).alias(c) for c in events.columns])
-    known = events.dropna(subset=keys)
-    best = known.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.min(whole).alias("_r"))
-    kept = best.select(*[F.col(f"_r.{c}").alias(c) for c in events.columns])
-    missing = events.where(" OR ".join(f"`{k}` IS NULL" for k in keys))
-    return kept.unionByName(missing)
+    unknown = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    told_apart = events.withColumn("_own", F.when(unknown, F.monotonically_increasing_id()))
+    best = told_apart.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_own").agg(F.min(whole).alias("_r"))
+    return best.select(*[F.col(f"_r.{c}").alias(c) for c in events.columns])
 
 
 def keep_new(events: DataFrame, history: DataFrame, key: str = "event_id") -> DataFrame:

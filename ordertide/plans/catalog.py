@@ -234,12 +234,14 @@ def topk_best_window_global(spark, sf_dir):
 _RANGE = f"window_start >= {START} AND window_end <= {END}"
 
 
-_SERVED: dict[tuple[str, str], Serving] = {}
+_SERVED: dict[tuple[str, str, int], Serving] = {}
 
 
 def served(spark: SparkSession, sf_dir: str) -> Serving:
-    """The stored tables of a data folder, written when first asked for in an application: requests read them, and don't rank anew."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The stored tables of a data folder, written when an application first asks for them, or the events have changed: requests read them, and don't rank anew."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/events.parquet")
+    changed = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).getModificationTime()
+    key = (spark.sparkContext.applicationId, sf_dir, changed)
     if key not in _SERVED or not _SERVED[key].exists(spark):
         _SERVED[key] = Serving(session.fresh_path(spark, "served")).write(_hours(spark, sf_dir, sketch=True))
     return _SERVED[key]

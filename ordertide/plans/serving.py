@@ -6,6 +6,7 @@ only those that it brings are ranked. A request for a range of time opens the fi
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import cached_property, reduce
 
@@ -50,8 +51,7 @@ class Serving:
         txn = self.store.begin(rolled.sparkSession)
         txn.put("rollup", rolled, replace="dates")
         txn.drop("rollup_hours", [d for d in txn.dates("rollup") if any(n == txn.n for n, _ in txn.mark["tables"]["rollup"][d])])
-        self._rank(txn, txn.last("rollup"), mode, replace="dates")
-        self._grow(txn, None)
+        self._fill(txn, txn.last("rollup"), None, mode, replace="dates")
         txn.commit()
         return self
 
@@ -83,18 +83,23 @@ class Serving:
             low, high = new.agg(F.min("window_start_1m"), F.max("window_start_1m")).first()
             before = self.store.read(spark, "rollup", low, high).join(new.select("window_start_1m").distinct(), "window_start_1m", "left_semi")
             whole = new.unionByName(before)
-        self._rank(txn, whole, mode)
-        self._grow(txn, new)
+        self._fill(txn, whole, new, mode)
         folded = [d for t in ("rollup", "restaurant_topk", "global_topk") for d in txn.fold(t)]
         txn.commit(writer, number)
         if folded:
             self.store.vacuum(spark)
         return True
 
-    def _rank(self, txn: Transaction, rows: DataFrame, mode: str, replace: str | None = None) -> None:
-        """Ranks whole windows."""
-        txn.put("restaurant_topk", top_k_per_restaurant(rows, self.k), replace=replace)
-        txn.put("global_topk", top_k_global(rows, self.k, mode), replace=replace)
+    def _fill(self, txn: Transaction, windows: DataFrame, new: DataFrame | None, mode: str, replace: str | None = None) -> None:
+        """Ranks whole windows and grows the tree: three tables from the one that is stored, at the same time."""
+        with ThreadPoolExecutor(3) as pool:
+            jobs = [
+                pool.submit(txn.put, "restaurant_topk", top_k_per_restaurant(windows, self.k), replace=replace),
+                pool.submit(txn.put, "global_topk", top_k_global(windows, self.k, mode), replace=replace),
+                pool.submit(self._grow, txn, new),
+            ]
+            for j in jobs:
+                j.result()
 
     def _grow(self, txn: Transaction, new: DataFrame | None) -> None:
         """Adds new windows to the levels that they touch; without ``new``, and when many such additions lie there, makes the tree anew."""
@@ -111,13 +116,14 @@ class Serving:
             finest = _records_of(parts)
         else:
             finest = _records_of([txn.read("tree").where("level = 0"), startree.records(new)])
-        txn.put("tree", finest, replace="all", by=["restaurant_id"])
+        txn.put("tree", finest, replace="all", by=list(CUBE_DIMS))
         finest = txn.last("tree")
-        counts = startree.nodes(finest)
+        counts = startree.nodes(finest).cache()
         of = {r.level: (r.n, r.d) for r in counts.groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("records") > self.limit).alias("d")).collect()}  # 16 levels
         divided = [x for x, (_, d) in of.items() if d]
         whole = [x for x in range(1, startree.ROOT) if of.get(startree.above(x), (1, 0))[0] == of.get(startree.above(x), (1, 0))[1]]
         txn.put("tree", startree.levels(finest, counts.where(F.col("records") > self.limit), divided))
+        counts.unpersist()
         txn.mark["notes"] |= {"divided": divided, "whole": whole}
 
     def merge(self, spark: SparkSession, now_ms: int, *, buffer_ms: int = 86_400_000) -> int:

@@ -14,9 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
-from ordertide.operators.parse import parse_json, to_raw
+from ordertide.functions.scalar import dollar_text, padded
+from ordertide.operators.parse import keyed_json, parse_json, to_raw
 from ordertide.operators.rollup import rollup
-from ordertide.operators.topk import top_k_global, top_k_per_restaurant
+from ordertide.operators.topk import running_revenue, top_k_global, top_k_per_restaurant
 from ordertide.plans.serving import Serving
 from ordertide.plans.store import Store
 from ordertide.streaming.stateful import dedup_timer, dedup_ttl, dedup_within, open_walls, wall_windows
@@ -258,8 +259,6 @@ def replay_rollup(spark: SparkSession, events: DataFrame, at: str, size: str = "
 
     A last event far ahead in time closes the windows; its own is never emitted.
     """
-    from ordertide.operators.parse import keyed_json
-
     end = events.agg(F.max("timestamp")).first()[0] or 0
     closing = spark.createDataFrame([("_closing", "_o", "_c", "_r", "_i", "_k", "_n", 0, 0, int(end) + 30 * 86_400_000)], events.select(*events.columns).schema)
     last = int(end) + 15 * 86_400_000
@@ -274,16 +273,29 @@ def replay_rollup(spark: SparkSession, events: DataFrame, at: str, size: str = "
 
 
 def replay_dedup(spark: SparkSession, events: DataFrame, at: str, key: str = "order_id", ttl_ms: int = 3_600_000, files: int = 4) -> DataFrame:
-    """Runs the deduplication with timers over bounded events, a file in time order in each micro-batch."""
-    from ordertide.operators.parse import keyed_json, parse_json
-
+    """Runs the deduplication with timers over bounded events, so many ranges of time one after the other, each a micro-batch."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     ends = events.approxQuantile("timestamp", [i / files for i in range(1, files)], 0.01) if files > 1 else []
     for i, (low, high) in enumerate(zip([None, *ends], [*ends, None], strict=True)):
         some = events if low is None else events.where(F.col("timestamp") >= low)
         some = some if high is None else some.where(F.col("timestamp") < high)
-        keyed_json(some.orderBy("timestamp"), None).select("value").coalesce(1).write.text(f"{at}/in/{i}")
-    values = spark.readStream.format("text").option("maxFilesPerTrigger", 1).load(f"{at}/in/*")
-    kept = dedup_timer(parse_json(values, on_bad_record="skip"), key, ttl_ms)
-    drain(write_table(kept.drop("event_time"), f"{at}/kept", f"{at}/ck", once=True))
+        keyed_json(some, None).select("value").write.text(f"{at}/in/{i}")
+        kept = dedup_timer(parse_json(spark.readStream.text(f"{at}/in/*"), on_bad_record="skip"), key, ttl_ms)
+        drain(write_table(kept.drop("event_time"), f"{at}/kept", f"{at}/ck", once=True))
     return spark.read.parquet(f"{at}/kept")
+
+
+def console_report(events: DataFrame, checkpoint: str, *, k: int = 10, width: int = 24, out: Callable[[str], None] = print, once: bool = False, every: str = "10 seconds") -> StreamingQuery:
+    """Prints the items of greatest revenue so far, after each batch that brings something: names padded, dollars to the right.
+
+    Revenue is added up in the state of a JVM aggregate, and the K rows of the report come to the driver.
+    """
+
+    def tell(batch: DataFrame, batch_id: int) -> None:
+        top = batch.orderBy(F.col("total_revenue").desc(), "menu_item_id").limit(k)
+        rows = top.select(padded(F.coalesce("menu_item_name", F.lit("")), width).alias("item"), padded(dollar_text(F.col("total_revenue")), 14, left=True).alias("revenue")).collect()
+        if rows:
+            out("\n".join([f"top {k} by revenue, batch {batch_id}", *(f"{i + 1:>3}. {r.item} {r.revenue}" for i, r in enumerate(rows))]))
+
+    w = running_revenue(events).writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(tell)
+    return (w.trigger(availableNow=True) if once else w.trigger(processingTime=every)).start()

@@ -11,7 +11,7 @@ from ordertide.schemas import ORDER_EVENT
 from ordertide.sources.generate import generate
 from ordertide.operators.parse import parse_json
 from ordertide.plans.store import Kept, Store
-from ordertide.streaming.jobs import Progress, drain, flush_walls, rank_walls, raw_events, replay_dedup, replay_rollup, rollup_stream, write_table, write_topk
+from ordertide.streaming.jobs import Progress, console_report, drain, flush_walls, rank_walls, raw_events, replay_dedup, replay_rollup, rollup_stream, write_table, write_topk
 from ordertide.streaming.ranking import combined
 
 T0 = 1704067200000
@@ -203,3 +203,10 @@ def test_wall_windows_end_without_input(spark, tmp_path):
     assert flush_walls(spark, store, f"{tmp_path}/ck2", k=2) == 3
     assert [(r.menu_item_id, r.order_count) for r in store.read(spark, "overall").orderBy("rank").collect()] == [("I2", 4), ("I0", 3)]
     assert flush_walls(spark, store, f"{tmp_path}/ck2", k=2) == 3 and store.read(spark, "overall").count() == 2
+
+
+def test_console_report(spark, tmp_path):
+    said = []
+    spark.createDataFrame([tuple(_event(i, i, menu_item_id=f"I{i % 3}", menu_item_name=f"Item {i % 3}", price_in_cents=100 * (i % 3))[c] for c in ORDER_EVENT.names) for i in range(9)], ORDER_EVENT).write.parquet(f"{tmp_path}/in")
+    drain(console_report(spark.readStream.schema(ORDER_EVENT).parquet(f"{tmp_path}/in"), f"{tmp_path}/ck", k=2, width=8, out=said.append, once=True))
+    assert said[-1].splitlines()[1:] == ["  1. Item 2            $6.00", "  2. Item 1            $3.00"]

@@ -13,10 +13,9 @@ from __future__ import annotations
 import base64
 import re
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from dataclasses import dataclass, field
-from fractions import Fraction
+from dataclasses import dataclass
 from functools import lru_cache
 from itertools import accumulate
 
@@ -78,36 +77,37 @@ class Mixture:
     totals: list[int]
     targets: list[int] | None = None
     window: int = MIX_WINDOW
-    _phases: list = field(default_factory=list)
-    _tail: tuple | None = None
 
     def __post_init__(self) -> None:
+        """A queue of weight x has been given x * v tokens, or all that it has, when v were given for each unit of weight: so it runs out at v = total / x, and between two
+        such ends the tokens given in all grow evenly. Queues are sorted by their end once, and sums of those before it tell each phase."""
         t = self.targets or self.totals
-        left, at = [Fraction(x) for x in self.totals], Fraction(0)
-        base = [Fraction(0)] * len(left)
-        while any(left):
-            live = [s for s, x in enumerate(left) if x]
-            weight = [max(0, t[s]) if left[s] else 0 for s in range(len(left))]
-            if not any(weight):  # only queues of no target are left, all of them whole: they share alike
-                sizes = sorted(self.totals[s] for s in live)
-                gone = [0, *accumulate(sizes)]
-                # where each runs out in turn
-                ends = [gone[k] + x * (len(sizes) - k) for k, x in enumerate(sizes)]
-                self._tail = (int(at), set(live), gone, ends)
-                break
-            den = sum(weight)
-            span = min(left[s] * den / weight[s] for s in live if weight[s])
-            self._phases.append((at, list(base), weight, den))
-            for s in live:
-                base[s] += span * weight[s] / den
-                left[s] -= span * weight[s] / den
-            at += span
+        self._weight = [max(0, x) if n else 0 for x, n in zip(t, self.totals, strict=True)]
+        fine = 2 * max(self._weight, default=0).bit_length() + 2  # two ends that differ do so by more than 2 ** -fine
+        end = lambda s: (self.totals[s] << fine) // self._weight[s]
+        order = sorted((s for s, x in enumerate(self._weight) if x), key=end)
+        self._rank = [len(order)] * len(self.totals)
+        for i, s in enumerate(order):
+            self._rank[s] = i
+        self._gone = [0, *accumulate(self.totals[s] for s in order)]
+        live = sum(self._weight)
+        self._live = [live, *(live - x for x in accumulate(self._weight[s] for s in order))]
+        # tokens given in all when the queue at each place of the order runs out, rounded down
+        self._ends = [self._gone[i] + self.totals[s] * self._live[i] // self._weight[s] for i, s in enumerate(order)]
+        self._even = not order or end(order[0]) == end(order[-1])
         self.all = sum(self.totals)
         self.windows = -(-self.all // self.window)
-        self._starts = [p[0] for p in self._phases]
+        self._tail = None
+        if self._gone[-1] < self.all:  # only queues of no weight are left, all of them whole: they share alike
+            rest = [s for s, n in enumerate(self.totals) if n and not self._weight[s]]
+            sizes = sorted(self.totals[s] for s in rest)
+            gone = [0, *accumulate(sizes)]
+            # where each runs out in turn
+            self._tail = (self._gone[-1], set(rest), gone, [gone[k] + x * (len(sizes) - k) for k, x in enumerate(sizes)])
+            self._even = False
         self._rows: dict[int, tuple[list[int], int]] = {}
         self._firsts: dict[int, list[int]] = {}
-        self._most = max(8, 4096 * QUEUES // max(len(left), QUEUES))
+        self._most = max(8, 4096 * QUEUES // max(len(self.totals), QUEUES))
 
     def given(self, w: int) -> list[int]:
         """C(w) of each queue: tokens given before window ``w``."""
@@ -123,15 +123,17 @@ class Mixture:
             elif self._tail and g >= self._tail[0]:
                 level = self._level(g)
                 c = [min(x, level) if s in self._tail[1] else x for s, x in enumerate(self.totals)]
-            elif len(self._phases) == 1:
-                _, _, weight, den = self._phases[0]
-                c = [x * g // den for x in weight]
             else:
-                at, base, weight, den = self._phases[bisect_right(self._starts, g) - 1]
-                c = [int(b + (g - at) * x / den) for b, x in zip(base, weight, strict=True)]
+                k = self._phase(g)
+                more, den = g - self._gone[k], self._live[k]
+                c = [x * more // den if r >= k else n for x, r, n in zip(self._weight, self._rank, self.totals, strict=True)]
             self._rows[w] = c, sum(c)
         return self._rows[w]
 
+    def _phase(self, g: int) -> int:
+        """How many queues have run out when ``g`` tokens, fewer than the weighted queues have, were given. An end that is no whole number lies beyond its rounded one."""
+        return bisect_left(self._ends, g)
+
     def _level(self, g: int) -> int:
         """Tokens that each queue of no target has given, if it had as many, of ``g`` in all."""
         at, live, gone, ends = self._tail
@@ -147,13 +149,13 @@ class Mixture:
             return self.totals[queue]
         if self._tail and g >= self._tail[0]:
             return min(self.totals[queue], self._level(g)) if queue in self._tail[1] else self.totals[queue]
-        at, base, weight, den = self._phases[bisect_right(self._starts, g) - 1]
-        return int(base[queue] + (g - at) * weight[queue] / den)
+        k = self._phase(g)
+        return self._weight[queue] * (g - self._gone[k]) // self._live[k] if self._rank[queue] >= k else self.totals[queue]
 
     def place(self, queue: int, at: int) -> tuple[int, int, int]:
         """Of token ``at`` of a queue: its window, its place in the stream, and how many of the queue's tokens follow in that window, itself included."""
         lo, hi = 0, self.windows - 1
-        if self.totals[queue] and len(self._phases) == 1:  # near, as shares are even
+        if self.totals[queue] and self._even:  # near, as shares are even
             guess = at * self.all // (self.totals[queue] * self.window)
             lo, hi = max(0, guess - 1), min(hi, guess + 2)
             if self._of(lo, queue) > at or (hi < self.windows - 1 and self._of(hi + 1, queue) <= at):

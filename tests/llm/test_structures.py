@@ -220,3 +220,19 @@ def test_no_rows(spark):
     assert simhash.simhash_groups(empty).count() == 0
     got = simhash.simhash_groups(spark.createDataFrame([(None, "a b"), (None, "A b"), (3, "a b"), (None, "else")], "doc_id bigint, text string")).collect()
     assert sorted((r.component_id for r in got), key=str) == [3, 3, 3, None]
+
+
+def test_mixture_of_very_many_sources():
+    from ordertide.llm import packing
+
+    rng = random.Random(4)
+    totals = [rng.randrange(1, 10**7) for _ in range(50_000)]
+    began = __import__("time").monotonic()
+    mix = packing.Mixture(totals, [max(1, round(x**0.5 * 1000)) for x in totals])
+    assert __import__("time").monotonic() - began < 10
+    for w in (0, 1, mix.windows // 2, mix.windows - 1, mix.windows):
+        given, g = mix.given(w), min(w * mix.window, mix.all)
+        assert g - len(totals) <= sum(given) <= g and all(0 <= c <= n for c, n in zip(given, totals, strict=True))
+        assert [mix._of(w, q) for q in range(0, 50_000, 997)] == given[::997]
+    w, place, left = mix.place(7, totals[7] - 1)
+    assert left == 1 and mix.given(w)[7] < totals[7] == mix.given(w + 1)[7] and 0 <= place < mix.all

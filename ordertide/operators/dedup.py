@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -60,13 +60,19 @@ class History:
 def keep_first_within(events: DataFrame, key: str = "event_id", ttl_ms: int = 3_600_000) -> DataFrame:
     """Bounded retention by event time: a repeat within ``ttl_ms`` of the *accepted* row before it is dropped, later ones count anew.
 
-    Accepting depends on what was accepted before, so the chain is folded over each key's sorted timestamps: one key's
-    distinct timestamps are held, not its rows.
+    A row after a gap of ``ttl_ms`` is accepted whatever came before, so a key's rows fall into runs between such gaps, and a run shorter
+    than ``ttl_ms`` is its first row alone. In longer runs accepting depends on what was accepted before: there the chain is folded over
+    the run's later timestamps. Of rows with one key and timestamp the least stays; rows without either go.
     """
-    times = events.dropna(subset=[key, "timestamp"]).groupBy(key).agg(F.sort_array(F.collect_set("timestamp")).alias("_ts"))
+    firsts = keep_first(events.dropna(subset=[key, "timestamp"]), [key, "timestamp"])
+    by_time = Window.partitionBy(key).orderBy("timestamp")
+    begins = F.coalesce(F.col("timestamp") - F.lag("timestamp").over(by_time) >= ttl_ms, F.lit(True))
+    runs = firsts.withColumn("_begins", begins)
+    run = F.max(F.when(F.col("_begins"), F.col("timestamp"))).over(by_time.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    open_ = runs.withColumn("_run", run).where(F.col("_begins") | (F.col("timestamp") >= F.col("_run") + ttl_ms))
     taken = F.expr(
-        f"aggregate(_ts, cast(array() as array<bigint>), (a, t) -> IF(size(a) = 0 OR t >= element_at(a, -1) + {int(ttl_ms)}L, array_append(a, t), a))"
+        f"aggregate(array_sort(_ts), cast(array(_run) as array<bigint>), (a, t) -> IF(t >= element_at(a, -1) + {int(ttl_ms)}L, array_append(a, t), a))"
     )
-    accepted = times.select(key, F.explode(taken).alias("timestamp"))
-    firsts = keep_first(events.dropna(subset=[key, "timestamp"]), [key, "timestamp"])
-    return firsts.join(accepted, [key, "timestamp"], "left_semi").select(*events.columns)
+    chains = open_.where("NOT _begins").groupBy(key, "_run").agg(F.collect_list("timestamp").alias("_ts"))
+    accepted = chains.select(key, F.explode(taken).alias("timestamp"), F.lit(True).alias("_taken"))
+    return open_.join(accepted, [key, "timestamp"], "left").where("_begins OR _taken").select(*events.columns)

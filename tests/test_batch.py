@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -158,6 +159,18 @@ def test_scalars():
     assert route({"restaurant_id"}, time_range=False) == "cube" and route({"customer_id"}, time_range=True) == "raw" and route({"menu_item_id"}, time_range=True) == "rollup"
 
 
+def test_retention_against_a_loop(spark):
+    rng = random.Random(11)
+    rows = [(f"k{rng.randrange(9)}", "o", "c", "r", "i", "k", "n", 1, 1, rng.randrange(400)) for _ in range(400)] + [("far", "o", "c", "r", "i", "k", "n", 1, 1, t) for t in (0, 5, 1000, 1009, 1010, 1011, 3000)]
+    want, last = [], {}
+    for k, t in sorted({(r[0], r[-1]) for r in rows}):
+        if k not in last or t >= last[k] + 10:
+            last[k] = t
+            want.append((k, t))
+    got = keep_first_within(spark.createDataFrame(rows, ORDER_EVENT), "event_id", 10)
+    assert sorted((r.event_id, r.timestamp) for r in got.collect()) == want and got.columns == ORDER_EVENT.names
+
+
 def test_history_is_not_moved(spark, golden, tmp_path):
     history = History(spark, "keys_test", f"file://{tmp_path}/keys", buckets=8)
     assert history.new(golden).count() == golden.count()

@@ -18,8 +18,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ordertide.functions.scalar import event_time
-
 _V = "_v"
 
 
@@ -207,7 +205,7 @@ class Transaction:
         schema = rows.schema if not self.has(name) else T.StructType.fromJson(self.mark["schemas"][name])
         out = rows.select(*schema.names).withColumn(_V, F.lit(self.n).cast("bigint"))
         if kept.time:
-            out = out.withColumn("dt", F.to_date(event_time(F.col(kept.time)))).hint("rebalance", F.col("dt"))
+            out = out.withColumn("dt", F.date_from_unix_date(F.floor(F.col(kept.time) / 86_400_000).cast("int"))).hint("rebalance", F.col("dt"))
         elif by:
             out = out.repartitionByRange(*by)
         if kept.sort:

@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_STATE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 _MANY = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
 
 
@@ -19,10 +20,16 @@ def builder(app: str = "ordertide") -> SparkSession.Builder:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+        .config(*_STATE)
     )
 
 
+def with_state(spark: SparkSession) -> None:
+    """Lets streams of this session keep keyed state of their own, whoever has made the session: that needs RocksDB."""
+    if spark.conf.get(_STATE[0], None) != _STATE[1]:
+        spark.conf.set(*_STATE)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; a local one only where that is unset and all runs in one process, as in tests."""
     at = spark.conf.get("spark.checkpoint.dir", None)

@@ -274,7 +274,6 @@ def replay_rollup(spark: SparkSession, events: DataFrame, at: str, size: str = "
 
 def replay_dedup(spark: SparkSession, events: DataFrame, at: str, key: str = "order_id", ttl_ms: int = 3_600_000, files: int = 4) -> DataFrame:
     """Runs the deduplication with timers over bounded events, so many ranges of time one after the other, each a micro-batch."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     ends = events.approxQuantile("timestamp", [i / files for i in range(1, files)], 0.01) if files > 1 else []
     for i, (low, high) in enumerate(zip([None, *ends], [*ends, None], strict=True)):
         some = events if low is None else events.where(F.col("timestamp") >= low)

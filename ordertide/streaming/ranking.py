@@ -18,6 +18,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from ordertide.functions.scalar import event_time, window_floor
 from ordertide.operators.topk import ALL
+from ordertide.session import with_state
 
 _ITEM = "restaurant_id string, menu_item_id string, menu_item_name string, named_at bigint, order_count bigint, total_quantity bigint, total_revenue_in_cents bigint, window_start bigint, window_end bigint"
 _FIELDS = [f.split()[0] for f in _ITEM.split(", ")]
@@ -156,6 +157,7 @@ def ranked_stream(sums: DataFrame, k: int = 10, *, overall: bool = False, how: s
         raise ValueError(how)
     if k < 1:
         raise ValueError("k must be 1 or more")
+    with_state(sums.sparkSession)
     named = F.col("named_at") if "named_at" in sums.columns else F.col("window_start_1m")
     period = F.col("window_start_1m") if how == "sum" else F.lit(OPEN).cast("bigint")
     rows = sums.select(

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from ordertide.session import with_state
+
 
 class KeepFirstTtl(StatefulProcessor):
     """The first row of a key; its state goes ``ttl_ms`` of processing time after that row. Repeats don't refresh it."""
@@ -67,11 +69,13 @@ class KeepFirstTimer(StatefulProcessor):
 
 def dedup_ttl(events: DataFrame, key: str = "event_id", ttl_ms: int = 3_600_000) -> DataFrame:
     """On a stream without a watermark; late rows stay for the raw table."""
+    with_state(events.sparkSession)
     return events.where(F.col(key).isNotNull()).groupBy(key).transformWithState(KeepFirstTtl(ttl_ms), events.schema, "append", "processingTime")
 
 
 def dedup_timer(events: DataFrame, key: str = "order_id", ttl_ms: int = 3_600_000, lateness: str = "10 seconds") -> DataFrame:
     """Adds ``event_time`` with a watermark, which the timers need."""
+    with_state(events.sparkSession)
     timed = events.where(F.col(key).isNotNull()).withColumn("event_time", F.timestamp_millis("timestamp")).withWatermark("event_time", lateness)
     return timed.groupBy(key).transformWithState(KeepFirstTimer(ttl_ms), timed.schema, "append", "eventTime", eventTimeColumnName="event_time")
 
@@ -123,6 +127,7 @@ class WallWindow(StatefulProcessor):
 
 def wall_windows(sums: DataFrame, size_ms: int = 60_000) -> DataFrame:
     """Rollup rows of tumbling windows by when partial sums (of ``ranking.combined``) are processed, whatever the events say. A window comes out when the clock passes its end, without further input."""
+    with_state(sums.sparkSession)
     return sums.groupBy("restaurant_id", "menu_item_id").transformWithState(WallWindow(size_ms), _WALL, "append", "processingTime")
 
 

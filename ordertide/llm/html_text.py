@@ -7,6 +7,7 @@ rendered by a stack of generators, so that neither depth nor unclosed tags matte
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field, replace
@@ -15,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Element classes of the HTML standard, and its greatest colspan.
+# Element classes of the HTML standard, and its greatest colspan and rowspan.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
 INVISIBLE = frozenset(
@@ -44,9 +45,10 @@ _ENDS = {
 #: Parts of a drawing that show no text; its text stands in ``text`` and ``foreignobject``.
 _UNDRAWN = frozenset("title desc metadata defs symbol clippath mask pattern marker".split())
 _TYPED = frozenset("submit button reset text search tel url email number".split())
-MOST_COLSPAN = 1000
-#: Layout, which never drops text: columns that lists indent by at most, that a cell widens its column to at most, and tables inside each other that are aligned.
-MOST_INDENT, CELL_WIDTH, ALIGNED_TABLES = 64, 200, 8
+MOST_COLSPAN, MOST_ROWSPAN = 1000, 65534
+#: Layout, which never drops text: columns that lists indent by at most, that a cell widens its column to at most, tables inside each other that are aligned,
+#: and cells that reach down into one row, from the left, which it makes room for.
+MOST_INDENT, CELL_WIDTH, ALIGNED_TABLES, MOST_SPANS = 64, 200, 8, 200
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _GAP = re.compile(r"[\s/]*")
 _ATTR_NAME = re.compile(r"=?[^\s/>=]*")
@@ -54,7 +56,7 @@ _EQUALS = re.compile(r"\s*=\s*")
 _BARE_VALUE = re.compile(r"[^\s>]*")
 _COMMENT_END = re.compile(r"--!?>")
 _SPACES = re.compile(r"[ \t\n\r\f]+")
-_KEPT = frozenset("hidden type style start value open colspan reversed".split())
+_KEPT = frozenset("hidden type style start value open colspan rowspan reversed".split())
 _RAW_END = {tag: re.compile(f"</{tag}(?=[\\s/>])", re.I) for tag in RAW}
 
 
@@ -381,19 +383,38 @@ def _list(n: Node, o: _Lines, p: _Place) -> _Steps:
         o.mark = keep
 
 
-def _rows(n: Node, inherited: bool) -> Iterator[tuple[Node, bool]]:
+def _rows(n: Node, inherited: bool) -> Iterator[tuple[int, Node, bool]]:
+    """Rows that are laid out, each with the number of its row group; rows outside of groups make one between two groups."""
+    group = 0
     for c in n.children:
-        if isinstance(c, Node) and (c.tag == "tr" or c.tag in _ROWS) and (now := shown(c, inherited)) is not None:
-            if c.tag == "tr":
-                yield c, now
-            else:
-                for r in c.children:
-                    if isinstance(r, Node) and r.tag == "tr" and (row := shown(r, now)) is not None:
-                        yield r, row
+        if not isinstance(c, Node) or c.tag != "tr" and c.tag not in _ROWS:
+            continue
+        group += c.tag != "tr"
+        now = shown(c, inherited)
+        if now is not None and c.tag == "tr":
+            yield group, c, now
+        elif now is not None:
+            for r in c.children:
+                if isinstance(r, Node) and r.tag == "tr" and (row := shown(r, now)) is not None:
+                    yield group, r, row
+        group += c.tag != "tr"
+
+
+def _across(attrs: dict[str, str]) -> int:
+    return min(max(_number(attrs, "colspan") or 1, 1), MOST_COLSPAN)
+
+
+def _last_row(attrs: dict[str, str], y: int) -> float:
+    """The last row that a cell of row ``y`` covers; 0 is as many as its row group has."""
+    down = _number(attrs, "rowspan")
+    return math.inf if down == 0 else y + min(max(down or 1, 1), MOST_ROWSPAN) - 1
 
 
 def _table(n: Node, out: list[str], p: _Place) -> _Steps:
-    """Cells of a column stand below each other, two spaces apart; a cell's own lines keep their column. Text outside rows comes first."""
+    """Cells of a column stand below each other, two spaces apart; a cell's own lines keep their column. Text outside rows comes first.
+
+    Cells take the columns that are free, beside those that reach down from rows above in their row group. Rows that aren't laid out don't count.
+    """
     o = _Lines()
     loose = [c for c in n.children if isinstance(c, str) or not (c.tag == "tr" or c.tag in _ROWS)]
     loose += [x for c in n.children if isinstance(c, Node) and c.tag in _ROWS and shown(c, p.shown) is not None for x in c.children if isinstance(x, str) or x.tag != "tr"]
@@ -402,9 +423,12 @@ def _table(n: Node, out: list[str], p: _Place) -> _Steps:
     out.extend(o.out)
     rows: list[dict[int, list[str]]] = []
     width: dict[int, int] = {}
-    for r, row_shown in _rows(n, p.shown):
+    spans: list[tuple[int, int, float]] = []  # of cells that reach down: first column, the one after it, last row
+    group = None
+    for y, (g, r, row_shown) in enumerate(_rows(n, p.shown)):
+        spans = [s for s in spans if s[2] >= y] if g == group else []
+        group, down, k, at = g, [], 0, 0
         cells: dict[int, list[str]] = {}
-        at = 0
         for c in r.children:
             is_cell = isinstance(c, Node) and c.tag in ("td", "th")
             now = shown(c, row_shown) if is_cell else row_shown
@@ -413,11 +437,20 @@ def _table(n: Node, out: list[str], p: _Place) -> _Steps:
             box = _Lines()
             yield _children(c.children if is_cell else [c], box, replace(p, shown=now))
             box.end()
+            if not is_cell and not box.out:
+                continue
+            while k < len(spans) and spans[k][0] <= at:
+                at = max(at, spans[k][1])
+                k += 1
             if box.out:
                 cells[at] = box.out
                 width[at] = max(width.get(at, 0), *(min(len(x), CELL_WIDTH) for x in box.out))
-            if is_cell or box.out:
-                at += min(max(_number(c.attrs, "colspan") or 1, 1), MOST_COLSPAN) if is_cell else 1
+            end = at + (_across(c.attrs) if is_cell else 1)
+            if is_cell and (last := _last_row(c.attrs, y)) > y:
+                down.append((at, end, last))
+            at = end
+        if down:
+            spans = sorted(spans + down)[:MOST_SPANS]
         if cells:
             rows.append(cells)
     start, x = {}, 0

@@ -595,7 +595,26 @@ def test_html(page, text):
 N = 200_000
 
 
-@pytest.mark.parametrize("part", ["<a x", "<a x=\"'", "<b>", "<b><p>x", "<table><tr><td>", "<table><tr><td>a<td>", "<ul><li>a", "<dl><dd>a", "<!--", "<script>", "<", "<a b='>' ", "<i><table></i>", "<tr><td colspan=1000>x", "&amp;"])
+_SPANS = [
+    ("<td rowspan=2>tea<td>1<tr><td>2<tr><td>x<td>3", "tea  1\n     2\nx    3"), ("<td>a<td rowspan=3>b<td>c<tr><td>d<td>e<tr><td>f<td>g", "a  b  c\nd     e\nf     g"),
+    ("<td rowspan=2 colspan=2>ab<td>c<tr><td>d<tr><td>1<td>2<td>3", "ab     c\n       d\n1   2  3"), ("<td rowspan=0>a<td>b<tr><td>c<tr><td>d", "a  b\n   c\n   d"),
+    ("<tbody><tr><td rowspan=9>a<td>b<tbody><tr><td>c<td>d", "a  b\nc  d"), ("<td rowspan=2>a<td>b<tr hidden><td>x<tr><td>c<tr><td>d", "a  b\n   c\nd"),
+    ("<td rowspan=2>a<td rowspan=3>b<td>c<tr><td>d<tr><td>e<td>f", "a  b  c\n      d\ne     f"), ("<td>a<td rowspan=2>b<tr><td colspan=2>cd<td>e", "a   b\ncd     e"),
+    ("<td rowspan=-1>a<td rowspan=x>b<tr><td>c<td>d", "a  b\nc  d"), ("<td rowspan=2><td>a<tr><td>b", "a\nb"),
+]
+
+
+@pytest.mark.parametrize(("rows", "text"), _SPANS)
+def test_cells_make_room_for_those_that_reach_down(rows, text):
+    assert html_text.render(f"<table>{rows}</table>") == text
+
+
+def test_more_cells_that_reach_down_than_rows_make_room_for():
+    page = "<table>" + "<td rowspan=9>a" * (html_text.MOST_SPANS + 5) + "<tr><td>b"
+    assert html_text.render(page).split() == ["a"] * (html_text.MOST_SPANS + 5) + ["b"]
+
+
+@pytest.mark.parametrize("part", ["<a x", "<a x=\"'", "<b>", "<b><p>x", "<table><tr><td>", "<table><tr><td>a<td>", "<ul><li>a", "<dl><dd>a", "<!--", "<script>", "<", "<a b='>' ", "<i><table></i>", "<tr><td colspan=1000>x", "<tr><td rowspan=65534>x<td>y", "&amp;"])
 def test_html_takes_time_in_proportion(part):
     import time
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ordertide import session
-from ordertide.functions.scalar import dollar_text, padded
+from ordertide.functions.scalar import dollar_text, padded, window_floor
 from ordertide.operators.dedup import History, keep_first, keep_first_within, keep_new
 from ordertide.operators.parse import good_and_bad, keyed_json, parse_json, to_raw, valid_time
 from ordertide.operators.rollup import cube, merge_first, merge_rollup, rollup
@@ -24,8 +24,10 @@ from ordertide.plans.store import Kept, Store
 from ordertide.plans.tables import raw_spec, restaurant_topk_spec, rollup_spec
 from ordertide.schemas import TOPK_COLS
 from ordertide.sources.adapters import line_orders, order_events
-from ordertide.streaming.jobs import chain, drain, keep, raw_events, replay_dedup, replay_rollup, serve_topk, write_table
+from ordertide.sources.streams import folder_writer
+from ordertide.streaming.jobs import chain, drain, keep, raw_events, replay_dedup, replay_rollup, rollup_stream, serve_topk, stop_when_read, write_table
 from ordertide.streaming.ranking import combined, ranked_stream
+from ordertide.streaming.stateful import open_walls, wall_windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -512,8 +514,8 @@ def stream_best_window_global(spark, sf_dir):
     return _best_stream(spark, sf_dir, True)
 
 
-def _one_job(spark, sf_dir: str, **kw) -> DataFrame:
-    """JSON text in, with repeats, to what a request for the top items reads; a last event far ahead closes the windows."""
+def _run_job(spark, sf_dir: str, **kw) -> tuple[Serving, str, int]:
+    """JSON text in, with repeats, to what requests read: the tables, their folder, and an instant beyond the events. A last event far ahead closes the windows."""
     at = session.fresh_path(spark, "job")
     events = order_events(spark, sf_dir)
     end = events.agg(F.max("timestamp")).first()[0] or 0
@@ -524,9 +526,19 @@ def _one_job(spark, sf_dir: str, **kw) -> DataFrame:
         lines(events.where("event_id LIKE '%3'").repartition(2)).write.text(f"{at}/in/b")
     lines(last).coalesce(1).write.text(f"{at}/in/c")
     serving = Serving(f"{at}/tables")
-    chain(spark, spark.readStream.option("maxFilesPerTrigger", 20).text(f"{at}/in/*"), serving, at, size="1 hour", once=True, **kw)
-    top = serving.store.read(spark, "restaurant_topk", 0, int(end) + 86_400_000)
-    return top.where("rank <= 3").select(*TOPK_COLS)
+    topics = {t: folder_writer(f"{at}/topics/{t}") for t in kw.pop("topics", ())}
+    chain(spark, spark.readStream.option("maxFilesPerTrigger", 20).text(f"{at}/in/*"), serving, at, size="1 hour", topics=topics, once=True, **kw)
+    return serving, at, int(end) + 86_400_000
+
+
+def _one_job(spark, sf_dir: str, **kw) -> DataFrame:
+    serving, _, end = _run_job(spark, sf_dir, **kw)
+    return serving.store.read(spark, "restaurant_topk", 0, end).where("rank <= 3").select(*TOPK_COLS)
+
+
+def _topic(spark, at: str, name: str, row: str) -> DataFrame:
+    """key, and the columns of the JSON value, of what a topic got; a batch that came twice counts once."""
+    return spark.read.schema("key string, value string").json(f"{at}/topics/{name}").distinct().select("key", F.from_json("value", row).alias("v")).select("key", "v.*")
 
 
 @_query(f"{EVENTS}{_rolled('1 hour')}{_topk(3)} SELECT {_OUT} FROM top")
@@ -541,3 +553,59 @@ def one_job(spark, sf_dir):
 def one_job_by_order(spark, sf_dir):
     """The same job, where repeats of an order within a day of the one before go."""
     return _one_job(spark, sf_dir, key="order_id", retention_ms=86_400_000, by_event_time=True)
+
+
+@_query(f"""SELECT menu_item_id AS key, {_OUT} FROM ({EVENTS}{_rolled('1 hour')}{_topk(3)} SELECT {_OUT} FROM top)
+  UNION ALL SELECT menu_item_id AS key, {_OUT} FROM ({EVENTS}{_rolled('1 hour')}{_global(3)} SELECT {_OUT} FROM top)""")
+def topics_of_rankings(spark, sf_dir):
+    """What the job sends to the topics of both rankings."""
+    _, at, _ = _run_job(spark, sf_dir, retention_ms=None, topics=("restaurant_topk", "global_topk"))
+    row = "restaurant_id string, menu_item_id string, menu_item_name string, rank int, order_count bigint, total_quantity bigint, total_revenue_in_cents bigint, window_start bigint, window_end bigint"
+    both = _topic(spark, at, "restaurant_topk", row).unionByName(_topic(spark, at, "global_topk", row))
+    return both.where("rank <= 3").select("key", *TOPK_COLS)
+
+
+@_query(f"{EVENTS} SELECT restaurant_id, count(*) AS events, count(DISTINCT event_id) AS keys, CAST(sum(CAST(quantity AS BIGINT) * price_in_cents) AS BIGINT) AS revenue_cents, count(*) AS order_count, CAST(sum(CAST(quantity AS BIGINT) * price_in_cents) AS BIGINT) AS sum_revenue_cents FROM oe GROUP BY restaurant_id")
+def topics_raw_and_rollup(spark, sf_dir):
+    """The raw topic's rows beside the rollup topic's sums: repeats are in neither."""
+    _, at, end = _run_job(spark, sf_dir, retention_ms=None, topics=("raw", "rollup"))
+    raw = _topic(spark, at, "raw", "restaurant_id string, timestamp bigint, revenue_cents bigint").where(F.col("timestamp") < end)
+    sums = _topic(spark, at, "rollup", "restaurant_id string, sum_revenue_cents bigint, order_count bigint, menu_item_id string, window_start_1m bigint")
+    raw = raw.groupBy("restaurant_id").agg(F.count(F.lit(1)).alias("events"), F.count_distinct("key").alias("keys"), F.sum("revenue_cents").alias("revenue_cents"))
+    return raw.join(sums.groupBy("restaurant_id").agg(F.sum("order_count").alias("order_count"), F.sum("sum_revenue_cents").alias("sum_revenue_cents")), "restaurant_id")
+
+
+@_query(f"{EVENTS}{_rolled('1 hour')} SELECT restaurant_id, menu_item_id, window_start_1m, order_count, order_count * 2 AS raw_count FROM r")
+def stream_late_rows(spark, sf_dir):
+    """All events come again, under new ids, after their windows have closed: windows leave them out, the raw table keeps them."""
+    at, events = session.fresh_path(spark, "late"), order_events(spark, sf_dir)
+    end, day = int(events.agg(F.max("timestamp")).first()[0] or 0), 86_400_000
+    ahead = lambda days: spark.createDataFrame([(f"_{days}", "_o", "_c", "_r", "_i", "_k", "_n", 0, 0, end + days * day)], events.schema)
+    again = events.withColumn("event_id", F.concat(F.lit("late-"), "event_id"))
+    schema = to_raw(events).schema
+    for i, rows in enumerate((events, ahead(30), ahead(31), again, ahead(60))):  # the late filter goes by the watermark of the batch before
+        keyed_json(rows, None).select("value").write.text(f"{at}/in/{i}")
+        drain(write_table(raw_events(spark.readStream.text(f"{at}/in/*"), retention_ms=None), f"{at}/raw", f"{at}/ck/raw", once=True))
+        drain(write_table(rollup_stream(spark.readStream.schema(schema).parquet(f"{at}/raw"), "1 hour"), f"{at}/rollup", f"{at}/ck/rollup", once=True))
+    key = ["restaurant_id", "menu_item_id", "window_start_1m"]
+    raw = spark.read.parquet(f"{at}/raw").where(F.col("timestamp") <= end).withColumn("window_start_1m", window_floor(F.col("timestamp"), 3_600_000))
+    counted = spark.read.parquet(f"{at}/rollup").where(F.col("window_start_1m") <= end).select(*key, "order_count")
+    return counted.join(raw.groupBy(*key).agg(F.count(F.lit(1)).alias("raw_count")), key, "full")
+
+
+_MEASURES = ["order_count", "sum_quantity", "sum_revenue_cents"]
+
+
+@_query(f"{EVENTS} SELECT restaurant_id, menu_item_id, count(*) AS order_count, CAST(sum(quantity) AS BIGINT) AS sum_quantity, CAST(sum(CAST(quantity AS BIGINT) * price_in_cents) AS BIGINT) AS sum_revenue_cents FROM oe GROUP BY ALL")
+def stream_wall_windows(spark, sf_dir):
+    """Windows of the wall clock: those that timers have ended, and what was open when the query was stopped, add up to the events."""
+    at, key = session.fresh_path(spark, "walls"), ["restaurant_id", "menu_item_id", "window_start_1m"]
+    store = Store(f"{at}/tables", {"windows": Kept("latest", tuple(key))})
+    events = order_events(spark, sf_dir)
+    walls = wall_windows(combined(_in_batches(spark, events, at, "timestamp")), 2_000)
+    stop_when_read(keep(walls, store, {"windows": lambda b: b}, f"{at}/ck", every="500 milliseconds"), events.count())
+    rows = open_walls(spark, f"{at}/ck").select(*key, *_MEASURES)
+    if store.exists(spark):
+        ended = store.read(spark, "windows").select(*key, *_MEASURES)
+        rows = ended.unionByName(rows.join(ended, key, "left_anti"))
+    return rows.groupBy("restaurant_id", "menu_item_id").agg(*[F.sum(m).alias(m) for m in _MEASURES])

@@ -23,6 +23,8 @@ from ordertide.plans.store import Store
 from ordertide.streaming.stateful import dedup_timer, dedup_ttl, dedup_within, open_walls, wall_windows
 
 LATENESS = "10 seconds"
+#: Writes rows of key and value to a topic.
+Send = Callable[[DataFrame], None]
 
 
 def raw_events(values: DataFrame, *, key: str = "event_id", retention_ms: int | None = 3_600_000, clock: str = "processing", on_bad_record: str = "skip") -> DataFrame:
@@ -85,15 +87,51 @@ def drain(q: StreamingQuery, timeout: int = 600) -> None:
         raise q.exception()
 
 
-def serve_topk(rolled: DataFrame, serving: Serving, checkpoint: str, *, mode: str = "combined", once: bool = False, every: str = "60 seconds") -> StreamingQuery:
+def stop_when_read(q: StreamingQuery, rows: int, timeout: float = 600) -> None:
+    """Stops a query that goes on by itself, as those with timers do, once it has read so many rows and committed the batch of the last of them."""
+    end, seen = time.monotonic() + timeout, {}
+    try:
+        while sum(seen.values()) < rows:
+            if q.exception():
+                raise q.exception()
+            if time.monotonic() > end:
+                raise TimeoutError(f"{q.name or q.id} has read {sum(seen.values())} of {rows} rows after {timeout} s")
+            time.sleep(0.2)
+            seen |= {p.batchId: p.numInputRows for p in q.recentProgress}  # progress comes after the commit; only the newest are held
+    finally:
+        q.stop()
+
+
+def send_table(rows: DataFrame, key: str | None, send: Send, checkpoint: str, *, once: bool = False, every: str = "60 seconds") -> StreamingQuery:
+    """Sends a stream's rows to a topic, as JSON with the key's bytes: each batch at least once."""
+    w = rows.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(lambda batch, _: send(keyed_json(batch, key)))
+    return (w.trigger(availableNow=True) if once else w.trigger(processingTime=every)).start()
+
+
+def _closed(name: str, windows: DataFrame, k: int, mode: str) -> DataFrame:
+    """What the topic of a served table gets of the windows that a batch closes: rollup rows without a key, rankings by item."""
+    if name == "rollup":
+        return keyed_json(windows, None)
+    if name not in ("restaurant_topk", "global_topk"):
+        raise ValueError(f"no such served table: {name!r}")
+    return keyed_json(top_k_per_restaurant(windows, k) if name == "restaurant_topk" else top_k_global(windows, k, mode), "menu_item_id")
+
+
+def serve_topk(
+    rolled: DataFrame, serving: Serving, checkpoint: str, *, mode: str = "combined", topics: Mapping[str, Send] | None = None, once: bool = False, every: str = "60 seconds"
+) -> StreamingQuery:
     """Keeps the served tables: a batch's closed windows join the rollup, their sums the tree, and they alone are ranked, all in one commit.
 
-    The commit names the query and its batch, so a batch that is replayed after a failure changes nothing.
+    The commit names the query and its batch, so a batch that is replayed after a failure changes nothing. ``topics``: writers for any of
+    rollup, restaurant_topk and global_topk. They get a batch before it is committed, so at least once, and all of a window's rows in it.
     """
 
     def put(batch: DataFrame, batch_id: int) -> None:
         batch.persist()  # the stored rows' dates are found in it before it is written
         try:
+            if topics and not batch.isEmpty():
+                for name, send in topics.items():
+                    send(_closed(name, batch, serving.k, mode))
             serving.append(batch, batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or checkpoint, batch_id, mode=mode)
         finally:
             batch.unpersist()
@@ -108,7 +146,7 @@ def keep(
     outputs: Mapping[str, Callable[[DataFrame], DataFrame]],
     checkpoint: str,
     *,
-    sends: Sequence[tuple[Callable[[DataFrame], DataFrame], Callable[[DataFrame], None]]] = (),
+    sends: Sequence[tuple[Callable[[DataFrame], DataFrame], Send]] = (),
     once: bool = False,
     every: str = "60 seconds",
 ) -> StreamingQuery:
@@ -145,13 +183,16 @@ def keep(
 
 def chain(
     spark: SparkSession, values: DataFrame, serving: Serving, at: str, *, key: str = "event_id", retention_ms: int | None = 3_600_000, by_event_time: bool = False,
-    size: str = "1 minute", lateness: str = LATENESS, mode: str = "combined", once: bool = False, every: str = "60 seconds",
+    size: str = "1 minute", lateness: str = LATENESS, mode: str = "combined", topics: Mapping[str, Send] | None = None, once: bool = False, every: str = "60 seconds",
 ) -> list[StreamingQuery]:
     """From a stream of JSON values to the tables that requests read: parse, dedup by ``key``, raw table; windows, rollup, tree and rankings.
 
     ``by_event_time``: the retention counts from event times, with timers, and not from when a row is processed. With ``once`` what is there is
-    worked off and the queries have ended; windows that no later event has closed stay open in state.
+    worked off and the queries have ended; windows that no later event has closed stay open in state. ``topics``: those of ``serve_topk``, and
+    raw, which gets the raw table's rows by event, from the table itself, so that the deduplication isn't run again.
     """
+    topics = dict(topics or {})
+    send_raw = topics.pop("raw", None)
     if by_event_time:
         rows = to_raw(dedup_timer(parse_json(values, on_bad_record="skip"), key, retention_ms or 3_600_000, lateness).drop("event_time"))
     else:
@@ -160,10 +201,14 @@ def chain(
     if once:
         drain(first)
     raw = spark.readStream.schema(rows.schema).parquet(f"{at}/raw")
-    second = serve_topk(rollup_stream(raw, size, lateness), serving, f"{at}/ck/served", mode=mode, once=once, every=every)
+    second = serve_topk(rollup_stream(raw, size, lateness), serving, f"{at}/ck/served", mode=mode, topics=topics, once=once, every=every)
+    queries = [first, second]
+    if send_raw:
+        queries.append(send_table(raw, "event_id", send_raw, f"{at}/ck/raw_topic", once=once, every=every))
     if once:
-        drain(second)
-    return [first, second]
+        for q in queries[1:]:
+            drain(q)
+    return queries
 
 
 def rank_walls(sums: DataFrame, store: Store, checkpoint: str, *, size_ms: int = 60_000, k: int = 10, mode: str = "combined", every: str = "1 second", outputs: tuple[str, str] = ("per_restaurant", "overall")) -> StreamingQuery:

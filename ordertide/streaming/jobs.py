@@ -23,6 +23,8 @@ from ordertide.plans.store import Store
 from ordertide.streaming.stateful import dedup_timer, dedup_ttl, dedup_within, open_walls, wall_windows
 
 LATENESS = "10 seconds"
+#: Tables that have topics.
+SERVED = {"rollup", "restaurant_topk", "global_topk"}
 #: Writes rows of key and value to a topic.
 Send = Callable[[DataFrame], None]
 
@@ -112,8 +114,6 @@ def _closed(name: str, windows: DataFrame, k: int, mode: str) -> DataFrame:
     """What the topic of a served table gets of the windows that a batch closes: rollup rows without a key, rankings by item."""
     if name == "rollup":
         return keyed_json(windows, None)
-    if name not in ("restaurant_topk", "global_topk"):
-        raise ValueError(f"no such served table: {name!r}")
     return keyed_json(top_k_per_restaurant(windows, k) if name == "restaurant_topk" else top_k_global(windows, k, mode), "menu_item_id")
 
 
@@ -123,8 +123,11 @@ def serve_topk(
     """Keeps the served tables: a batch's closed windows join the rollup, their sums the tree, and they alone are ranked, all in one commit.
 
     The commit names the query and its batch, so a batch that is replayed after a failure changes nothing. ``topics``: writers for any of
-    rollup, restaurant_topk and global_topk. They get a batch before it is committed, so at least once, and all of a window's rows in it.
+    rollup, restaurant_topk and global_topk. They get a batch before it is committed, so at least once; what they get is ranked within the
+    batch, to which a windowed aggregation in append mode gives whole windows.
     """
+    if odd := (topics or {}).keys() - SERVED:
+        raise ValueError(f"no such served table: {sorted(odd)}")
 
     def put(batch: DataFrame, batch_id: int) -> None:
         batch.persist()  # the stored rows' dates are found in it before it is written

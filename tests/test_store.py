@@ -1,6 +1,7 @@
 """The store's commits, the serving tables that streams add to, and the star-tree."""
 
 import itertools
+import json
 import random
 
 import pytest
@@ -12,7 +13,8 @@ from ordertide.operators.topk import top_k_global, top_k_per_restaurant
 from ordertide.plans.serving import Serving
 from ordertide.plans.store import Kept, Store
 from ordertide.schemas import ORDER_EVENT
-from ordertide.streaming.jobs import drain, serve_topk
+from ordertide.sources.streams import folder_writer
+from ordertide.streaming.jobs import chain, drain, serve_topk
 
 DAY = 86_400_000
 T0 = 1704067200000
@@ -124,6 +126,48 @@ def test_stream_grows_the_served_tables(spark, tmp_path):
     assert all(abs(ranged[k] - n) <= max(1, 0.05 * n) for k, n in want.items())
 
 
+def test_topics_get_what_the_tables_get_at_least_once(spark, tmp_path):
+    """The second topic fails at first: nothing is committed, the replay sends the first one's rows again, and tables and topics agree."""
+    rolled = rollup(_events(spark), "1 hour").drop("unique_customers_hll")
+    rolled.coalesce(1).write.parquet(f"{tmp_path}/in")
+    serving = Serving(f"file://{tmp_path}/served", k=2)
+    fails = [True]
+
+    def second(keyed):
+        if fails[0]:
+            raise RuntimeError("topic is away")
+        folder_writer(f"{tmp_path}/topics/global_topk")(keyed)
+
+    def run():
+        topics = {"restaurant_topk": folder_writer(f"{tmp_path}/topics/restaurant_topk"), "global_topk": second, "rollup": folder_writer(f"{tmp_path}/topics/rollup")}
+        drain(serve_topk(spark.readStream.schema(rolled.schema).parquet(f"{tmp_path}/in"), serving, f"{tmp_path}/ck", topics=topics, once=True))
+
+    with pytest.raises(Exception, match="topic is away"):
+        run()
+    assert not serving.store.exists(spark)
+    fails[0] = False
+    run()
+    for name, want, times in (("restaurant_topk", top_k_per_restaurant(rolled, 2), 2), ("global_topk", top_k_global(rolled, 2), 1)):
+        sent = spark.read.json(f"{tmp_path}/topics/{name}").collect()
+        stored = sorted(map(tuple, want.collect()))
+        assert sorted(map(tuple, serving.store.read(spark, name).collect())) == stored and len(sent) == times * len(stored)
+        assert {(r.key, *json.loads(r.value).values()) for r in sent} == {(x[want.columns.index("menu_item_id")], *x) for x in stored}
+    rows = spark.read.schema("key string, value string").json(f"{tmp_path}/topics/rollup")
+    assert rows.count() == rolled.count() and rows.where("key IS NOT NULL").isEmpty()
+
+
+def test_raw_topic_and_names_of_topics(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.json").write_text("".join(json.dumps({"event_id": str(i % 4), "order_id": "o", "customer_id": "c", "restaurant_id": "R", "menu_item_id": "I", "category_id": "k", "menu_item_name": "n", "quantity": 2, "price_in_cents": 3, "timestamp": T0 + i}) + "\n" for i in range(9)))
+    run = lambda at, names: chain(spark, spark.readStream.text(f"{tmp_path}/in"), Serving(f"file://{at}/served"), str(at), retention_ms=None, topics={n: folder_writer(f"{at}/topics/{n}") for n in names}, once=True)
+    assert len(run(tmp_path / "a", ["raw", "rollup"])) == 3
+    sent = spark.read.json(f"{tmp_path}/a/topics/raw").collect()
+    assert sorted((r.key, json.loads(r.value)["revenue_cents"]) for r in sent) == [(str(i), 6) for i in range(4)]
+    assert not (tmp_path / "a/topics/rollup").exists()  # its window is still open
+    with pytest.raises(ValueError, match="no such served table"):
+        run(tmp_path / "b", ["tree"])
+
+
 def test_tree_divides_large_nodes_alone(spark):
     finest = startree.records(rollup(_events(spark), "1 hour")).cache()
     counts = startree.nodes(finest)

@@ -24,11 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ordertide.llm.common import small, text_key
-from ordertide.session import written
+from ordertide.session import discard, written
 
 LENGTH, GRAM = 400, 64
 #: Surroundings in a group that one task sorts at once; parts that a larger group is split into.
 MOST, PARTS = 16_384, 8
+#: Places with equal surroundings that one task takes.
+SPLIT = 4096
 _CHUNK = 1 << 22
 _TABLE = np.random.default_rng(5).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _LOW = np.uint64((1 << 24) - 1)
@@ -290,7 +292,7 @@ def _ranges(contexts: DataFrame, length: int, most: int) -> DataFrame:
         level = written(cut.select("anchor", "whole", core.alias("group"), F.xxhash64(left, F.lit(0), right).alias("ctx"), F.col("_lo").alias("lo"), F.col("_hi").alias("hi"), left.alias("left"), right.alias("right"), "many"), "level")
 
 
-def repeated_spans(docs: DataFrame, *, text: str = "text", length: int = LENGTH, most: int = MOST) -> DataFrame:
+def repeated_spans(docs: DataFrame, *, text: str = "text", length: int = LENGTH, most: int = MOST, split: int = SPLIT) -> DataFrame:
     """text_key, spans (start, end): bytes of each text covered by a string of ``length`` bytes that also starts elsewhere.
 
     Copies of a text repeat each other's strings. Texts of fewer bytes, null and empty ones give no row, nor does an empty table.
@@ -306,7 +308,8 @@ def repeated_spans(docs: DataFrame, *, text: str = "text", length: int = LENGTH,
     each = found.select("text_key", F.explode(F.arrays_zip("at", "anchor")).alias("x")).select("text_key", "x.at", "x.anchor")
     place = F.xxhash64("text_key", "at")
     twice = each.select("anchor", place.alias("p")).groupBy("anchor").agg(F.min("p").alias("a"), F.max("p").alias("b")).where("a != b").select("anchor")
-    wanted = each.join(small(written(twice, "twice"), 1_000_000), "anchor").groupBy("text_key").agg(F.collect_set(F.struct("at", "anchor")).alias("want"))
+    twice = written(twice, "twice")
+    wanted = each.join(small(twice, 1_000_000), "anchor").groupBy("text_key").agg(F.collect_set(F.struct("at", "anchor")).alias("want"))
     # copies of a text are one before it is moved
     once = rows.groupBy("text_key").agg(F.first("_t").alias("_t"))
 
@@ -323,11 +326,19 @@ def repeated_spans(docs: DataFrame, *, text: str = "text", length: int = LENGTH,
 
     texts = once.join(wanted, "text_key").mapInPandas(surround, "text_key binary, at bigint, anchor bigint, ctx bigint, left binary, right binary")
     around = written(texts, "around")
-    distinct = around.groupBy("anchor", "ctx").agg(F.first("left").alias("left"), F.first("right").alias("right"), (F.min(place) != F.max(place)).alias("many"))
-    ranges = written(_ranges(written(distinct, "contexts"), length, most), "ranges")
+    discard(found, twice)
+    distinct = around.groupBy("anchor", "ctx").agg(F.first("left").alias("left"), F.first("right").alias("right"), (F.min(place) != F.max(place)).alias("many"), F.count(F.lit(1)).alias("n"))
+    contexts = written(distinct, "contexts")
+    ranges = written(_ranges(contexts, length, most), "ranges")
     per = ranges.groupBy("anchor", "ctx").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
+    # places of surroundings that are very many are dealt to several tasks, and their ranges go to each of these
+    hot = small(written(contexts.where(F.col("n") > split).select("anchor", "ctx", F.ceil(F.col("n") / split).cast("bigint").alias("parts")), "hot"))
+    discard(contexts)
+    part = F.coalesce("parts", F.lit(1).cast("bigint"))
+    dealt = around.select("text_key", "at", "anchor", "ctx").join(hot, ["anchor", "ctx"], "left").withColumn("part", F.pmod(F.xxhash64("text_key", "at"), part)).drop("parts")
+    per = per.join(hot, ["anchor", "ctx"], "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), part - 1))).drop("parts")
     at = F.col("at")
-    spans = around.select("text_key", "at", "anchor", "ctx").join(per, ["anchor", "ctx"]).select("text_key", F.transform("ranges", lambda r: F.struct((at - r["last"]).alias("start"), (at - r["first"] + length).alias("end"))).alias("spans"))
+    spans = dealt.join(per, ["anchor", "ctx", "part"]).select("text_key", F.transform("ranges", lambda r: F.struct((at - r["last"]).alias("start"), (at - r["first"] + length).alias("end"))).alias("spans"))
     copies = rows.groupBy("text_key").agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("_t")).alias("size")).where("n > 1")
     whole = copies.select("text_key", F.array(F.struct(F.lit(0).cast("bigint").alias("start"), F.col("size").cast("bigint").alias("end"))).alias("spans"))
     return spans.unionByName(whole).groupBy("text_key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
@@ -344,12 +355,12 @@ def merged(spans: list) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, most: int = MOST, with_bytes: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, most: int = MOST, split: int = SPLIT, with_bytes: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans and, if asked for, kept (the bytes that are left) of every row.
 
     Null text is empty. Rows that repeat are copies: each repeats the other. A null doc_id is kept as it is; other columns don't matter.
     """
-    spans = written(repeated_spans(docs, text=text, length=length, most=most), "spans")
+    spans = written(repeated_spans(docs, text=text, length=length, most=most, split=split), "spans")
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_key(text).alias("text_key"), F.coalesce(text, F.lit("")).alias("_t")).join(spans, "text_key", "left").select("doc_id", "_t", "spans")
     kind = docs.schema[doc_id].dataType.simpleString()
 

@@ -359,8 +359,8 @@ def test_deep_shallow_and_repeats_against_brute_force(spark, texts):
         kept = bytes(x for x, h in zip(d, hit, strict=True) if not h)
         want[k] = (len(d), sum(hit), sum(h and not (i and hit[i - 1]) for i, h in enumerate(hit)), hashlib.sha256(kept).hexdigest())
     df = spark.createDataFrame(list(enumerate(mine)), "doc_id bigint, text string").repartition(3)
-    for most in (suffix.MOST, 6):  # the second splits groups
-        assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.remove_repeats(df, most=most).collect()} == want
+    for most, split in ((suffix.MOST, suffix.SPLIT), (6, 1)):  # the second splits groups, and places of equal surroundings
+        assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.remove_repeats(df, most=most, split=split).collect()} == want
 
 
 def test_frequent_lines_and_depleted(spark):

@@ -256,3 +256,20 @@ def test_fuzzy_lines_with_a_common_passage(spark):
     gone = {r.doc_id for r in removed_lines(docs, FuzzyLines(linear=False)).collect()}
     assert all(i % 2 for i in gone) and len(gone) >= 0.97 * 120
     assert {r.doc_id for r in removed_lines(docs).collect()} <= gone
+
+
+def test_no_link_is_left_out_by_default(spark):
+    """op8, without parameters, compares all lines of a bucket: letters are changed all over the own part of each copy, and 240 lines share a passage."""
+    from ordertide.llm.lines import op8
+
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 9)))
+    head, rows = " ".join(word() for _ in range(12)), []
+    for i in range(120):
+        own = list(" ".join(word() for _ in range(20)))
+        rows.append((2 * i, f"{head} {''.join(own)}"))
+        for j in rng.sample([j for j, c in enumerate(own) if c != " "], (len(head) + 1 + len(own)) // 20):
+            own[j] = rng.choice("abcdefghijklmnopqrstuvwxyz")
+        rows.append((2 * i + 1, f"{head} {''.join(own)}"))
+    gone = {r.doc_id for r in op8(spark.createDataFrame(rows, "doc_id bigint, text string")).where("n_removed > 0").collect()}
+    assert all(i % 2 for i in gone) and len(gone) >= 0.97 * 120

@@ -10,10 +10,10 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import cached_property, reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordertide.functions.scalar import event_time
+from ordertide.functions.scalar import event_time, hour_of_day, iso_day_of_week
 from ordertide.operators import startree
 from ordertide.operators.rollup import CUBE_DIMS, merge_rollup
 from ordertide.operators.topk import top_k_global, top_k_per_restaurant
@@ -26,6 +26,7 @@ TABLES = {
     "rollup_hours": Kept("add", tuple(ROLLUP_KEY), "window_start_1m", ("window_start_1m", "restaurant_id"), (startree.SKETCH,), ("menu_item_name", "category_id", "hour_of_day", "day_of_week")),
     "restaurant_topk": Kept("latest", ("restaurant_id", "window_start"), "window_start", ("restaurant_id", "window_start", "rank")),
     "global_topk": Kept("latest", ("window_start",), "window_start", ("window_start", "rank")),
+    "customers": Kept("append", (*ROLLUP_KEY, "customer_id"), "window_start_1m", ("restaurant_id", "menu_item_id")),
     "tree": Kept("add", ("level", *CUBE_DIMS), sort=("level",), sketches=(startree.SKETCH,)),
 }
 
@@ -51,10 +52,24 @@ class Serving:
         txn = self.store.begin(rolled.sparkSession)
         txn.put("rollup", rolled, replace="dates")
         txn.drop("rollup_hours", [d for d in txn.dates("rollup") if any(n == txn.n for n, _ in txn.mark["tables"]["rollup"][d])])
+        self._leave_customers(txn)
         self._fill(txn, txn.last("rollup"), None, mode, replace="dates")
         txn.commit()
         return self
 
+    def write_customers(self, visits: DataFrame) -> Serving:
+        """Stores who is behind the sums: a row for each window, restaurant, item and customer, of all dates that the rollup holds. Sketches only estimate their number."""
+        start = event_time(F.col("window_start_1m"))
+        rows = visits.select(*ROLLUP_KEY, "customer_id").distinct().withColumns({"hour_of_day": hour_of_day(start), "day_of_week": iso_day_of_week(start)})
+        txn = self.store.begin(visits.sparkSession)
+        txn.put("customers", rows, replace="dates")
+        txn.commit()
+        return self
+
+    def _leave_customers(self, txn: Transaction) -> None:
+        """Customers of dates whose rollup this transaction changes are no longer all of them."""
+        txn.drop("customers", [d for d, folders in txn.mark["tables"].get("rollup", {}).items() if any(n == txn.n for n, _ in folders)])
+
     def append(self, batch: DataFrame, writer: str, number: int, *, mode: str = "combined") -> bool:
         """Adds closed windows of a stream in one commit; whether there was something new.
 
@@ -78,6 +93,7 @@ class Serving:
         new = txn.last("rollup")
         if new.isEmpty():
             return False
+        self._leave_customers(txn)
         whole = new
         if self.exists(spark):
             low, high = new.agg(F.min("window_start_1m"), F.max("window_start_1m")).first()
@@ -160,7 +176,7 @@ class Serving:
     def expire(self, spark: SparkSession, now_ms: int, days: int = 30) -> list[str]:
         """Drops the dates that are wholly older, from all tables in one commit, and makes the tree of what stays; the dates."""
         txn, before = self.store.begin(spark), now_ms - days * 86_400_000
-        gone = {t: [d for d in txn.dates(t) if d and starts_ms(d) + 86_400_000 <= before] for t in ("rollup", "rollup_hours", "restaurant_topk", "global_topk")}
+        gone = {t: [d for d in txn.dates(t) if d and starts_ms(d) + 86_400_000 <= before] for t in ("rollup", "rollup_hours", "customers", "restaurant_topk", "global_topk")}
         for t, dates in gone.items():
             txn.drop(t, dates)
         if any(gone.values()):
@@ -176,11 +192,14 @@ class Serving:
     def engine(self, spark: SparkSession) -> Engine:
         return Engine(lambda s, e: self.store.read(spark, "restaurant_topk", s, e), lambda s, e: self.store.read(spark, "global_topk", s, e))
 
-    def sums(self, spark: SparkSession, dims: list[str], start: int | None = None, end: int | None = None, *, customers: bool = False) -> DataFrame:
+    def sums(self, spark: SparkSession, dims: list[str], start: int | None = None, end: int | None = None, *, customers: bool | str = False) -> DataFrame:
         """Revenue, quantity and orders by ``dims``, from the smallest table that has them: a level of the tree, or the rollup's dates.
 
-        ``customers``: with the number of distinct ones, estimated from the sketches that are stored beside the sums.
+        ``customers``: with the number of distinct ones, estimated from the sketches that are stored beside the sums, or "exact", counted from
+        the stored customers, who have no category.
         """
+        if customers == "exact":
+            return self._with_exact(spark, self.sums(spark, dims, start, end), dims, start, end)
         kind = route(set(dims), time_range=start is not None or end is not None)
         if kind == "cube":
             rows = startree.served(self.store.read(spark, "tree"), dims, self.limit, whole=startree.level_of(set(dims)) in self.store.mark(spark)["notes"]["whole"])
@@ -193,6 +212,17 @@ class Serving:
         estimate = [F.hll_sketch_estimate(startree.SKETCH).alias("unique_customers")] if customers else []
         return rows.select(*dims, *startree.SUMS, *estimate)
 
+    def _with_exact(self, spark: SparkSession, sums: DataFrame, dims: list[str], start: int | None, end: int | None) -> DataFrame:
+        tables = self.store.mark(spark)["tables"]
+        lacking = sorted((tables.get("rollup", {}).keys() | tables.get("rollup_hours", {}).keys()) - tables.get("customers", {}).keys())
+        if lacking:
+            raise ValueError(f"customers of {len(lacking)} dates aren't stored, {lacking[0]} the first")
+        if "category_id" in dims:
+            raise ValueError("stored customers have no category")
+        found = self.store.read(spark, "customers", start, end).groupBy(*[F.col(d).alias(f"_{d}") for d in dims]).agg(F.count_distinct("customer_id").alias("unique_customers"))
+        same = reduce(Column.__and__, [F.col(d).eqNullSafe(F.col(f"_{d}")) for d in dims], F.lit(True))
+        return sums.join(found, same, "left").select(*dims, *startree.SUMS, F.coalesce("unique_customers", F.lit(0).cast("bigint")).alias("unique_customers"))
+
 
 def _records_of(parts: list[DataFrame]) -> DataFrame:
     """The records of several tables' rows, which may lack sketches."""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ordertide.operators import startree
 from ordertide.operators.rollup import CUBE_DIMS, rollup
 from ordertide.operators.topk import top_k_global, top_k_per_restaurant
+from ordertide.plans import catalog
 from ordertide.plans.serving import Serving
 from ordertide.plans.store import Kept, Store
 from ordertide.schemas import ORDER_EVENT
@@ -238,3 +239,19 @@ def test_merge_job_is_one_commit(spark, tmp_path):
     late = serving.sums(spark, ["restaurant_id"], T0 + 3 * DAY, T0 + 9 * DAY).agg(F.sum("order_count")).first()[0]
     assert serving.expire(spark, T0 + 33 * DAY, 30) == ["2024-01-01", "2024-01-02", "2024-01-03"]
     assert serving.sums(spark, []).first().order_count == late < 1200
+
+
+def test_served_customers_are_counted(spark, tmp_path):
+    """Groups of many customers, where a sketch's estimate is off: the stored customers give the number, and a later batch without them is noticed."""
+    rows = spark.range(30_000).select(
+        F.col("id").alias("event_id"), (F.col("id") % 21_001).alias("user_id"), F.when(F.col("id") % 3 > 0, F.lit("view")).alias("event_type"),
+        F.lit('{"k": 7}').alias("props"), F.lit(1.5).alias("value"), F.timestamp_millis(F.lit(T0) + F.col("id") * 60_000).alias("ts"),
+    )
+    rows.write.parquet(f"file://{tmp_path}/events.parquet")
+    got = catalog.QUERIES["unique_customers_served"](spark, f"file://{tmp_path}").collect()
+    of = lambda keep: len({i % 21_001 for i in range(30_000) if keep(i % 3)})
+    assert {(r.restaurant_id, r.unique_customers, r.exact) for r in got} == {("view", of(bool), of(bool)), (None, of(lambda m: not m), of(lambda m: not m))}
+    serving = catalog.served(spark, f"file://{tmp_path}")
+    serving.append(serving.rolled(spark).limit(1).withColumn("window_start_1m", F.lit(T0 + 400 * DAY)), "again", 1)
+    with pytest.raises(ValueError, match="1 dates"):
+        serving.sums(spark, ["restaurant_id"], customers="exact")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ordertide.session import with_state
@@ -33,38 +35,40 @@ class KeepFirstTtl(StatefulProcessor):
         pass
 
 
-class KeepFirstTimer(StatefulProcessor):
-    """Rows of a key that no accepted row precedes by less than ``ttl_ms`` of event time; a timer then clears the state.
+#: Groups of keys, by hash, that ``KeepFirstWithin`` keeps together.
+GROUPS = 1024
+_HELD = T.StructType([T.StructField("keys", T.ArrayType(T.StringType())), T.StructField("at", T.ArrayType(T.LongType()))])
 
-    The rows' own times decide, so that the result doesn't depend on where batches end; the timer only frees memory.
-    """
 
-    def __init__(self, ttl_ms: int = 3_600_000):
-        self.ttl_ms = ttl_ms
+class KeepFirstWithin:
+    """Rows of a key that no accepted row precedes by less than ``ttl_ms`` of event time. A group holds many keys, with the time of the last row accepted.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.seen = handle.getValueState("seen", T.StructType([T.StructField("at", T.LongType())]))
-
-    def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:  # noqa: N802, N803
-        at = self.seen.get()[0] if self.seen.exists() else None
-        out = []
-        for r in sorted(rows, key=lambda r: (r["timestamp"], r["event_id"] or "")):
-            if at is None or r["timestamp"] >= at + self.ttl_ms:
-                at = r["timestamp"]
-                out.append(r)
-        if out:
-            self.seen.update((at,))
-            self.handle.registerTimer(at + self.ttl_ms)
-        yield from out
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:  # noqa: N802, N803
-        if self.seen.exists() and self.seen.get()[0] + self.ttl_ms <= expiredTimerInfo.getExpiryTimeInMs():  # not one of an earlier row
-            self.seen.clear()
-        return iter(())
+    The rows' own times decide, so that the result doesn't depend on where batches end; when the watermark has passed a key's retention it is
+    forgotten, at the group's next rows or by a timer, which only frees memory. Keys come in groups, as a call of Python for each key costs far more than its rows.
+    """
 
-    def close(self) -> None:
-        pass
+    def __init__(self, key: str, ttl_ms: int = 3_600_000):
+        self.key, self.ttl_ms = key, ttl_ms
+
+    def __call__(self, group: tuple, parts: Iterator, state: GroupState) -> Iterator:
+        held = dict(zip(*state.get, strict=True)) if state.exists else {}
+        if not state.hasTimedOut:
+            rows = pd.concat(list(parts), ignore_index=True)
+            order = rows.assign(event_id=rows["event_id"].fillna("")).sort_values(["timestamp", "event_id"], kind="stable").index
+            kept = []
+            for i, k, t in zip(order, rows[self.key].to_numpy()[order], rows["timestamp"].to_numpy()[order].tolist(), strict=True):
+                if k not in held or t >= held[k] + self.ttl_ms:
+                    held[k] = t
+                    kept.append(i)
+            if kept:
+                yield rows.iloc[kept].drop(columns="_group")
+        now = state.getCurrentWatermarkMs()
+        held = {k: t for k, t in held.items() if t + self.ttl_ms > now}
+        if held:
+            state.update((list(held), list(held.values())))
+            state.setTimeoutTimestamp(min(held.values()) + self.ttl_ms)
+        elif state.exists:
+            state.remove()
 
 
 def dedup_ttl(events: DataFrame, key: str = "event_id", ttl_ms: int = 3_600_000) -> DataFrame:
@@ -75,9 +79,9 @@ def dedup_ttl(events: DataFrame, key: str = "event_id", ttl_ms: int = 3_600_000)
 
 def dedup_timer(events: DataFrame, key: str = "order_id", ttl_ms: int = 3_600_000, lateness: str = "10 seconds") -> DataFrame:
     """Adds ``event_time`` with a watermark, which the timers need."""
-    with_state(events.sparkSession)
-    timed = events.where(F.col(key).isNotNull()).withColumn("event_time", F.timestamp_millis("timestamp")).withWatermark("event_time", lateness)
-    return timed.groupBy(key).transformWithState(KeepFirstTimer(ttl_ms), timed.schema, "append", "eventTime", eventTimeColumnName="event_time")
+    timed = events.where(F.col(key).isNotNull() & F.col("timestamp").isNotNull()).withColumn("event_time", F.timestamp_millis("timestamp")).withWatermark("event_time", lateness)
+    groups = timed.withColumn("_group", F.pmod(F.xxhash64(key), F.lit(GROUPS))).groupBy("_group")
+    return groups.applyInPandasWithState(KeepFirstWithin(key, ttl_ms), timed.schema, _HELD, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def dedup_within(events: DataFrame, key: str = "event_id", retention_ms: int = 3_600_000) -> DataFrame:

@@ -210,3 +210,19 @@ def test_console_report(spark, tmp_path):
     spark.createDataFrame([tuple(_event(i, i, menu_item_id=f"I{i % 3}", menu_item_name=f"Item {i % 3}", price_in_cents=100 * (i % 3))[c] for c in ORDER_EVENT.names) for i in range(9)], ORDER_EVENT).write.parquet(f"{tmp_path}/in")
     drain(console_report(spark.readStream.schema(ORDER_EVENT).parquet(f"{tmp_path}/in"), f"{tmp_path}/ck", k=2, width=8, out=said.append, once=True))
     assert said[-1].splitlines()[1:] == ["  1. Item 2            $6.00", "  2. Item 1            $3.00"]
+
+
+def test_dedup_keeps_keys_in_groups(spark, tmp_path):
+    """Many keys: rows are those of the batch operator, and state has a row for each group of keys, not for each key."""
+    from ordertide.operators.dedup import keep_first_within
+    from ordertide.streaming.stateful import GROUPS
+
+    hour = 3_600_000
+    rows = [_event(f"e{i}", i * 7, order_id=f"o{i * i % 3001}") for i in range(6000)]
+    events = spark.createDataFrame([tuple(r[c] for c in ORDER_EVENT.names) for r in rows], ORDER_EVENT)
+    cols = ["order_id", "event_id", "customer_id", "quantity", "price_in_cents", "timestamp"]
+    want = sorted(map(tuple, keep_first_within(events, "order_id", hour).select(*cols).collect()), key=str)
+    got = replay_dedup(spark, events, f"file://{tmp_path}/kept", "order_id", hour, files=2).select(*cols).collect()
+    assert sorted(map(tuple, got), key=str) == want
+    assert len({r.order_id for r in got}) > GROUPS
+    assert 0 < spark.read.format("statestore").load(f"file://{tmp_path}/kept/ck").count() <= GROUPS

@@ -696,3 +696,37 @@ def test_buckets_by_class_against_brute_force(spark):
     assert got == {(a[1], b[1]) for a, b in combinations(rows, 2) if a[0] == b[0] and abs(a[2] - b[2]) <= 1}
     assert all(r.n == len(of[r.bucket]) > 1 and r.hub == min(of[r.bucket]) for r in met)
     assert shared_buckets(spark.createDataFrame([], "bucket bigint, id bigint, class int")).count() == 0
+
+
+def test_members_bring_their_content_in_turns(spark, monkeypatch):
+    """Ids that lie in many mixed buckets each: no more members than there are contents move at once, and links are those of all pairs that share a bucket."""
+    from itertools import combinations
+
+    from ordertide.llm import linking
+
+    rng = random.Random(6)
+    value = {i: rng.randrange(400) for i in range(60)}
+    rows = [(bucket, i) for bucket in range(9) for i in rng.sample(sorted(value), 30)]
+    share = {pair for bucket in range(9) for pair in combinations(sorted(i for b, i in rows if b == bucket), 2)}
+    root = {i: i for i in value}
+    for a, b in sorted(share):
+        if abs(value[a] - value[b]) <= 2:
+            low, high = sorted((root[a], root[b]))
+            root = {i: low if r == high else r for i, r in root.items()}
+    names, write = [], linking.written
+    monkeypatch.setattr(linking, "written", lambda df, what, **more: names.append(what) or write(df, what, **more))
+    values = spark.createDataFrame(list(value.items()), "id bigint, content bigint")
+    met = linking.shared_buckets(spark.createDataFrame(rows + rows[::2], "bucket bigint, id bigint").distinct())
+    near = lambda x, y: F.abs(x - y) < 100
+    got = linking.connect(met, values.select("id", F.col("content").alias("sketch")), near, lambda ids: values.join(ids, "id"), lambda x, y: F.abs(x - y) <= 2)
+    assert {r.id: r.component for r in got.collect()} == {i: r for i, r in root.items() if list(root.values()).count(r) > 1}
+    assert names.count("linked") > 3
+
+
+def test_members_that_repeat_count_once(spark):
+    from ordertide.llm.linking import shared_buckets
+
+    rng = random.Random(3)
+    rows = [(rng.randrange(9), i, i % 5) for i in range(60)]
+    once, twice = [sorted(map(tuple, shared_buckets(spark.createDataFrame(x, "bucket bigint, id bigint, class int"), repeated=True).collect())) for x in (rows, rows * 3)]
+    assert once == twice and once

@@ -730,3 +730,26 @@ def test_members_that_repeat_count_once(spark):
     rows = [(rng.randrange(9), i, i % 5) for i in range(60)]
     once, twice = [sorted(map(tuple, shared_buckets(spark.createDataFrame(x, "bucket bigint, id bigint, class int"), repeated=True).collect())) for x in (rows, rows * 3)]
     assert once == twice and once
+
+
+def test_lines_in_tasks_as_in_columns(spark, texts):
+    """Normalising, counts of windows and the bounded edit distance of the tasks, against DataFrame functions and definitions."""
+    odd = ["", " ", "a_b", "_ a", "a  b", "a- B!", "é̀a b̀_c", "ΑΣ ΟΣ.", "İx", "a b\x85c\x1cd", "x² ½ª", "漢字 漢_字"]
+    rows = odd + [x for t in texts[:10] if t for x in t.split("\n")]
+    got = spark.createDataFrame([(x,) for x in rows], "x string").select("x", lines.normal_line(F.col("x")).alias("want")).collect()
+    assert [lines._normal(r.x) for r in got] == [r.want for r in got]
+    norm = [r.want for r in got if r.want] + ["a" * 13 + " " + "b" * 80]
+
+    def windows(x):
+        words = [x[m.start() :][: lines.WINDOW] for m in regex.finditer(r"(?<![^ ])[^ ]", x)]
+        at_words = {w for w in words if len(w) == lines.WINDOW} if len(x) >= 72 else ()
+        anywhere = {x[i : i + lines.GRAM] for i in range(len(x) - lines.GRAM + 1)} if len(x) >= lines.SHORT and (len(x) < lines.TO_GRAMS or len(x.split()) <= lines.FEW_WORDS) else ()
+        return min(len(at_words), lines.BLOCKS_KEPT) + min(len(anywhere), lines.BLOCKS_KEPT)
+
+    counts = [n for chunk in lines._chunks(norm) for n in lines._windows(chunk, 72)[0]]
+    assert counts == [windows(x) for x in norm]
+    keys = [r.k for r in spark.createDataFrame([(x,) for x in norm[-3:] * 2], "x string").coalesce(1).select(lines._blocks(F.col("x"), lines.FuzzyLines()).alias("k")).collect()]
+    assert keys[3:] == [None] * 3 and all(k is not None for k in keys[:3])
+    pairs = [(x[:60], y[:60]) for x, y in zip(norm, norm[1:])] + [(x[:60], x[3:20] + "q" + x[22:60]) for x in norm]
+    for r in spark.createDataFrame(pairs, "x string, y string").select("x", "y", F.levenshtein("x", "y").alias("d")).collect():
+        assert [lines._within(r.x, r.y, most) for most in (r.d - 1, r.d)] == [False, True] and lines._pieces(r.x, r.y, 7, r.d)

@@ -753,3 +753,52 @@ def test_lines_in_tasks_as_in_columns(spark, texts):
     pairs = [(x[:60], y[:60]) for x, y in zip(norm, norm[1:])] + [(x[:60], x[3:20] + "q" + x[22:60]) for x in norm]
     for r in spark.createDataFrame(pairs, "x string, y string").select("x", "y", F.levenshtein("x", "y").alias("d")).collect():
         assert [lines._within(r.x, r.y, most) for most in (r.d - 1, r.d)] == [False, True] and lines._pieces(r.x, r.y, 7, r.d)
+
+
+def test_line_dedup_runs_no_python_on_executors(spark, texts, monkeypatch):
+    """op8 and the pipeline's stage are DataFrame functions alone, and remove what the ways over Arrow batches remove."""
+    from ordertide.llm import linking
+
+    plans, keep = [], lines.written
+
+    def watched(df, what, **more):
+        plans.append(df._jdf.queryExecution().toString())
+        return keep(df, what, **more)
+
+    mine = _edited_lines(texts[5:], 7)
+    df = spark.createDataFrame(list(enumerate(mine)), "doc_id bigint, text string").localCheckpoint()
+    with monkeypatch.context() as m:
+        m.setattr(lines, "written", watched), m.setattr(linking, "written", watched)
+        got = {r.doc_id for r in lines.op8(df).where("n_removed > 0").collect()}
+    assert len(plans) > 8 and not any(x in plan for plan in plans for x in ("Python", "Arrow", "Pandas"))
+    assert got == {r.doc_id for r in lines.removed_lines(df, lines.FuzzyLines(arrow=True)).collect()} and got
+
+
+def test_lines_with_a_passage_in_other_places_do_not_meet(spark):
+    """Lines that share a passage in other places than a link can have it are not compared; those that have it in place are, and links are found."""
+    from ordertide.llm import linking
+
+    rng, passage = random.Random(12), "the passage that all these lines share word by word"
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows = [" ".join([word() for _ in range(at)] + [passage] + [word() for _ in range(40 - at)]) for at in range(0, 41, 4)]
+    copies = [x.replace(" word by ", " wordx by ")[:-3] + "zzz" for x in rows]
+    df = spark.createDataFrame(list(enumerate(rows + copies)), "doc_id bigint, text string")
+    p = lines.FuzzyLines()
+    nodes = lines._lines(df, p, "doc_id", "text")
+    met = linking.shared_buckets(lines._members(nodes, p), repeated=True)
+    off = {(r.id, r.hub): r.d for r in met.select("id", "hub", (F.col("at") - F.col("hub_at")).alias("d")).where("id > hub").collect()}
+    assert any(abs(d) > 40 for d in off.values())
+    held = nodes.select("id", F.col("line").alias("content"), lines._sketch(F.col("line"), p).alias("sketch"))
+    links = lambda x, y: lines.linked_lines(x, y, p)
+    groups = linking.connect(met, held.select("id", "sketch"), lambda x, y: F.lit(True), lambda ids: held.select("id", "content").join(ids, "id"), links, placed=lambda o, x, y: lines._placed(p, o, x, y))
+    assert groups.select("component").distinct().count() == len(rows)
+    got = {r.doc_id for r in lines.op8(df).where("n_removed > 0").collect()}
+    assert got == set(range(len(rows), 2 * len(rows)))
+
+
+def test_places_of_repeated_blocks_are_not_held_against_a_link(spark):
+    """A line that says one thing over and over has no places; with a word less in front it stays a link."""
+    x = "over and over again " * 12 + "the end of it"
+    y = x.replace("over and over again ", "over and over agxin ", 1)
+    df = spark.createDataFrame([(1, x), (2, y)], "doc_id bigint, text string")
+    assert [r.doc_id for r in lines.op8(df).where("n_removed > 0").collect()] == [2]

@@ -3,7 +3,8 @@
 The MinHash samples of a document are folded into a bitmap by parity: sample i flips the bit that (i, value) hashes to. The
 XOR of two bitmaps has the parity of the samples that differ, so its population count estimates their number, and with it the
 similarity, most precisely where it is high. Candidates whose estimate is far below the threshold go without their sets being
-read; the others are compared on the full sets of 64-bit shingle hashes.
+read. So do those whose sets are shown to differ in too many shingles by a bitmap of the whole set, also by parity: each odd bit of the XOR of two is
+a shingle that one of them lacks. The others are compared on the full sets of 64-bit shingle hashes.
 """
 
 from __future__ import annotations
@@ -53,6 +54,8 @@ def estimate(odd: int, p: NearDup) -> float:
 
 _P = np.uint64(0x9DDFEA08EB382D69)
 _words: dict[bytes, int] = {}
+#: Bits of the bitmap of a whole set.
+LEAST_BITS, MOST_BITS = 64, 4096
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -91,8 +94,30 @@ def _samples(h: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return least
 
 
+def _parity(h: np.ndarray) -> np.ndarray:
+    """A bitmap of a set by parity, of a power of two bits: twice its members at least, within LEAST_BITS and MOST_BITS."""
+    bits = min(max(1 << (2 * len(h) - 1).bit_length(), LEAST_BITS), MOST_BITS)
+    odd = np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _may_link(x: Column, y: Column, percent: int) -> Column:
+    """False if sizes or ``_parity`` of two sets prove them less similar than ``percent``. Of a link, bitmaps are of one size, or one is of twice the other's."""
+
+    def differ(pair: Column) -> Column:
+        half = lambda a: F.zip_with(F.slice(a, 1, (F.size(a) / 2).cast("int")), F.slice(a, (F.size(a) / 2).cast("int") + 1, F.size(a)), lambda u, v: u.bitwiseXOR(v))
+        a, b = pair["x"], pair["y"]
+        odd = lambda u, v: F.aggregate(F.zip_with(u, v, lambda i, j: F.bit_count(i.bitwiseXOR(j))), F.lit(0), lambda n, k: n + k)
+        return F.when(F.size(a) == F.size(b), odd(a, b)).when(F.size(a) > F.size(b), odd(half(a), b)).otherwise(odd(a, half(b)))
+
+    most = (x["n"] + y["n"]) * (100 - percent)
+    fewer = F.abs(x["n"] - y["n"]) * (100 + percent) <= most
+    apart = F.get(F.transform(F.array(F.struct(x["odd"].alias("x"), y["odd"].alias("y"))), differ), F.lit(0))
+    return F.when(~fewer, F.lit(False)).when(F.greatest(F.size(x["odd"]), F.size(y["odd"])) > 2 * F.least(F.size(x["odd"]), F.size(y["odd"])), F.lit(True)).otherwise(apart * (100 + percent) <= most)
+
+
 def signatures(docs: DataFrame, p: NearDup, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, text_key, n_shingles, set_id (equal sets share it), bands and sketch; the last three null without words."""
+    """doc_id, text_key, n_shingles, set_id (equal sets share it), bands, sketch and odd (of ``_parity``); the last four null without words."""
     rng = np.random.default_rng(20240101)
     a = rng.integers(0, 1 << 32, p.samples, np.uint32) | np.uint32(1)
     b = rng.integers(0, 1 << 32, p.samples, np.uint32)
@@ -100,12 +125,12 @@ def signatures(docs: DataFrame, p: NearDup, *, doc_id: str = "doc_id", text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, ids, bands, sketch = [], [], [], []
+            n, ids, bands, sketch, parity = [], [], [], [], []
             for text in batch.column("_t"):
                 h = shingles(text.as_py(), p.width)
                 n.append(len(h))
                 if not len(h):
-                    ids.append(None), bands.append(None), sketch.append(None)
+                    ids.append(None), bands.append(None), sketch.append(None), parity.append(None)
                     continue
                 ids.append(np.frombuffer(xxhash.xxh3_64_digest(h.tobytes()), ">i8")[0])
                 s = _samples(h, a, b).astype(np.uint64) | (index << np.uint64(32))
@@ -117,12 +142,13 @@ def signatures(docs: DataFrame, p: NearDup, *, doc_id: str = "doc_id", text: str
                 bands.append(_mix(key).view(np.int64))
                 odd = np.bincount((m % np.uint64(p.bits)).astype(np.int64), minlength=p.bits) & 1
                 sketch.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+                parity.append(_parity(h))
             longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(bands, longs), pa.array(sketch, longs)], names=["doc_id", "text_key", "n_shingles", "set_id", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(bands, longs), pa.array(sketch, longs), pa.array(parity, longs)], names=["doc_id", "text_key", "n_shingles", "set_id", "bands", "sketch", "odd"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_key(text).alias("text_key"), F.col(text).alias("_t"))
-    return rows.mapInArrow(run, f"doc_id {kind}, text_key binary, n_shingles bigint, set_id bigint, bands array<bigint>, sketch array<bigint>")
+    return rows.mapInArrow(run, f"doc_id {kind}, text_key binary, n_shingles bigint, set_id bigint, bands array<bigint>, sketch array<bigint>, odd array<bigint>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, width: int, text: str) -> DataFrame:
@@ -146,13 +172,13 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup(), *, doc_id: str = "d
     Very long texts are hashed whole. An empty table gives an empty result. Other columns don't matter.
     """
     sig = written(signatures(docs, p, doc_id=doc_id, text=text), "signatures")
-    nodes = written(sig.where("set_id IS NOT NULL").groupBy("set_id").agg(F.first("text_key").alias("text_key"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")).withColumnRenamed("set_id", "id"), "nodes")
+    nodes = written(sig.where("set_id IS NOT NULL").groupBy("set_id").agg(F.first("text_key").alias("text_key"), F.first("bands").alias("bands"), F.first(F.struct(F.col("sketch").alias("s"), "odd", F.col("n_shingles").alias("n"))).alias("sketch")).withColumnRenamed("set_id", "id"), "nodes")
 
     def near(x: Column, y: Column) -> Column:
         odd = F.lit(0)
         for i in range(p.bits // 64):
-            odd = odd + F.bit_count(x[i].bitwiseXOR(y[i]))
-        return odd <= p.most_bits
+            odd = odd + F.bit_count(x["s"][i].bitwiseXOR(y["s"][i]))
+        return F.when(odd <= p.most_bits, _may_link(x, y, p.percent)).otherwise(F.lit(False))
 
     def contents(ids: DataFrame) -> DataFrame:
         return _sets(docs, ids.join(nodes.select("id", "text_key"), "id"), p.width, text)

@@ -802,3 +802,23 @@ def test_places_of_repeated_blocks_are_not_held_against_a_link(spark):
     y = x.replace("over and over again ", "over and over agxin ", 1)
     df = spark.createDataFrame([(1, x), (2, y)], "doc_id bigint, text string")
     assert [r.doc_id for r in lines.op8(df).where("n_removed > 0").collect()] == [2]
+
+
+def test_parity_of_whole_sets_stops_no_link(spark):
+    """Sets at the threshold pass, of any size and across sizes of bitmap, and most sets that differ more are stopped."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    rows, want = [], []
+    for n in (1, 5, 31, 33, 120, 250, 260, 500, 515, 1000, 1030, 3000):
+        for share in (0.6, 0.7, 0.79, 0.8, 0.9, 1.0):
+            for grown in (0.0, 0.5, 1.0):  # how much of what differs is y's own
+                x = rng.integers(0, 1 << 63, n, np.uint64)
+                apart = round(n * (1 - share) * 2 / (1 + share))
+                y = np.concatenate([x[: n - round(apart * (1 - grown))], rng.integers(0, 1 << 63, round(apart * grown), np.uint64)])
+                both = len(set(x.tolist()) & set(y.tolist()))
+                want.append(100 * both >= 80 * (len(x) + len(y) - both))
+                rows.append((len(rows), *[(m.tolist(), len(s)) for s in (x, y) for m in [minhash._parity(s)]]))
+    df = spark.createDataFrame(rows, "i int, x struct<odd: array<bigint>, n: bigint>, y struct<odd: array<bigint>, n: bigint>")
+    got = [r.ok for r in df.select("i", minhash._may_link(F.col("x"), F.col("y"), 80).alias("ok")).orderBy("i").collect()]
+    assert all(g for g, w in zip(got, want) if w) and sum(not g for g, w in zip(got, want) if not w) > 0.6 * want.count(False)

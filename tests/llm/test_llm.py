@@ -804,6 +804,41 @@ def test_places_of_repeated_blocks_are_not_held_against_a_link(spark):
     assert [r.doc_id for r in lines.op8(df).where("n_removed > 0").collect()] == [2]
 
 
+def test_members_move_once_and_blocks_are_made_once(spark, texts, monkeypatch):
+    """What lines are dealt by is computed by one stage, and moved by one exchange; no member brings the list of its buckets to the search for near ones."""
+    from ordertide.llm import linking
+
+    plans, keep = [], lines.written
+
+    def watched(df, what, **more):
+        plans.append((what, df._jdf.queryExecution().optimizedPlan().toString(), df.columns))
+        return keep(df, what, **more)
+
+    texts = [" ".join(t.split()[:30]) + f" shared by all of the lines here, and {t[:150]}" for t in texts[:40]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").localCheckpoint()
+    monkeypatch.setattr(lines, "written", watched), monkeypatch.setattr(linking, "written", watched)
+    lines.removed_lines(df)
+    members = next(plan for what, plan, _ in plans if what == "members")
+    assert members.count("Window [") == 1 and members.count("Generate explode") == 1 and "Join" not in members.replace("Join LeftOuter", "", 1)
+    near = [cols for what, _, cols in plans if what == "near"]
+    assert near and "all" not in near[0]
+
+
+def test_contents_are_compared_after_sketches(spark):
+    """Of two members that meet, contents are looked at only if their sketches are near: the comparison fails on others."""
+    from ordertide.llm import linking
+
+    rng = random.Random(16)
+    value = {i: rng.randrange(400) for i in range(60)}
+    values = spark.createDataFrame(list(value.items()), "id bigint, content bigint")
+    met = linking.shared_buckets(spark.createDataFrame([(bucket, i) for bucket in range(3) for i in value], "bucket bigint, id bigint"))
+    near = lambda x, y: F.abs(x - y) < 20
+    linked = lambda x, y: F.lit(1) / F.when(near(x, y), 1).otherwise(0) * F.abs(x - y) <= 2
+    got = linking.connect(met, values.select("id", F.col("content").alias("sketch")), near, lambda ids: values.join(ids, "id"), linked)
+    of = {r.id: r.component for r in got.collect()}
+    assert all(of[a] == of[b] for a in value for b in value if a != b and abs(value[a] - value[b]) <= 2) and of
+
+
 def test_parity_of_whole_sets_stops_no_link(spark):
     """Sets at the threshold pass, of any size and across sizes of bitmap, and most sets that differ more are stopped."""
     import numpy as np

@@ -839,6 +839,15 @@ def test_contents_are_compared_after_sketches(spark):
     assert all(of[a] == of[b] for a in value for b in value if a != b and abs(value[a] - value[b]) <= 2) and of
 
 
+def test_a_blocks_place_is_at_a_word(spark):
+    """The letters of a block that stand inside a word before it are not its place."""
+    line = "the cat sat on extraordinarily understandable he cat sat on incomprehensibilities notwithstanding"
+    df = spark.createDataFrame([(line,)], "line string")
+    got = {r.at for r in df.select(F.explode(lines._block_columns(F.col("line"), lines.FuzzyLines())).alias("k")).select("k.at").collect()}
+    starts = [m.start() for m in regex.finditer(r"(?<![^ ])[^ ]", line)]
+    assert got == {at + 1 for at in starts if at + lines.WINDOW <= len(line)}
+
+
 def test_parity_of_whole_sets_stops_no_link(spark):
     """Sets at the threshold pass, of any size and across sizes of bitmap, and most sets that differ more are stopped."""
     import numpy as np
